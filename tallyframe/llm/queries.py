@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, near_dedup, substring_dedup, toxicity
+from . import bpe, language_id, near_dedup, packing, substring_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,11 +45,24 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, capacity=1024)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = substring_dedup.remove_repeats(spark, docs, window=35)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_language_id, op4_toxicity, op5_bpe, op9_substring_dedup)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.document_tokens(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, separator=50256)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_near_dedup, op2_language_id, op4_toxicity, op5_bpe, op7_packing, op9_substring_dedup, op10_token_counts)
+}
 ORACLE_SQL: dict[str, str] = {}
