@@ -24,7 +24,7 @@ from .words import BREAK, U64, Words, mix, word_chunks
 
 LOW, HIGH, BUCKET_BITS, SIZE, WINDOW = 3, 6, 17, 4, 24
 #: Steps of the embeddings, the softmax and its bias, and what the embeddings lose in a round.
-STEPS, DECAY, LEAST_TEXTS = (4.0, 0.05, 0.05), 0.002, 4
+STEPS, DECAY, LEAST_USES = (4.0, 0.05, 0.05), 0.002, 4
 FACTORS = np.random.default_rng(41).integers(1, 1 << 63, HIGH, dtype=np.uint64) * U64(2) + U64(1)
 SEED_BYTES = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64)
 SEED_BYTES[ord("A") : ord("Z") + 1] = SEED_BYTES[ord("a") : ord("z") + 1]
@@ -71,13 +71,15 @@ class Sums:
     """Sums of rows by an index that stays the same."""
 
     def __init__(self, index: np.ndarray, n: int) -> None:
-        self.order = np.argsort(index, kind="stable")
-        found, self.first = np.unique(index[self.order], return_index=True)
-        self.found, self.n = found, n
+        self.order = np.argsort(index, kind="stable").astype(np.int32)
+        index = index[self.order]
+        self.first = np.flatnonzero(np.r_[True, np.diff(index) != 0][: len(index)])
+        self.found, self.n = index[self.first], n
 
     def __call__(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros((self.n, values.shape[1]), np.float32)
-        out[self.found] = np.add.reduceat(values[self.order], self.first, axis=0)
+        if len(self.order):
+            out[self.found] = np.add.reduceat(values[self.order], self.first, axis=0)
         return out
 
 
@@ -94,32 +96,35 @@ class Model:
         self.train([t for t, _ in rows], label, rounds, np.random.default_rng(seed))
 
     def train(self, texts: list[str], label: np.ndarray, rounds: int, rng: np.random.Generator) -> None:
-        hashes, grams, owners, firsts, window_rows, word_rows, words = [], [], [], [], [], [], 0
+        hashes, bags, kinds_of, firsts, window_rows, seen, words = [], [], [], [], [], np.zeros(0, U64), 0
         for w in word_chunks(pa.array(texts, pa.large_string()), fold=True):
             at, bounds = distinct_words(w)
-            g, o = word_grams(w, at)
             f, r = window_bounds(bounds)
-            hashes.append(w.hashes[at])
-            grams.append(g)
-            owners.append(o + words)
             firsts.append(f + words)
             window_rows.append(r + w.first)
-            word_rows.append(np.repeat(np.arange(w.first, w.last), np.diff(bounds)))
+            hashes.append(w.hashes[at])
+            # words of one spelling share a bag: only the first needs it
+            new, example = np.unique(w.hashes[at], return_index=True)
+            fresh = ~np.isin(new, seen, assume_unique=True)
+            g, o = word_grams(w, at[example[fresh]])
+            bags.append(g.astype(np.int32))
+            kinds_of.append((o + len(seen)).astype(np.int32))
+            seen = np.concatenate([seen, new[fresh]])
             words += len(at)
-        hashes, grams, owners, firsts, rows, word_rows = (np.concatenate(x) for x in (hashes, grams, owners, firsts, window_rows, word_rows))
-        # buckets of few texts teach nothing that holds elsewhere
-        pairs = np.sort(grams * len(texts) + word_rows[owners])
-        texts_of = np.bincount(pairs[np.r_[True, np.diff(pairs) != 0]] // len(texts), minlength=1 << BUCKET_BITS)
-        # words of one spelling share a bag: train on the distinct ones
-        _, example, kind = np.unique(hashes, return_index=True, return_inverse=True)
-        chosen = np.zeros(words, bool)
-        chosen[example] = True
-        mine = chosen[owners]
-        bag, of = grams[mine], kind[owners[mine]]
-        per_kind = np.maximum(np.bincount(of, minlength=len(example)), 1).astype(np.float32)[:, None]
-        often = texts_of[bag] >= LEAST_TEXTS
-        used, bag, of = *np.unique(bag[often], return_inverse=True), of[often]
-        kinds = len(example)
+        if not words:
+            return
+        firsts, rows, bag, of = (np.concatenate(x) for x in (firsts, window_rows, bags, kinds_of))
+        order = np.argsort(seen)
+        kind = order[np.searchsorted(seen[order], np.concatenate(hashes))].astype(np.int32)
+        del hashes, bags, kinds_of
+        kinds = len(seen)
+        per_kind = np.maximum(np.bincount(of, minlength=kinds), 1).astype(np.float32)[:, None]
+        # buckets of few occurrences teach nothing that holds elsewhere
+        often = np.bincount(bag, np.bincount(kind, minlength=kinds)[of], 1 << BUCKET_BITS) >= LEAST_USES
+        mine = often[bag]
+        bag, of = bag[mine], of[mine]
+        used = np.flatnonzero(often)
+        bag = np.searchsorted(used, bag).astype(np.int32)
         by_kind, by_bucket, by_word = Sums(of, kinds), Sums(bag, len(used)), Sums(kind, kinds)
         window = np.repeat(np.arange(len(firsts)), np.diff(np.r_[firsts, words]))
 
@@ -171,7 +176,7 @@ class Model:
             yield 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 800) -> Model:
     """A model from the ``toxic`` labels (doc_id, toxic 0 or 1) of at most about ``per_label`` documents of each.
 
     Null labels and texts, and labels without a document, are not learned from; one of several labels of a document
