@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from .common import Scratch
 from .pretokens import PretokenCache
 
-GROUP = 2048
+GROUP = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
