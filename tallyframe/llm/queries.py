@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, near_dedup, packing, substring_dedup, token_counts, toxicity
+from . import ann, bpe, embedding_dedup, language_id, near_dedup, packing, substring_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(spark, table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
@@ -50,6 +54,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, capacity=1024)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = substring_dedup.remove_repeats(spark, docs, window=35)
@@ -63,6 +71,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_language_id, op4_toxicity, op5_bpe, op7_packing, op9_substring_dedup, op10_token_counts)
+    for f in (op1_near_dedup, op2_language_id, op3_embedding_dedup, op4_toxicity, op5_bpe, op7_packing, op8_nearest, op9_substring_dedup, op10_token_counts)
 }
 ORACLE_SQL: dict[str, str] = {}
