@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, language_id, near_dedup, packing, substring_dedup, token_counts, toxicity
+from . import ann, bpe, embedding_dedup, language_id, near_dedup, packing, pii, substring_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, key="tallyframe").select("doc_id", "text", "n_private")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, capacity=1024)
@@ -71,6 +76,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_language_id, op3_embedding_dedup, op4_toxicity, op5_bpe, op7_packing, op8_nearest, op9_substring_dedup, op10_token_counts)
+    for f in (
+        op1_near_dedup,
+        op2_language_id,
+        op3_embedding_dedup,
+        op4_toxicity,
+        op5_bpe,
+        op6_pseudonyms,
+        op7_packing,
+        op8_nearest,
+        op9_substring_dedup,
+        op10_token_counts,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
