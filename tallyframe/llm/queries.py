@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, embedding_dedup, language_id, near_dedup, packing, pii, substring_dedup, token_counts, toxicity
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,4 +90,3 @@ QUERIES = {
         op10_token_counts,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
