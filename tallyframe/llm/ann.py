@@ -25,8 +25,9 @@ from .common import Scratch
 from .vectors import packed_vectors, stacked, usable
 
 SHARD, QUERIES, PROJECTIONS = 4096, 512, 128
-#: Collisions that make a candidate, as a share of the projections; the first radius; the least share verified.
-SHARE, RADIUS, LEAST = 0.5, 0.25, 0.15
+#: Collisions that make a candidate, as a share of the projections; the first radius and its growth;
+#: the least share verified. A shard holds fewer candidates than a rank of 16 bits, and counts fit 8 bits.
+SHARE, RADIUS, WIDEN, LEAST = 0.5, 0.9, 1.06, 0.2
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -37,38 +38,39 @@ def lifted(vectors: np.ndarray, largest: float) -> np.ndarray:
 
 
 def shard_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, largest: float, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its up to ``k`` best verified candidates: ids and inner products."""
+    """For each query its up to ``k`` best verified candidates: ids and inner products.
+
+    A window of a sorted array is a span of ranks, so a candidate's collisions are the arrays in which its rank falls
+    into the query's span.
+    """
     n, dim = vectors.shape
     directions = np.random.default_rng([23, dim]).standard_normal((dim + 1, PROJECTIONS))
     hashed = lifted(vectors, largest) @ directions
-    order = np.argsort(hashed, axis=0, kind="stable").astype(np.int32)
-    arrays = np.take_along_axis(hashed, order, axis=0).T.copy()
-    order = order.T.copy()
-    scale = np.linalg.norm(queries, axis=1, keepdims=True)
-    centres = np.hstack([queries / scale, np.zeros((len(queries), 1))]) @ directions
+    arrays = np.sort(hashed, axis=0).T.copy()
+    ranks = np.empty((PROJECTIONS, n), np.uint16)
+    np.put_along_axis(ranks, np.argsort(hashed, axis=0, kind="stable").T, np.arange(n, dtype=np.uint16)[None, :], axis=1)
+    centres = (np.hstack([queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros((len(queries), 1))]) @ directions).T
     need, least = int(SHARE * PROJECTIONS), min(n, max(4 * k, int(LEAST * n)))
-    for q in range(len(queries)):
-        radius = RADIUS
-        counts = np.zeros(n, np.int32)
-        left = right = None
-        while True:
-            now_left = np.array([np.searchsorted(a, c - radius, "left") for a, c in zip(arrays, centres[q], strict=True)])
-            now_right = np.array([np.searchsorted(a, c + radius, "right") for a, c in zip(arrays, centres[q], strict=True)])
-            # virtual rehashing: only what the wider window adds is counted
-            if left is None:
-                spans = [order[p, a:b] for p, (a, b) in enumerate(zip(now_left, now_right, strict=True))]
-            else:
-                spans = [order[p, a:b] for p, (a, b) in enumerate(zip(now_left, left, strict=True))]
-                spans += [order[p, a:b] for p, (a, b) in enumerate(zip(right, now_right, strict=True))]
-            counts += np.bincount(np.concatenate(spans), minlength=n).astype(np.int32)
-            left, right = now_left, now_right
+    place, inside = np.empty_like(ranks), np.empty(ranks.shape, bool)
+    radius, open_ = RADIUS, np.arange(len(queries))
+    while len(open_):
+        # virtual rehashing: the same arrays, read with the windows of the next radius
+        left = np.stack([np.searchsorted(a, c[open_] - radius, "left") for a, c in zip(arrays, centres, strict=True)])
+        right = np.stack([np.searchsorted(a, c[open_] + radius, "right") for a, c in zip(arrays, centres, strict=True)])
+        low, span = left.astype(np.uint16), (right - left).astype(np.uint16)
+        rest = []
+        for i, q in enumerate(open_):
+            np.subtract(ranks, low[:, i, None], out=place)
+            np.less(place, span[:, i, None], out=inside)
+            counts = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
             picked = np.flatnonzero((counts >= need) & (ids != query_ids[q]))
-            if len(picked) >= least or (now_left == 0).all() and (now_right == n).all():
-                break
-            radius *= 1.25 if len(picked) else 2.0
-        scores = vectors[picked] @ queries[q]
-        best = np.lexsort((ids[picked], -scores))[:k]
-        yield int(query_ids[q]), ids[picked][best], scores[best]
+            if len(picked) < least and not (span[:, i] == n).all():
+                rest.append(q)
+                continue
+            scores = vectors[picked] @ queries[q]
+            best = np.lexsort((ids[picked], -scores))[:k]
+            yield int(query_ids[q]), ids[picked][best], scores[best]
+        radius, open_ = radius * WIDEN, np.array(rest, np.int64)
 
 
 def nearest(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", column: str = "embedding") -> DataFrame:
