@@ -26,8 +26,8 @@ from .vectors import packed_vectors, stacked, usable
 
 SHARD, QUERIES, PROJECTIONS = 4096, 512, 128
 #: Collisions that make a candidate, as a share of the projections; the first radius and its growth;
-#: the least share verified. A shard holds fewer candidates than a rank of 16 bits, and counts fit 8 bits.
-SHARE, RADIUS, WIDEN, LEAST = 0.5, 0.9, 1.06, 0.2
+#: the least share verified and the least number for each neighbour asked for. A shard holds fewer candidates than a rank of 16 bits, and counts fit 8 bits.
+SHARE, RADIUS, WIDEN, LEAST, FEWEST = 0.5, 0.9, 1.06, 0.2, 15
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -50,7 +50,7 @@ def shard_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     ranks = np.empty((PROJECTIONS, n), np.uint16)
     np.put_along_axis(ranks, np.argsort(hashed, axis=0, kind="stable").T, np.arange(n, dtype=np.uint16)[None, :], axis=1)
     centres = (np.hstack([queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros((len(queries), 1))]) @ directions).T
-    need, least = int(SHARE * PROJECTIONS), min(n, max(4 * k, int(LEAST * n)))
+    need, least = int(SHARE * PROJECTIONS), min(n, max(FEWEST * k, int(LEAST * n)))
     place, inside = np.empty_like(ranks), np.empty(ranks.shape, bool)
     radius, open_ = RADIUS, np.arange(len(queries))
     while len(open_):
