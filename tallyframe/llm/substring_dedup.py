@@ -150,14 +150,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35) -> Da
     slim = docs.select(*key, F.col("text").cast("string").alias("text"))
     found = scratch.put(paths(slim, window, ANCHOR_WORDS), "paths")
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("low"), F.max("path").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("branching"))
+    # written first, so that the join has an exchange of its own, whose large keys Spark can split
+    anchors = scratch.put(anchors, "anchors")
     shared = scratch.put(found.join(anchors, "anchor"), "shared")
-    scratch.drop(found)
+    scratch.drop(found, anchors)
 
     branching = shared.where("branching")
     sources = scratch.put(branching.groupBy("anchor", "path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "crc", "place")).alias("s")), "sources")
     read = sources.groupBy("s.id", "s.crc").agg(F.collect_list(F.struct("anchor", "s.place", (F.col("n") > 1).alias("whole"))).alias("paths"))
     edges = scratch.put(edges_of(slim.join(read, ["id", "crc"]).select("id", "crc", "text", "paths"), window), "edges")
     again = edges.groupBy("anchor", "edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "edge")
+    again = scratch.put(again, "repeated-edges")
     marks = shared.where("not branching").select("id", "crc", "place")
     marks = marks.union(branching.join(sources.where("n > 1").select("anchor", "path"), ["anchor", "path"]).select("id", "crc", "place"))
     marks = marks.union(edges.where("not whole").join(again, ["anchor", "edge"]).select("id", "crc", "place"))
