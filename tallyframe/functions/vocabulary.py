@@ -89,6 +89,7 @@ CATEGORY_FIRST = [("boys", "male"), ("girls", "female"), ("male", "male"), ("fem
 
 # Kinds of questions and the phrases that tell them, in order.
 QUESTION_PHRASES = {
+    "statistical": ["how many", "what is the number", "statistics", "data", "count", "percentage", "enrollment", "dropout rate", "ger", "ner", "ptr", "schools count", "teachers"],
     "comparative": ["compare", "versus", "vs", "difference between", "better than", "higher", "district comparison", "performance gap", "ranking"],
     "temporal": ["trend", "over time", "increase", "decrease", "year over year", "growth", "improvement", "decline", "change since", "progression"],
     "policy_lookup": ["policy", "order", "circular", "notification", "rule", "regulation", "government order", "go", "amendment", "revision"],
@@ -104,3 +105,19 @@ INTENTS = [
 
 # The strengths a bridge edge must reach, by type.
 EDGE_THRESHOLDS = {"district_year": 0.8, "indicator_temporal": 0.7, "policy_hierarchy": 0.6, "cross_district": 0.5}
+
+# What questions name, in order, and the words of comparison and of time.
+NAMED_DISTRICTS = ["anantapur", "chittoor", "east godavari", "guntur", "krishna", "kurnool", "nellore", "prakasam", "srikakulam", "visakhapatnam", "vizianagaram", "west godavari", "kadapa"]
+NAMED_INDICATORS = ["enrollment", "enrolment", "ger", "ner", "ptr", "dropout", "literacy", "schools", "teachers", "students", "infrastructure", "applications"]
+SOUGHT_INDICATORS = ["enrollment", "schools", "teachers", "students", "infrastructure", "budget", "dropout", "attendance", "performance", "literacy", "facilities", "classrooms", "libraries", "laboratories", "toilets"]
+COMPARISON_WORDS = ["compare", "versus", "vs", "difference", "between", "among"]
+TIME_WORDS = ["trend", "over time", "change", "growth", "decline", "increase", "decrease"]
+METHODS = [("bridge", ["compare", "versus", "vs", "difference"]), ("advanced", ["why", "how", "explain", "analyze"]), ("graph", ["trend", "over time", "years", "timeline"])]
+POLICY_ROUTES = [
+    ("legal_lookup", ["which act", "which rule", "which go", "legal", "law"]),
+    ("data_lookup", ["statistics", "data", "how many", "enrollment", "dropout"]),
+    ("comparison", ["compare", "difference", "versus", "vs"]),
+    ("temporal_analysis", ["trend", "over time", "change", "growth"]),
+]
+HEDGES = ["may", "might", "could", "possibly", "likely", "appears to", "seems to", "suggests", "indicates", "according to", "as per"]
+GENERIC_CLAIMS = ["it is well known that", "studies show that", "research indicates", "experts agree", "it is generally accepted", "common knowledge"]
