@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +37,20 @@ def order_references(docs: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """All references: ``doc_id, kind, ref_id, confidence``."""
-    orders = order_references(docs).select("doc_id", F.lit("go").alias("kind"), "ref_id", F.lit(0.9).alias("confidence"))
-    acts = found(docs, ACT, 2).select("doc_id", F.lit("act"), F.concat_ws(", ", F.trim("g1"), "g2"), F.lit(0.85))
-    judgments = found(docs, JUDGMENT, 4).select("doc_id", F.lit("judgment"), F.concat_ws(" ", "g2", "g3", "g4"), F.lit(0.8))
-    sections = found(docs, SECTION, 1).select("doc_id", F.lit("section"), F.concat(F.lit("Section "), "g1"), F.lit(0.7))
-    rules = found(docs, RULE, 1).select("doc_id", F.lit("rule"), F.concat(F.lit("Rule "), "g1"), F.lit(0.7))
-    return orders.union(acts).union(judgments).union(sections).union(rules)
+    """All references in one pass: ``doc_id, kind, ref_id, confidence``."""
+
+    def matches(pattern: str, groups: int, kind: str, confidence: float, name: Callable[[list[Column]], Column]) -> Column:
+        parts = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(1, groups + 1)])
+        return F.transform(parts, lambda m: F.struct(F.lit(kind).alias("kind"), name([m[f"g{g}"] for g in range(1, groups + 1)]).alias("ref_id"), F.lit(confidence).alias("confidence")))
+
+    every = F.concat(
+        matches(ORDER, 2, "go", 0.9, lambda g: F.concat(F.lit("GO "), g[0], F.when(g[1] != "", F.concat(F.lit("/"), g[1])).otherwise(""))),
+        matches(ACT, 2, "act", 0.85, lambda g: F.concat_ws(", ", F.trim(g[0]), g[1])),
+        matches(JUDGMENT, 4, "judgment", 0.8, lambda g: F.concat_ws(" ", g[1], g[2], g[3])),
+        matches(SECTION, 1, "section", 0.7, lambda g: F.concat(F.lit("Section "), g[0])),
+        matches(RULE, 1, "rule", 0.7, lambda g: F.concat(F.lit("Rule "), g[0])),
+    )
+    return docs.select("doc_id", F.explode(every).alias("r")).select("doc_id", "r.*")
 
 
 def supersession_kind(text: Column) -> Column:

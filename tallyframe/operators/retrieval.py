@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,16 +27,14 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def equals(term: str) -> Callable[[Column], Column]:
-    return lambda x: x == term
-
-
 def bm25(docs: DataFrame, key: str, column: str, terms: list[str]) -> DataFrame:
-    """``key, score`` of the documents that hold any of the terms.
+    """``key, score`` of the documents that hold any of the terms (of a-z and 0-9).
 
     The corpus is scanned twice: once for its size, mean length and document frequencies (one row), once for scores.
     """
-    counted = docs.select(key, tokens(F.col(column)).alias("w")).select(key, F.size("w").alias("n"), *[F.size(F.filter("w", equals(t))).alias(f"f{i}") for i, t in enumerate(terms)])
+    low = F.lower(column)
+    words = [F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")).alias(f"f{i}") for i, t in enumerate(terms)]
+    counted = docs.select(key, F.regexp_count(low, F.lit("[a-z0-9]+")).alias("n"), *words)
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
     both = counted.crossJoin(F.broadcast(stats))
     score = F.lit(0.0)

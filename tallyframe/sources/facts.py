@@ -94,7 +94,8 @@ JOIN nation ON c_nationkey = n_nationkey WHERE m IS NOT NULL
 
 def legal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text``: a government order's text for every order, with references, headings, clauses and dates."""
-    o = table(spark, sf_dir, "orders").dropDuplicates(["o_orderkey"])
+    # patterns cost more than rows weigh, so the small table is dealt to all cores
+    o = table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
     n, y = F.col("o_orderkey").cast("string"), (F.year("o_orderdate") + 20).cast("string")
     before = (F.year("o_orderdate") + 19).cast("string")
     c = F.col("o_custkey").cast("string")
@@ -115,5 +116,5 @@ SELECT o_orderkey AS doc_id, 'Government Order No. ' || o_orderkey || '/' || (ye
   || CASE WHEN o_orderkey % 3 = 0 THEN ' in part' ELSE '' END || chr(10) || 'PART ' || (o_orderkey % 4 + 1) || ' General' || chr(10) || 'CHAPTER ' || (o_custkey % 5 + 1) || ' Schools' || chr(10) || '1. Short title' || chr(10)
   || '(a) This order covers Section 12(a) of The Education Act, ' || (year(o_orderdate) + 19) || ' and Rule 7 as amended by notice of ' || (year(o_orderdate) + 19) || chr(10) || '2. Effect' || chr(10)
   || '(b) effective from ' || day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || 'in Guntur by order of the education department' ELSE '' END || chr(10) || 'Step 1: apply' AS text
-FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey) = 1)
+FROM orders
 """
