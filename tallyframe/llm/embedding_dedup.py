@@ -93,6 +93,18 @@ def padded(column: pa.Array, kind: type, blank: float) -> np.ndarray:
     return out
 
 
+def earlier_left_out(x: np.ndarray, y: np.ndarray, lists: np.ndarray, places: np.ndarray, here: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that don't collide in a list before this one; most go within a few lists."""
+    for c in range(lists.shape[1]):
+        before = (lists[x, c] >= 0) & (lists[x, c] < here)
+        if not before.any():
+            break
+        met = (lists[y] == lists[x, c][:, None]) & (np.abs(places[y] - places[x, c][:, None]) <= WIDTH)
+        alone = ~(before & met.any(axis=1))
+        x, y = x[alone], y[alone]
+    return x, y
+
+
 def linked_in(cell: pa.Table, plan: Plan, cosine: float) -> pa.RecordBatch | None:
     """Links found in one cell: ``id, n, low``, the links of each vector and the smallest id it is joined with."""
     here = cell["list"][0].as_py() & ((1 << 40) - 1)
@@ -125,12 +137,11 @@ def linked_in(cell: pa.Table, plan: Plan, cosine: float) -> pa.RecordBatch | Non
         likely = np.bitwise_count(maps[a] & maps[b]).sum(axis=1) >= plan.count
         a, b = a[likely], b[likely]
         for k in range(0, len(a), PAIRS):
-            x, y = a[k : k + PAIRS], b[k : k + PAIRS]
+            x, y = earlier_left_out(a[k : k + PAIRS], b[k : k + PAIRS], lists, places, here)
             hit = np.zeros((len(x), lists.shape[1]), bool)
             for c in range(lists.shape[1]):
                 hit |= (lists[x] == lists[y, c][:, None]) & (np.abs(places[x] - places[y, c][:, None]) <= WIDTH)
-            first = np.where(hit, lists[x], np.iinfo(np.int32).max).min(axis=1)
-            own = (hit.sum(axis=1) >= plan.count) & (first == here)
+            own = hit.sum(axis=1) >= plan.count
             x, y = x[own], y[own]
             near = np.einsum("ij,ij->i", vectors[x], vectors[y]) >= cosine
             a_all.append(x[near])
