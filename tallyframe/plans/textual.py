@@ -239,7 +239,7 @@ def lg_jurisdiction(spark: SparkSession, sf: str) -> DataFrame:
     return L.jurisdiction(legal_texts(spark, sf))
 
 
-@query("SELECT doc_id, 'government_order' AS kind, 6 AS n_references, 6 AS n_headings, 0 AS n_definitions, 1 AS n_procedures, 1 AS n_supersessions, 0.83::DOUBLE AS complexity FROM {legal} t")
+@query("SELECT doc_id, 'government_order' AS kind, 6::BIGINT AS n_references, 6::BIGINT AS n_headings, 0::BIGINT AS n_definitions, 1::BIGINT AS n_procedures, 1::BIGINT AS n_supersessions, 0.83::DOUBLE AS complexity FROM {legal} t")
 def lg_analyze(spark: SparkSession, sf: str) -> DataFrame:
     return L.analysed(legal_texts(spark, sf))
 
