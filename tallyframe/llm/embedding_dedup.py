@@ -93,60 +93,57 @@ def padded(column: pa.Array, kind: type, blank: float) -> np.ndarray:
     return out
 
 
-def earlier_left_out(x: np.ndarray, y: np.ndarray, lists: np.ndarray, places: np.ndarray, here: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that don't collide in a list before this one; most go within a few lists."""
-    for c in range(lists.shape[1]):
-        before = (lists[x, c] >= 0) & (lists[x, c] < here)
-        if not before.any():
-            break
-        met = (lists[y] == lists[x, c][:, None]) & (np.abs(places[y] - places[x, c][:, None]) <= WIDTH)
-        alone = ~(before & met.any(axis=1))
-        x, y = x[alone], y[alone]
-    return x, y
+def collisions(lists: np.ndarray, places: np.ndarray, here: int) -> tuple[np.ndarray, np.ndarray]:
+    """Collisions of all pairs of rows, and those in lists before ``here``.
+
+    Presence matrices of the lists that two rows share give pairs that stand in one end; where an end is wider than a
+    window, the pairs outside each other's windows are taken off again.
+    """
+    row, column = np.nonzero(lists >= 0)
+    found, at, size = np.unique(lists[row, column], return_inverse=True, return_counts=True)
+    common = np.flatnonzero(size >= 2)
+    kept = size[at] >= 2
+    row, at, place = row[kept], np.searchsorted(common, at[kept]), places[row, column][kept]
+    present = np.zeros((len(lists), len(common)), np.float32)
+    present[row, at] = 1
+    before = int(np.searchsorted(found[common], here))
+    every, earlier = present @ present.T, present[:, :before] @ present[:, :before].T
+    order = np.argsort(at, kind="stable")
+    row, place = row[order], place[order]
+    first = np.searchsorted(at[order], np.arange(len(common)))
+    if len(common):
+        spread = np.maximum.reduceat(place, first) - np.minimum.reduceat(place, first)
+        for c in np.flatnonzero(spread > WIDTH):
+            mine = slice(first[c], first[c + 1] if c + 1 < len(common) else len(row))
+            apart = (np.abs(place[mine][:, None] - place[mine]) > WIDTH).astype(np.float32)
+            every[np.ix_(row[mine], row[mine])] -= apart
+            if c < before:
+                earlier[np.ix_(row[mine], row[mine])] -= apart
+    return every, earlier
 
 
 def linked_in(cell: pa.Table, plan: Plan, cosine: float) -> pa.RecordBatch | None:
-    """Links found in one cell: ``id, n, low``, the links of each vector and the smallest id it is joined with."""
+    """Links found in one cell: ``id, n, low``, the links of each vector and the smallest id it is joined with.
+
+    A pair belongs to the first list in which it collides, if it collides often enough.
+    """
     here = cell["list"][0].as_py() & ((1 << 40) - 1)
     two = cell["low"][0].as_py() != cell["high"][0].as_py()
     cell = cell.combine_chunks()
     lists, places = padded(cell["lists"].chunk(0), np.int32, -1), padded(cell["places"].chunk(0), np.float32, np.nan)
     mine = places[np.arange(len(lists)), (lists == here).argmax(axis=1)]
-    order = np.argsort(mine, kind="stable")
-    lists, places, mine = lists[order], places[order], mine[order]
-    ids, copies, block = (cell[c].to_numpy()[order] for c in ("id", "copies", "block"))
-    vectors = stacked(cell["vec"].chunk(0))[order]
+    ids, copies, block = (cell[c].to_numpy() for c in ("id", "copies", "block"))
+    every, earlier = collisions(lists, places, here)
+    owned = (every >= plan.count) & (earlier == 0) & (np.abs(mine[:, None] - mine) <= WIDTH)
+    if two:
+        owned &= block[:, None] != block
+    a, b = np.nonzero(np.triu(owned, 1))
+    vectors = stacked(cell["vec"].chunk(0))
     vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    # 1024-bit maps of lists: a bound of the collisions that rules most pairs out
-    bits = np.zeros((len(ids), 1024), bool)
-    bits[np.repeat(np.arange(len(ids)), lists.shape[1]), (lists % 1024).ravel()] = True
-    maps = np.packbits(bits, axis=1).view(np.uint64)
-    last = np.searchsorted(mine, mine + np.float32(WIDTH), "right")
-    size = last - np.arange(len(ids)) - 1  # each window's part above its centre; the part below is its mirror
-    starts = np.cumsum(size) - size
-    a_all, b_all = [], []
-    lo = 0
-    while lo < len(ids):
-        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + 8 * PAIRS, "right")) - 1)
-        hi = min(hi, len(ids))
-        a = np.repeat(np.arange(lo, hi), size[lo:hi])
-        b = a + 1 + np.arange(len(a)) - np.repeat(starts[lo:hi] - starts[lo], size[lo:hi])
-        lo = hi
-        if two:
-            a, b = a[block[a] != block[b]], b[block[a] != block[b]]
-        likely = np.bitwise_count(maps[a] & maps[b]).sum(axis=1) >= plan.count
-        a, b = a[likely], b[likely]
-        for k in range(0, len(a), PAIRS):
-            x, y = earlier_left_out(a[k : k + PAIRS], b[k : k + PAIRS], lists, places, here)
-            hit = np.zeros((len(x), lists.shape[1]), bool)
-            for c in range(lists.shape[1]):
-                hit |= (lists[x] == lists[y, c][:, None]) & (np.abs(places[x] - places[y, c][:, None]) <= WIDTH)
-            own = hit.sum(axis=1) >= plan.count
-            x, y = x[own], y[own]
-            near = np.einsum("ij,ij->i", vectors[x], vectors[y]) >= cosine
-            a_all.append(x[near])
-            b_all.append(y[near])
-    a, b = np.concatenate([np.zeros(0, np.int64), *a_all]), np.concatenate([np.zeros(0, np.int64), *b_all])
+    near = np.zeros(len(a), bool)
+    for k in range(0, len(a), PAIRS):
+        near[k : k + PAIRS] = np.einsum("ij,ij->i", vectors[a[k : k + PAIRS]], vectors[b[k : k + PAIRS]]) >= cosine
+    a, b = a[near], b[near]
     if not len(a):
         return None
     n = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
