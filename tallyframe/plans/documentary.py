@@ -22,17 +22,21 @@ from .registry import query
 from .textual import ASKED, BM, SHIFTED, SOUGHT, WORDS, asked, shifted, unnested
 
 
-@query("SELECT o_orderkey AS doc_id, '1' AS number, 'Short title' || chr(10) || '(a) This order covers Section 12(a) of The Education Act, ' || (year(o_orderdate) + 19) || ' and Rule 7 as amended by notice of ' || (year(o_orderdate) + 19) AS text FROM orders")
+COVERS = "'This order covers Section 12(a) of The Education Act, ' || (year(o_orderdate) + 19) || ' and Rule 7 as amended by notice of ' || (year(o_orderdate) + 19)"
+EFFECT = "'effective from ' || day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || 'in Guntur by order of the education department' ELSE '' END || chr(10) || 'Step 1: apply'"
+
+
+@query(f"SELECT o_orderkey AS doc_id, '1' AS number, 'Short title' || chr(10) || '(a) ' || {COVERS} AS text FROM orders UNION ALL SELECT o_orderkey, '2', 'Effect' || chr(10) || '(b) ' || {EFFECT} FROM orders")
 def lg2_clauses(spark: SparkSession, sf: str) -> DataFrame:
-    return D.paragraphs(legal_texts(spark, sf), D.CLAUSE).where("number = '1'")
+    return D.paragraphs(legal_texts(spark, sf), D.CLAUSE)
 
 
-@query("SELECT o_orderkey AS doc_id, 'b' AS number, 'effective from ' || day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || 'in Guntur by order of the education department' ELSE '' END || chr(10) || 'Step 1: apply' AS text FROM orders")
+@query(f"SELECT o_orderkey AS doc_id, 'a' AS number, {COVERS} || chr(10) || '2. Effect' AS text FROM orders UNION ALL SELECT o_orderkey, 'b', {EFFECT} FROM orders")
 def lg2_rule_clauses(spark: SparkSession, sf: str) -> DataFrame:
-    return D.paragraphs(legal_texts(spark, sf), D.LETTERED).where("number = 'b'")
+    return D.paragraphs(legal_texts(spark, sf), D.LETTERED)
 
 
-@query("SELECT o_orderkey AS doc_id, (o_custkey % 5 + 1)::VARCHAR AS number, length('Schools' || chr(10) || '1. Short title' || chr(10) || '(a) This order covers Section 12(a) of The Education Act, 2014 and Rule 7 as amended by notice of 2014' || chr(10) || '2. Effect' || chr(10) || '(b) effective from ' || day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || 'in Guntur by order of the education department' ELSE '' END || chr(10) || 'Step 1: apply')::INTEGER AS length FROM orders WHERE o_custkey % 5 + 1 <> 12")
+@query("SELECT o_orderkey AS doc_id, (o_custkey % 5 + 1)::VARCHAR AS number, length('Schools' || chr(10) || '1. Short title' || chr(10) || '(a) This order covers Section 12(a) of The Education Act, 2014 and Rule 7 as amended by notice of 2014' || chr(10) || '2. Effect' || chr(10) || '(b) effective from ' || day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || 'in Guntur by order of the education department' ELSE '' END || chr(10) || 'Step 1: apply')::INTEGER AS length FROM orders")
 def lg2_sections(spark: SparkSession, sf: str) -> DataFrame:
     return D.paragraphs(legal_texts(spark, sf), D.SECTIONED).select("doc_id", "number", F.length("text").alias("length"))
 
@@ -227,10 +231,10 @@ def ms_multi_modal(spark: SparkSession, sf: str) -> DataFrame:
     return W.top_per_group(facts(spark, sf).withColumn("kind", kind), ["kind"], [F.desc("value"), "fact_id"], 5).select("fact_id", "kind")
 
 
-@query("SELECT item_id, length(text) AS n FROM benchmark WHERE item_id % 2 = 0 AND length(text) > 100")
+@query("SELECT item_id, length(text) AS n FROM benchmark WHERE length(text) > 100")
 def tq_filter(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "benchmark")
-    return b.where((F.col("item_id") % 2 == 0) & (F.length("text") > 100)).select("item_id", F.length("text").cast("long").alias("n"))
+    return b.where(F.length("text") > 100).select("item_id", F.length("text").cast("long").alias("n"))
 
 
 @query("SELECT fact_id, indicator || ' in ' || district || ' for ' || year || ': ' || printf('%.2f', value) || ' ' || unit AS content, coalesce(confidence_score, 0.5) AS confidence FROM {facts} f")

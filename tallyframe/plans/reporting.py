@@ -131,9 +131,9 @@ def sc_legal_chain(spark: SparkSession, sf: str) -> DataFrame:
     return P.legal_chain(facts(spark, sf).select("fact_id", "ord", document_type(F.col("source_document")).alias("doc_type"))).select("doc_type", "fact_id", "rank")
 
 
-@query("SELECT child, min(parent) AS parent FROM (SELECT o_orderkey AS child, 'rule ' || (o_custkey % 50) AS ref FROM orders WHERE o_orderkey % 7 = 0) JOIN (SELECT c_custkey AS parent, 'The Act of Rule ' || (c_custkey % 60) || ' and more' AS title FROM customer) ON contains(lower(title), ref || ' and') GROUP BY child")
+@query("SELECT child, min(parent) AS parent FROM (SELECT o_orderkey AS child, 'rule ' || (o_custkey % 50) AS ref FROM orders) JOIN (SELECT c_custkey AS parent, 'The Act of Rule ' || (c_custkey % 60) || ' and more' AS title FROM customer) ON contains(lower(title), ref || ' and') GROUP BY child")
 def join_legal_parent(spark: SparkSession, sf: str) -> DataFrame:
-    children = table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("child"), F.concat(F.lit("Rule "), (F.col("o_custkey") % 50).cast("string")).alias("reference"))
+    children = table(spark, sf, "orders").select(F.col("o_orderkey").alias("child"), F.concat(F.lit("Rule "), (F.col("o_custkey") % 50).cast("string")).alias("reference"))
     parents = table(spark, sf, "customer").select(F.col("c_custkey").alias("parent"), F.concat(F.lit("The Act of Rule "), (F.col("c_custkey") % 60).cast("string"), F.lit(" and more")).alias("title"))
     return P.legal_parents(children, parents)
 
@@ -144,11 +144,12 @@ def join_common_results(spark: SparkSession, sf: str) -> DataFrame:
     return P.common_results(f.where("year = 2019").select("fact_id", F.lit(1).alias("query")).union(f.where("value > 30").select("fact_id", F.lit(2))), 2)
 
 
-@query("SELECT a.vec_id AS claim_id, b.vec_id AS citation_id FROM embeddings a JOIN embeddings b ON a.vec_id < 40 AND b.vec_id >= 100 AND b.vec_id < 160 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.1")
+@query("SELECT a.vec_id AS claim_id, b.vec_id AS citation_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.1")
 def join_claims_citations(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "embeddings")
-    claims = v.where("vec_id < 40").select(F.col("vec_id").alias("claim_id"), F.col("embedding").alias("claim"))
-    cited = v.where("vec_id >= 100 and vec_id < 160").select(F.col("vec_id").alias("citation_id"), F.col("embedding").alias("citation"))
+    # even rows stand for claims and odd ones for citations of an answer, the label
+    v = table(spark, sf, "embeddings").withColumnRenamed("label", "answer")
+    claims = v.where("vec_id % 2 = 0").select("answer", F.col("vec_id").alias("claim_id"), F.col("embedding").alias("claim"))
+    cited = v.where("vec_id % 2 = 1").select("answer", F.col("vec_id").alias("citation_id"), F.col("embedding").alias("citation"))
     return T.claims_cited(claims, cited, 0.1)
 
 
@@ -210,7 +211,7 @@ def agg_pipeline_report(spark: SparkSession, sf: str) -> DataFrame:
     return one.crossJoin(supersessions(legal_texts(spark, sf)).agg(F.count(F.lit(1)).alias("supersessions")))
 
 
-@query("SELECT conv_id, turn, least(100, 10 * (len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) > 3 * 1.5)::INT + 10 * regexp_matches(lower(text), '\\b(always|never|all|none|every|must|will definitely)\\b')::INT) / 100.0::DOUBLE AS risk FROM conversations WHERE NOT regexp_matches(text, '[0-9]')")
+@query("SELECT conv_id, turn, least(100, 20 * (len(list_distinct(regexp_extract_all(text, '\\b[0-9]+(?:\\.[0-9]+)?%?'))) > 2)::INT + 10 * (len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) > 3 * 1.5)::INT + 10 * regexp_matches(lower(text), '\\b(always|never|all|none|every|must|will definitely)\\b')::INT) / 100.0::DOUBLE AS risk FROM conversations WHERE text IS NOT NULL")
 def sc_hallucination(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").where(~F.col("text").rlike("[0-9]"))
+    c = table(spark, sf, "conversations").where("text is not null")
     return c.select("conv_id", "turn", S.hallucination_risk(F.col("text"), F.lit("some three words")).alias("risk"))

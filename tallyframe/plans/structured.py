@@ -22,9 +22,9 @@ def join_match_fact(spark: SparkSession, sf: str) -> DataFrame:
     return f.where("indicator = 'Total Enrollment'").join(V.lookup(f, "Boys Enrollment", "boys"), ["district", "year"], "left").select("fact_id", "boys")
 
 
-@query("SELECT f.fact_id, f.value, p.value AS previous FROM {facts} f JOIN {facts} p ON p.district = f.district AND p.indicator = f.indicator AND f.year = p.year + 1 WHERE f.year <> 2018 AND p.year <> 2018")
+@query("WITH g AS (SELECT * REPLACE (CASE WHEN year = 2018 THEN 2030 ELSE year END AS year) FROM {facts} f) SELECT f.fact_id, f.value, p.value AS previous FROM g f JOIN g p ON p.district = f.district AND p.indicator = f.indicator AND f.year = p.year + 1")
 def join_prev_year(spark: SparkSession, sf: str) -> DataFrame:
-    return V.previous_year(facts(spark, sf).where("year <> 2018"))
+    return V.previous_year(facts(spark, sf).withColumn("year", F.when(F.col("year") == 2018, 2030).otherwise(F.col("year"))))
 
 
 @query("SELECT fact_id, value, previous FROM (SELECT f.fact_id, f.value, p.value AS previous FROM {facts} f JOIN {facts} p ON p.district = f.district AND p.indicator = f.indicator AND f.year = p.year + 1) WHERE previous > 0 AND abs(value - previous) / previous > 0.5::DOUBLE")
@@ -129,15 +129,15 @@ def edge_cross(spark: SparkSession, sf: str) -> DataFrame:
     return B.edges(facts(spark, sf), "cross_district", ["indicator", "year"], 0.5)
 
 
-@query("SELECT a.fact_id AS source, b.fact_id AS target, CASE WHEN a.source_document = b.source_document THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS strength FROM (SELECT *, " + DOC_TYPE + " AS t FROM {facts} f) a JOIN (SELECT *, " + DOC_TYPE + " AS t FROM {facts} f) b ON a.t = b.t AND a.indicator = b.indicator AND a.ord < b.ord WHERE a.year >= 2020 AND b.year >= 2020")
+@query("SELECT a.fact_id AS source, b.fact_id AS target, CASE WHEN a.source_document = b.source_document THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS strength FROM (SELECT *, " + DOC_TYPE + " AS t FROM {facts} f) a JOIN (SELECT *, " + DOC_TYPE + " AS t FROM {facts} f) b ON a.t = b.t AND a.indicator = b.indicator AND a.ord < b.ord")
 def edge_policy(spark: SparkSession, sf: str) -> DataFrame:
-    f = facts(spark, sf).where("year >= 2020").withColumn("doc_type", A.document_type(F.col("source_document")))
+    f = facts(spark, sf).withColumn("doc_type", A.document_type(F.col("source_document")))
     return B.edges(f, "policy_hierarchy", ["doc_type", "indicator"], 0.6)
 
 
-@query("WITH p AS (SELECT a.fact_id AS source, b.fact_id AS target, a.district = b.district AS d, a.indicator = b.indicator AS i, a.year = b.year AS y, a.source_document = b.source_document AS s, abs(a.year - b.year) AS g FROM {facts} a JOIN {facts} b ON a.ord < b.ord WHERE a.year >= 2019 AND b.year >= 2019), t AS (SELECT *, least(10, 4 * d::INT + 3 * i::INT + CASE WHEN g <= 1 THEN 3 WHEN g <= 3 THEN 2 ELSE 0 END + 2 * s::INT) AS t FROM p) SELECT source, target, t / 10.0::DOUBLE AS strength, CASE WHEN d THEN 'district' WHEN i THEN 'indicator' WHEN y THEN 'year' WHEN s THEN 'document' ELSE 'related' END AS kind FROM t WHERE t > 3")
+@query("WITH p AS (SELECT a.fact_id AS source, b.fact_id AS target, a.district = b.district AS d, a.indicator = b.indicator AS i, a.year = b.year AS y, a.source_document = b.source_document AS s, abs(a.year - b.year) AS g FROM {facts} a JOIN {facts} b ON a.ord < b.ord), t AS (SELECT *, least(10, 4 * d::INT + 3 * i::INT + CASE WHEN g <= 1 THEN 3 WHEN g <= 3 THEN 2 ELSE 0 END + 2 * s::INT) AS t FROM p) SELECT source, target, t / 10.0::DOUBLE AS strength, CASE WHEN d THEN 'district' WHEN i THEN 'indicator' WHEN y THEN 'year' WHEN s THEN 'document' ELSE 'related' END AS kind FROM t WHERE t > 3")
 def join_fact_graph(spark: SparkSession, sf: str) -> DataFrame:
-    return B.fact_graph(facts(spark, sf).where("year >= 2019"))
+    return B.fact_graph(facts(spark, sf))
 
 
 @query("SELECT district, year, (count(*) * (count(*) - 1) / 2)::BIGINT AS edges FROM {facts} f GROUP BY 1, 2")
@@ -165,11 +165,11 @@ def agg_bridge_index(spark: SparkSession, sf: str) -> DataFrame:
     return B.bridge_index(bridge_rows(spark, sf))
 
 
-NET = "(SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target, 'IN' AS kind FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'AT' FROM supplier WHERE s_suppkey <= 60)"
+NET = "(SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target, 'IN' AS kind FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'AT' FROM supplier)"
 
 
 def net(spark: SparkSession, sf: str) -> DataFrame:
-    n, s = table(spark, sf, "nation"), table(spark, sf, "supplier").where("s_suppkey <= 60")
+    n, s = table(spark, sf, "nation"), table(spark, sf, "supplier")
     at = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     return n.select(at("n", "n_nationkey").alias("source"), at("r", "n_regionkey").alias("target"), F.lit("IN").alias("kind")).union(s.select(at("s", "s_suppkey"), at("n", "s_nationkey"), F.lit("AT")))
 
@@ -219,9 +219,10 @@ def gr_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return G.upserted(nodes, known, "id").select("id", "value")
 
 
-@query("SELECT a.p_partkey AS source, b.p_partkey AS target FROM (SELECT * FROM part WHERE p_partkey <= 60) a JOIN (SELECT * FROM part WHERE p_partkey <= 60) b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey".replace("WHERE p_partkey <= 60", "WHERE p_size = 7"))
+@query("SELECT a.p_partkey AS source, b.p_partkey AS target FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey")
 def join_related_indicators(spark: SparkSession, sf: str) -> DataFrame:
-    return G.related_within(table(spark, sf, "part").where("p_size = 7").select("p_partkey", "p_brand"), "p_partkey", "p_brand")
+    kind = F.concat_ws("|", "p_brand", "p_type", F.col("p_size").cast("string"))
+    return G.related_within(table(spark, sf, "part").select("p_partkey", kind.alias("kind")), "p_partkey", "kind")
 
 
 @query("SELECT f.fact_id, coalesce(d.district, 'Unknown') AS place FROM {facts} f LEFT JOIN (SELECT unnest([" + KNOWN + "]) AS district) d USING (district)")

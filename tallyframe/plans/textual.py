@@ -142,18 +142,18 @@ def sc_numeric_claim(spark: SparkSession, sf: str) -> DataFrame:
     return f.join(nxt, ["district", "indicator", "year"]).select("fact_id", S.numbers_agree(F.col("value"), F.col("b")).alias("agree"))
 
 
-@query("SELECT conv_id, turn, len(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x)), lambda s: length(s) >= 20 AND NOT regexp_matches(lower(s), 'according to|based on|as per|source:'))) AS claims FROM conversations WHERE text IS NOT NULL AND NOT contains(text, chr(10)) AND NOT contains(text, chr(9))")
+@query("SELECT conv_id, turn, len(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x)), lambda s: length(s) >= 20 AND NOT regexp_matches(lower(s), 'according to|based on|as per|source:'))) AS claims FROM conversations WHERE text IS NOT NULL")
 def sc_claims(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").where(~F.col("text").contains("\n") & ~F.col("text").contains("\t"))
+    c = table(spark, sf, "conversations").where("text is not null")
     return c.select("conv_id", "turn", F.size(S.claims(F.col("text"))).cast("long").alias("claims"))
 
 
 HEDGED = "|".join(V.HEDGES)
 
 
-@query(f"SELECT conv_id, turn, round(len(list_filter(s, lambda x: regexp_matches(lower(x), '{HEDGED}'))) / greatest(len(s), 1), 6) AS hedged FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x)), lambda x: length(x) > 20) AS s FROM conversations WHERE NOT contains(text, chr(10)) AND NOT contains(text, chr(9)))")
+@query(f"SELECT conv_id, turn, round(len(list_filter(s, lambda x: regexp_matches(lower(x), '{HEDGED}'))) / greatest(len(s), 1), 6) AS hedged FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x)), lambda x: length(x) > 20) AS s FROM conversations WHERE text IS NOT NULL)")
 def sc_hedging(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").where(~F.col("text").contains("\n") & ~F.col("text").contains("\t"))
+    c = table(spark, sf, "conversations").where("text is not null")
     return c.select("conv_id", "turn", F.round(S.hedging(F.col("text")), 6).alias("hedged"))
 
 
@@ -340,14 +340,14 @@ def er_merge(spark: SparkSession, sf: str) -> DataFrame:
     return E.merged(E.extracted(facts(spark, sf)))
 
 
-SHIFTED = "(SELECT 'left' AS dataset, 'school' AS entity_type, 'school_' || (100000 + p_partkey) AS entity_id, p_name AS name, 2000 + p_size AS year FROM part WHERE p_partkey <= 120 UNION ALL SELECT 'right', CASE WHEN p_partkey % 2 = 0 THEN 'school' ELSE 'district' END, CASE WHEN p_partkey % 3 = 0 THEN 'school_' ELSE 'unit_' END || (100000 + p_partkey), CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE p_name || 'x' END, 2100 FROM part WHERE p_partkey <= 90)"
+SHIFTED = "(SELECT 'left' AS dataset, 'school' AS entity_type, 'school_' || (100000 + p_partkey) AS entity_id, p_name AS name, 2000 + p_size AS year FROM part UNION ALL SELECT 'right', CASE WHEN p_partkey % 2 = 0 THEN 'school' ELSE 'district' END, CASE WHEN p_partkey % 3 = 0 THEN 'school_' ELSE 'unit_' END || (100000 + p_partkey), CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE p_name || 'x' END, 2100 FROM part)"
 
 
 def shifted(spark: SparkSession, sf: str) -> DataFrame:
     p, k = table(spark, sf, "part"), F.col("p_partkey")
     code = (100000 + k).cast("string")
-    left = p.where("p_partkey <= 120").select(F.lit("left").alias("dataset"), F.lit("school").alias("entity_type"), F.concat(F.lit("school_"), code).alias("entity_id"), F.col("p_name").alias("name"), (2000 + F.col("p_size")).alias("year"))
-    right = p.where("p_partkey <= 90").select(F.lit("right"), F.when(k % 2 == 0, "school").otherwise("district"), F.concat(F.when(k % 3 == 0, "school_").otherwise("unit_"), code), F.when(k % 5 == 0, F.upper("p_name")).otherwise(F.concat("p_name", F.lit("x"))), F.lit(2100))
+    left = p.select(F.lit("left").alias("dataset"), F.lit("school").alias("entity_type"), F.concat(F.lit("school_"), code).alias("entity_id"), F.col("p_name").alias("name"), (2000 + F.col("p_size")).alias("year"))
+    right = p.select(F.lit("right"), F.when(k % 2 == 0, "school").otherwise("district"), F.concat(F.when(k % 3 == 0, "school_").otherwise("unit_"), code), F.when(k % 5 == 0, F.upper("p_name")).otherwise(F.concat("p_name", F.lit("x"))), F.lit(2100))
     return left.union(right)
 
 
