@@ -18,6 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .pretokens import PretokenCache, byte_characters, id_lists
 
 # Fixed values of the sentencepiece model format: field numbers and enumerations.
@@ -113,6 +114,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     null keys and extra columns pass through; an empty table gives no rows.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:

@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+BATCH_CONFS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows and bytes of the Arrow batches in which texts reach Python; smaller settings stay."""
+    for name, most in BATCH_CONFS.items():
+        now = str(spark.conf.get(name, "0")).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 class Scratch:
     """Intermediate tables, written as Parquet in the shared folder so that a lost executor costs no lineage.
 
@@ -29,6 +40,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        small_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str) -> str:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import with_column
+from .common import small_batches
 from .sampling import label_sample
 from .words import U64, mix
 
@@ -147,6 +148,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     Null texts and texts without a letter are ``und`` with score 0. Rows are independent: repeats, nulls in other
     columns and extra columns pass through, and an empty table gives no rows.
     """
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     schema = with_column(docs.select([c for c in docs.columns if c not in ("lang_pred", "score")]), "lang_pred", "string") + ", `score` double"
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 
 #: Entries of a cache generation, and the longest match that is kept.
-ENTRIES, LONGEST = 400_000, 64
+ENTRIES, LONGEST = 250_000, 64
 LATIN = [chr(c) for c in range(256)]
 CLASSES = {
     r"\p{L}": "".join(f"\\x{ord(c):02x}" for c in LATIN if unicodedata.category(c)[0] == "L"),

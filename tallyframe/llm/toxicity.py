@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import with_column
+from .common import small_batches
 from .sampling import label_sample
 from .words import BREAK, U64, Words, mix, word_chunks
 
@@ -193,6 +194,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     Null, empty and blank texts get the score of no words. Rows are independent: repeats and extra columns pass
     through, and an empty table gives no rows.
     """
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
