@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,8 +28,8 @@ BATCH_CONFS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows and bytes of the Arrow batches in which texts reach Python; smaller settings stay."""
     for name, most in BATCH_CONFS.items():
-        now = str(spark.conf.get(name, "0")).lower().rstrip("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
+        number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(name).lower()).groups()
+        if not 0 < int(number) << 10 * " kmgt".index(unit or " ") <= most:
             spark.conf.set(name, str(most))
 
 
