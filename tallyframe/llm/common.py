@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,10 +16,12 @@ CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is set only where the session names none."""
+    """The folder all executors share; a local one, removed at exit, is set only where the session names none."""
     where = spark.conf.get(CHECKPOINT_CONF, None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
+        own = tempfile.mkdtemp(prefix="tallyframe-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = f"file://{own}"
         spark.conf.set(CHECKPOINT_CONF, where)
     return where.rstrip("/")
 
