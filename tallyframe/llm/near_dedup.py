@@ -5,9 +5,9 @@ folded into a parity bitmap (an Odd sketch) discard unlikely ones: the populatio
 bitmaps of ``n`` bits over ``k`` samples estimates the Jaccard similarity as ``1 + n / (4 k) * ln(1 - 2 d / n)``.
 What passes is confirmed on full shingle sets, so no false link is returned.
 
-A band bucket is never expanded into pairs: each member proposes its nearest partners by their sketches, and buckets
-that still span several components propose again, across components, with more partners each time, until a third or
-later round adds no link. Copies share one representative.
+Each member of a band bucket first proposes its nearest partners by their sketches, and buckets that still span several
+components propose again, across components, with more partners each time. When a turn adds no link, a last one proposes
+every pair across components that the sketches let pass. Copies share one representative.
 """
 
 from __future__ import annotations
@@ -149,24 +149,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 80, s
     edges: DataFrame | None = None
     label: DataFrame | None = None
     tested: DataFrame | None = None
-    for turn in range(1 << 30):
+    turn, last = 0, False
+    while True:
         at = members.withColumn("component", F.col("id"))
         if label is not None:
             at = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
             open_ = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
             at = at.join(scratch.put(open_, f"open{turn}"), "key")
-        found = candidates(at, turn, threshold)
+        found = candidates(at, turn, threshold, last)
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         found = scratch.put(found, f"candidates{turn}")
         tested = found if tested is None else tested.union(found)
         linked = scratch.put(confirmed(found, sets, threshold), f"links{turn}")
-        if linked.isEmpty():
-            if turn > 1:
-                break
-            continue
-        edges = linked if edges is None else edges.union(linked)
-        label = connected_components(edges, scratch)
+        more = not linked.isEmpty()
+        if more:
+            edges = linked if edges is None else edges.union(linked)
+            label = connected_components(edges, scratch)
+        if last:
+            break
+        turn, last = turn + 1, not more
     if label is None:
         label = linked.select(F.col("a").alias("id"), F.col("b").alias("component"))
     scratch.drop(sets, members)
@@ -175,16 +177,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 80, s
     return final.select("doc_id", "n_shingles", F.coalesce(component, "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def candidates(members: DataFrame, turn: int, threshold: int) -> DataFrame:
+def candidates(members: DataFrame, turn: int, threshold: int, every: bool) -> DataFrame:
     """Pairs ``(a, b)`` of different components that share a bucket and that the Odd sketches don't rule out.
 
     Each member proposes only its nearest partners in its bucket by their sketches (one at first, more at each turn),
-    so the pairs follow the rows. Buckets of more than ``CELL`` members are dealt into cells, anew at each turn.
+    so the pairs follow the rows, or ``every`` partner. Buckets of more than ``CELL`` members are dealt into cells, anew at each turn.
     """
     cells = F.ceil(F.col("size") / CELL)
     dealt = members.select("key", F.pmod(F.xxhash64("id", F.lit(turn)), cells).alias("cell"), "id", "n_shingles", "component", "sketch")
     dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    limit, nearest = most_odd_bits(threshold / 100), PARTNERS[min(turn, len(PARTNERS) - 1)]
+    limit, nearest = most_odd_bits(threshold / 100), CELL * CELL if every else PARTNERS[min(turn, len(PARTNERS) - 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -217,7 +219,12 @@ def proposals(table: pa.Table, limit: int, threshold: int, nearest: int) -> pa.R
                 small = np.minimum(sizes[lo:hi, None], sizes[None, a:b])
                 large = np.maximum(sizes[lo:hi, None], sizes[None, a:b])
                 odd[(component[lo:hi, None] == component[None, a:b]) | (small * 100 < large * threshold)] = BITS + 1
-                for _ in range(min(nearest, b - a - 1)):
+                if nearest >= b - a - 1:
+                    row, other = np.nonzero(odd <= limit)
+                    left.append(ids[lo + row])
+                    right.append(ids[a + other])
+                    continue
+                for _ in range(nearest):
                     best = odd.argmin(axis=1)
                     row = np.flatnonzero(odd[np.arange(hi - lo), best] <= limit)
                     if not len(row):

@@ -89,6 +89,21 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == component
 
 
+def just_under(n, pairs):
+    """Documents 0.79 similar to each other, the first ``2 * pairs`` 0.81 to one other; shingles are words."""
+    rows = [(i, [f"b{j}" for j in range(60)] + [f"v{i}x{j}" for j in range(7)] + [f"pair{i // 2}" if i < 2 * pairs else f"v{i}"]) for i in range(n)]
+    sets = {i: frozenset(w) for i, w in rows}
+    links = [(a, b) for a in sets for b in range(a + 1, n) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(links) == pairs
+    return [(i, " ".join(w)) for i, w in rows], components(sets, links)
+
+
+def test_near_duplicates_among_variants_just_under_the_threshold(spark):
+    rows, component = just_under(150, 20)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, spark.createDataFrame(rows, DOCS), 80, 1).collect()}
+    assert got == component
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, nothing):
     rows = near_dedup.near_duplicates(spark, odd, 80).collect()
     assert len(rows) == odd.count()
