@@ -7,7 +7,7 @@ What passes is confirmed on full shingle sets, so no false link is returned.
 
 Each member of a band bucket first proposes its nearest partners by their sketches, and buckets that still span several
 components propose again, across components, with more partners each time. When a turn adds no link, a last one proposes
-every pair across components that the sketches let pass. Copies share one representative.
+every pair across components that the sketches let pass, block against block. Copies share one representative.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
@@ -154,9 +154,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 80, s
         at = members.withColumn("component", F.col("id"))
         if label is not None:
             at = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            open_ = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        if turn:
+            shares = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+            open_ = shares.agg(F.max_by("component", F.struct("n", "component")).alias("major"), (F.sum("n") - F.max("n")).alias("minors")).where("minors > 0")
             at = at.join(scratch.put(open_, f"open{turn}"), "key")
-        found = candidates(at, turn, threshold, last)
+        found = (crossings(at, threshold) if last else candidates(at, turn, threshold)).distinct()
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         found = scratch.put(found, f"candidates{turn}")
@@ -177,16 +179,44 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 80, s
     return final.select("doc_id", "n_shingles", F.coalesce(component, "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def candidates(members: DataFrame, turn: int, threshold: int, every: bool) -> DataFrame:
+def candidates(members: DataFrame, turn: int, threshold: int) -> DataFrame:
     """Pairs ``(a, b)`` of different components that share a bucket and that the Odd sketches don't rule out.
 
     Each member proposes only its nearest partners in its bucket by their sketches (one at first, more at each turn),
-    so the pairs follow the rows, or ``every`` partner. Buckets of more than ``CELL`` members are dealt into cells, anew at each turn.
+    so the pairs follow the rows. Buckets of more than ``CELL`` members are dealt into cells, anew at each turn.
     """
     cells = F.ceil(F.col("size") / CELL)
-    dealt = members.select("key", F.pmod(F.xxhash64("id", F.lit(turn)), cells).alias("cell"), "id", "n_shingles", "component", "sketch")
+    dealt = members.select("key", F.pmod(F.xxhash64("id", "key", F.lit(turn)), cells).alias("cell"), "id", "n_shingles", "component", "sketch", F.lit(True).alias("left"), F.lit(True).alias("right"))
+    return proposed(dealt, threshold, PARTNERS[min(turn, len(PARTNERS) - 1)])
+
+
+def crossings(members: DataFrame, threshold: int) -> DataFrame:
+    """All pairs ``(a, b)`` of different components that share a bucket and that the Odd sketches don't rule out.
+
+    The members of a bucket outside its largest component (``major``) are compared with one another and with that
+    component: both are dealt into blocks of about ``CELL``, and every two blocks meet in a cell of their own.
+    """
+    minor = F.col("component") != F.col("major")
+    minors, majors = F.ceil(F.col("minors") / CELL), F.ceil((F.col("size") - F.col("minors")) / CELL)
+    block = F.pmod(F.xxhash64("id", "key"), F.when(minor, minors).otherwise(majors))
+    held = members.select("key", "id", "n_shingles", "component", "sketch", minor.alias("minor"), minors.alias("minors"), majors.alias("majors"), block.alias("block"))
+
+    def cell(i: Column, j: Column) -> Column:
+        return F.struct((i * (F.col("minors") + F.col("majors")) + j).alias("cell"), (F.col("minor") & (i == F.col("block"))).alias("left"), (~F.col("minor") | (j == F.col("block"))).alias("right"))
+
+    # cell (i, j): block i of the others on the left, and on the right their block j, or that of the major component
+    own = F.transform(F.sequence("block", F.col("minors") + F.col("majors") - 1), lambda j: cell(F.col("block"), j))
+    later = F.transform(F.sequence(F.lit(0).cast("long"), "block"), lambda i: cell(i, F.col("block")))
+    major = F.transform(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1), lambda i: cell(i, F.col("minors") + F.col("block")))
+    met = F.when(F.col("minor"), F.array_distinct(F.concat(own, later))).otherwise(major)
+    dealt = held.withColumn("met", F.explode(met)).select("key", "met.cell", "id", "n_shingles", "component", "sketch", "met.left", "met.right")
+    return proposed(dealt, threshold, None)
+
+
+def proposed(dealt: DataFrame, threshold: int, nearest: int | None) -> DataFrame:
+    """The pairs ``(a, b)`` of left and right rows of a cell, each left row with its nearest partners or with all."""
     dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    limit, nearest = most_odd_bits(threshold / 100), CELL * CELL if every else PARTNERS[min(turn, len(PARTNERS) - 1)]
+    limit = most_odd_bits(threshold / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -200,37 +230,40 @@ def candidates(members: DataFrame, turn: int, threshold: int, every: bool) -> Da
         if held is not None:
             yield proposals(held, limit, threshold, nearest)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def proposals(table: pa.Table, limit: int, threshold: int, nearest: int) -> pa.RecordBatch:
-    """The nearest partners of each row among the rows of its cell (whole cells, standing together)."""
+def proposals(table: pa.Table, limit: int, threshold: int, nearest: int | None) -> pa.RecordBatch:
+    """The nearest, or all, right partners of each left row of its cell (whole cells, standing together)."""
     table = table.combine_chunks()
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if len(table):
-        ids, sizes, component = (table[c].to_numpy() for c in ("id", "n_shingles", "component"))
+        ids, sizes, component, lefts, rights = (table[c].to_numpy() for c in ("id", "n_shingles", "component", "left", "right"))
         words = np.stack([table["sketch"].chunk(0).values.to_numpy()[table["sketch"].chunk(0).offsets[0].as_py() :][i :: BITS // 64][: len(ids)] for i in range(BITS // 64)], axis=1).view(U64)
         key = np.stack([table["key"].to_numpy(), table["cell"].to_numpy()], axis=1)
         cut = np.r_[0, np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1, len(ids)]
         for a, b in zip(cut, cut[1:], strict=False):
-            for lo in range(a, b if b - a > 1 else a, 256):
-                hi = min(b, lo + 256)
-                odd = np.bitwise_count(words[lo:hi, None] ^ words[None, a:b]).sum(axis=2, dtype=np.int32)
-                small = np.minimum(sizes[lo:hi, None], sizes[None, a:b])
-                large = np.maximum(sizes[lo:hi, None], sizes[None, a:b])
-                odd[(component[lo:hi, None] == component[None, a:b]) | (small * 100 < large * threshold)] = BITS + 1
-                if nearest >= b - a - 1:
+            if b - a < 2:
+                continue
+            from_, to = a + np.flatnonzero(lefts[a:b]), a + np.flatnonzero(rights[a:b])
+            for lo in range(0, len(from_) if len(to) else 0, 256):
+                x = from_[lo : lo + 256]
+                odd = np.bitwise_count(words[x, None] ^ words[None, to]).sum(axis=2, dtype=np.int32)
+                small = np.minimum(sizes[x, None], sizes[None, to])
+                large = np.maximum(sizes[x, None], sizes[None, to])
+                odd[(component[x, None] == component[None, to]) | (small * 100 < large * threshold)] = BITS + 1
+                if nearest is None or nearest >= len(to) - 1:
                     row, other = np.nonzero(odd <= limit)
-                    left.append(ids[lo + row])
-                    right.append(ids[a + other])
+                    left.append(ids[x[row]])
+                    right.append(ids[to[other]])
                     continue
                 for _ in range(nearest):
                     best = odd.argmin(axis=1)
-                    row = np.flatnonzero(odd[np.arange(hi - lo), best] <= limit)
+                    row = np.flatnonzero(odd[np.arange(len(x)), best] <= limit)
                     if not len(row):
                         break
-                    left.append(ids[lo + row])
-                    right.append(ids[a + best[row]])
+                    left.append(ids[x[row]])
+                    right.append(ids[to[best[row]]])
                     odd[row, best[row]] = BITS + 1
     x, y = np.concatenate(left), np.concatenate(right)
     pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0)

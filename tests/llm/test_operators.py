@@ -104,6 +104,13 @@ def test_near_duplicates_among_variants_just_under_the_threshold(spark):
     assert got == component
 
 
+def test_near_duplicates_across_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CELL", 8)
+    rows, component = just_under(150, 20)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, spark.createDataFrame(rows, DOCS), 80, 1).collect()}
+    assert got == component
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, nothing):
     rows = near_dedup.near_duplicates(spark, odd, 80).collect()
     assert len(rows) == odd.count()
