@@ -20,7 +20,7 @@ HEX = "0123456789abcdef"
 # What each kind looks like. Order matters where one is a prefix of another.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 KEY = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
-TOKEN = r"(?<=(?:token|secret|key|password|TOKEN|SECRET|KEY|PASSWORD) ?[=:] ?[\"']?)[0-9a-f]{32,64}(?![0-9A-Za-z])"
+TOKEN = r"(?<=(?i:token|secret|key|password) ?[=:] ?[\"']?)[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 IPV4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
 ISO_DATE = r"(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9A-Za-z]|-[0-9])"
 DAY_DATE = r"[0-3]?[0-9]([/.])[01]?[0-9]\1(?:19|20)[0-9]{2}(?![0-9A-Za-z]|[/.][0-9])"
@@ -75,6 +75,15 @@ def shift_hex(x: Column, b: Column) -> Column:
     return F.substr(F.lit(HEX), F.pmod(F.instr(F.lit(HEX), x) - 1 + b, F.lit(16)) + 1, F.lit(1))
 
 
+def shift_cased_hex(x: Column, b: Column) -> Column:
+    """Digits stay digits, and A to F or a to f letters of their case, so that tokens with capitals are permuted."""
+    out = x
+    for first, size in (("0", 10), ("A", 6), ("a", 6)):
+        place = F.ascii(x) - ord(first)
+        out = F.when((place >= 0) & (place < size), F.char(F.pmod(place + b, F.lit(size)) + ord(first))).otherwise(out)
+    return out
+
+
 def characters(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda x: x != "")
 
@@ -190,7 +199,8 @@ def pseudonym(m: Column, key: str) -> Column:
         "phone": phone(m, key),
         "card": card(m, key),
     }
-    out = F.array_join(feistel(characters(m), key, "token", shift_hex), "")
+    cased, plain = (F.array_join(feistel(characters(m), key, "token", shift), "") for shift in (shift_cased_hex, shift_hex))
+    out = F.when(m.rlike("[A-F]"), cased).otherwise(plain)
     for kind, to in reversed(kinds.items()):
         out = F.when(m.rlike(whole[kind]), to).otherwise(out)
     return out

@@ -428,6 +428,20 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert other != plain
 
 
+def replaced(spark, values):
+    rows = [(i, f"see {v} here") for i, v in enumerate(values)]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, DOCS), "k").collect()}
+    return [(got[i].text[4:-5], got[i].n_private) for i in range(len(values))]
+
+
+def test_pseudonyms_of_shouted_tokens(spark):
+    low = "b88d04a6ebdf3c204f17cc95a6be0f1f2d56dec5"
+    values = [f'TOKEN = "{low.upper()}"', f"Secret: {low}", f"Key={low[:20].upper()}{low[20:]}"]
+    for v, (out, n) in zip(values, replaced(spark, values), strict=True):
+        assert n == 1 and len(out) == len(v) and low[:20] not in out.lower()
+        assert any(c.isupper() for c in out[9:]) == any(c.isupper() for c in v[9:])
+
+
 def test_pseudonyms_are_bijections(spark):
     socials = spark.range(3000).select(F.col("id").alias("doc_id"), F.format_string("000-00-%04d", "id").alias("text"))
     assert pii.pseudonymise(socials, "k").select("text").distinct().count() == 3000
