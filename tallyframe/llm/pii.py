@@ -22,11 +22,13 @@ EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z
 KEY = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 TOKEN = r"(?<=(?i:token|secret|key|password) ?[=:] ?[\"']?)[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 IPV4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
-ISO_DATE = r"(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9A-Za-z]|-[0-9])"
-DAY_DATE = r"[0-3]?[0-9]([/.])[01]?[0-9]\1(?:19|20)[0-9]{2}(?![0-9A-Za-z]|[/.][0-9])"
+ISO_DATE = r"(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?!(?!T[0-9]{2}:)[0-9A-Za-z]|-[0-9])"
+DAY_DATE = r"[0-3]?[0-9]([/.])[0-3]?[0-9]\1(?:19|20)[0-9]{2}(?![0-9A-Za-z]|[/.][0-9])"
 SOCIAL = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 PHONE = r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])"
+# cards within a longer run of digits: 4-4-4-4, 4-6-5 or solid
+SHAPED = r"(?<![0-9])(?=((?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9]))"
 KINDS = {"email": EMAIL, "key": KEY, "token": TOKEN, "ipv4": IPV4, "iso": ISO_DATE, "day": DAY_DATE, "social": SOCIAL, "phone": PHONE, "card": CARD}
 ANY = r"(?<![0-9A-Za-z_.+-])(?:" + "|".join(KINDS.values()) + ")"
 
@@ -114,15 +116,22 @@ def check_digit(body: Column) -> Column:
     return F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
 
 
+def luhn(d: Column) -> Column:
+    return check_digit(F.slice(d, F.lit(1), F.size(d) - 1)) == F.element_at(d, -1)
+
+
 def card(m: Column, key: str) -> Column:
-    """Luhn-valid numbers of one length are permuted among themselves."""
+    """Luhn-valid numbers of one length are permuted among themselves: the whole run, or else card-shaped parts."""
 
-    def body(d: Column) -> Column:
-        front = F.slice(d, F.lit(1), F.size(d) - 1)
-        fresh = let(feistel(front, key, "card", modulo(10)), lambda p: filled(m, F.concat(p, F.array(check_digit(p)))))
-        return F.when(check_digit(front) == F.element_at(d, -1), fresh).otherwise(m)
+    def fresh(x: Column) -> Column:
+        def body(d: Column) -> Column:
+            return let(feistel(F.slice(d, F.lit(1), F.size(d) - 1), key, "card", modulo(10)), lambda p: filled(x, F.concat(p, F.array(check_digit(p)))))
 
-    return let(digits_of(m), body)
+        return let(digits_of(x), body)
+
+    parts = F.filter(F.regexp_extract_all(m, F.lit(SHAPED), F.lit(1)), lambda x: luhn(digits_of(x)))
+    chosen = F.when(luhn(digits_of(m)), F.array(m)).otherwise(parts)
+    return F.aggregate(chosen, m, lambda acc, x: F.replace(acc, x, fresh(x)))
 
 
 def phone(m: Column, key: str) -> Column:
@@ -162,22 +171,42 @@ def moved_date(d: Column, key: str) -> Column:
     return F.when(leap, F.make_date(place * 4 + 1904, F.lit(2), F.lit(29))).otherwise(common)
 
 
+def moved_late(d: Column, key: str) -> Column:
+    """A day of 1900 to 2099 after the 12th of its month among such days; 29 February as in ``moved_date``."""
+    late = F.filter(F.sequence(F.lit("2001-01-01").cast("date"), F.lit("2001-12-31").cast("date")), lambda x: F.dayofmonth(x) > 12)
+    leap = (F.month(d) == 2) & (F.dayofmonth(d) == 29)
+    common = F.make_date(F.lit(2001), F.month(d), F.when(leap, 28).otherwise(F.dayofmonth(d)))
+    start = F.struct((F.year(d) - 1900).alias("y"), (F.array_position(late, common).cast("int") - 1).alias("d"))
+
+    def number(r: Column, half: Column) -> Column:
+        return F.conv(F.substr(digest(key, "late", r, half.cast("string")), F.lit(1), F.lit(12)), 16, 10).cast("long")
+
+    def turn(acc: Column, r: Column) -> Column:
+        year = F.pmod(acc["y"] + number(r, acc["d"]), F.lit(200)).cast("int")
+        return let(year, lambda y: F.struct(y.alias("y"), F.pmod(acc["d"] + number(-r, y), F.lit(221)).cast("int").alias("d")))
+
+    moved = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, turn, lambda acc: F.make_date(acc["y"] + 1900, F.month(F.get(late, acc["d"])), F.dayofmonth(F.get(late, acc["d"]))))
+    return F.when(leap, moved_date(d, key)).otherwise(moved)
+
+
 def iso_date(m: Column, key: str) -> Column:
     return let(F.try_to_date(m, "yyyy-MM-dd"), lambda d: F.coalesce(F.date_format(moved_date(d, key), "yyyy-MM-dd"), m))
 
 
 def day_date(m: Column, key: str) -> Column:
-    """Day, month, year; the separators and whether days and months are padded stay."""
+    """Day, month, year, or month, day, year where only that exists, among days after the 12th; the separators and whether days and months are padded stay."""
     sep = F.regexp_extract(m, "[/.]", 0)
     parts = F.split(m, "[/.]")
     padded = F.when((F.length(parts[0]) == 2) & (F.length(parts[1]) == 2), F.lit(2)).otherwise(F.lit(1))
     parsed = F.try_to_date(F.concat_ws("-", parts[2], parts[1], parts[0]), "yyyy-M-d")
 
-    def write(d: Column) -> Column:
+    american = F.try_to_date(F.concat_ws("-", parts[2], parts[0], parts[1]), "yyyy-M-d")
+
+    def write(d: Column, first: int = 0) -> Column:
         two = [F.when(padded == 2, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string")) for x in (F.dayofmonth(d), F.month(d))]
-        return F.concat(two[0], sep, two[1], sep, F.year(d).cast("string"))
+        return F.concat(two[first], sep, two[1 - first], sep, F.year(d).cast("string"))
 
-    return let(parsed, lambda d: F.when(d.isNull(), m).otherwise(let(moved_date(d, key), write)))
+    return let(parsed, lambda d: F.when(d.isNull(), let(american, lambda e: F.when(e.isNull(), m).otherwise(let(moved_late(e, key), lambda x: write(x, 1))))).otherwise(let(moved_date(d, key), lambda x: write(x))))
 
 
 def email(m: Column, key: str) -> Column:

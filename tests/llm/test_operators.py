@@ -442,6 +442,17 @@ def test_pseudonyms_of_shouted_tokens(spark):
         assert any(c.isupper() for c in out[9:]) == any(c.isupper() for c in v[9:])
 
 
+def test_pseudonyms_of_cards_beside_numbers_and_of_dates(spark):
+    number = "4111111111111111"
+    spaced = "4111 1111 1111 1111"
+    values = [f"{number} 12/25", f"{spaced} 123", f"3 {spaced}", "2024-01-05T10:00:00Z", "12/31/2020"]
+    got = replaced(spark, values)
+    for v, (out, n) in zip(values, got, strict=True):
+        assert n == 1 and out != v and shape(out) == shape(v)
+    assert got[0][0].endswith(" 12/25") and luhn(got[0][0][:16]) and got[1][0].endswith(" 123") and luhn(got[1][0][:19]) and got[2][0].startswith("3 ") and luhn(got[2][0][2:])
+    assert got[3][0].endswith("T10:00:00Z") and int(got[4][0][3:5]) > 12
+
+
 def test_pseudonyms_are_bijections(spark):
     socials = spark.range(3000).select(F.col("id").alias("doc_id"), F.format_string("000-00-%04d", "id").alias("text"))
     assert pii.pseudonymise(socials, "k").select("text").distinct().count() == 3000
