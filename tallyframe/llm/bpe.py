@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .pretokens import PretokenCache, byte_characters, id_lists
+from .pretokens import PretokenCache, byte_characters, id_lists, spelled
 
 # Fixed values of the sentencepiece model format: field numbers and enumerations.
 PIECES, TRAINER, NORMALISER = 1, 2, 3
@@ -83,11 +83,8 @@ class Codec:
         self.sizes = np.array([len(p) for p in pieces], np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
 
-    def match_ids(self, match: str) -> list[int]:
-        return self.model.encode("".join(self.chars[b] for b in match.encode()))
-
-    def encode(self, text: str | None) -> bytes:
-        return self.cache.packed(text)
+    def match_ids(self, matches: list[str]) -> list[list[int]]:
+        return self.model.encode([spelled(m) for m in matches], num_threads=1)
 
     def decode(self, ids: np.ndarray) -> bytes:
         sizes = self.sizes[ids]
@@ -120,7 +117,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         c = codec(path, pattern)
         for batch in batches:
             rest = [n for n in batch.schema.names if n != "ids"]
-            ids = id_lists([c.encode(t) for t in batch.column("text").to_pylist()])
+            ids = id_lists(*c.cache.batch(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), ids], [*rest, "ids"])
 
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, with_column(docs, "ids", "array<int>"))

@@ -27,7 +27,8 @@ MANIFEST = "file string, doc_number long, doc_id long"
 def write_token_files(spark: SparkSession, docs: DataFrame, where: str, path: str, pattern: str, separator: int, width: int = 2) -> DataFrame:
     """Writes each partition's token files under ``where`` and returns ``file, doc_number, doc_id`` in order.
 
-    A document is its whole text's ids (null or empty: none), then the separator, which no text yields. A task writes
+    A document is its whole text's ids (null or empty: none; the strings of special tokens are ordinary text, so that
+    no text yields the separator), then the separator. A task writes
     to a name of its own attempt and renames at its end, so a repeated task replaces its file whole.
     """
     if width not in WIDTHS or separator >= 1 << (8 * width):
@@ -38,12 +39,11 @@ def write_token_files(spark: SparkSession, docs: DataFrame, where: str, path: st
         system, folder = fs.FileSystem.from_uri(where)
         name = f"part-{task.partitionId():06d}.tokens"
         own = f"{folder}/.{name}.{task.taskAttemptId()}"
-        close, number, manifest = np.array([separator], WIDTHS[width]).tobytes(), 0, []
+        number, manifest = 0, []
         with system.open_output_stream(own) as out:
             for batch in batches:
-                for text in batch.column(1).to_pylist():
-                    ids = np.frombuffer(cache.packed(text), "<u4")
-                    out.write(ids.astype(WIDTHS[width]).tobytes() + close)
+                ids, bounds = cache.batch(batch.column(1).to_pylist())
+                out.write(np.insert(ids, bounds[1:], separator).astype(WIDTHS[width]).tobytes())
                 n = batch.num_rows
                 manifest.append(pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"] * n, pa.string()), pa.array(np.arange(number, number + n)), batch.column(0)], ["file", "doc_number", "doc_id"]))
                 number += n

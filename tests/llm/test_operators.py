@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.llm import ann, bpe, embedding_dedup, language_id, near_dedup, packing, pii, substring_dedup, token_counts, toxicity
+from tallyframe.llm import ann, bpe, embedding_dedup, language_id, near_dedup, packing, pii, pretokens, substring_dedup, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 RANKS, TOKENIZER = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -277,14 +277,46 @@ def test_bpe_equals_the_rank_library(spark):
     assert bpe.encode(df.limit(0), RANKS, P.PATTERN).count() == 0
 
 
-def library_ids(texts_):
+def library_ids(texts_, special=False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts_]
 
 
+def test_splits_equal_the_regex_engine():
+    import regex
+
+    classes, rng = pretokens.character_classes(), random.Random(1)
+    parts = ["'", "s", "re", "ve", "ll", "t", "m", "d", "S", " ", "  ", "\n", "\t", "\xa0", "\x85", "\x1c", "1", "²", "é", "日", "!", "-", "a", "word", "\u0301", "😀"]
+    for _ in range(2000):
+        texts_ = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(rng.randrange(1, 5))]
+        bounds = np.cumsum([0, *map(len, texts_)])
+        points = np.frombuffer("".join(texts_).encode("utf-32-le"), np.uint32)
+        if len(points):
+            want = [b + m.start() for t, b in zip(texts_, bounds, strict=False) for m in regex.finditer(P.PATTERN, t)]
+            assert pretokens.match_starts(points, bounds, classes).tolist() == want, texts_
+
+
+def test_cache_starts_anew_and_other_patterns_go_through_the_engine(monkeypatch):
+    monkeypatch.setattr(pretokens, "ENTRIES", 50)
+    monkeypatch.setattr(pretokens, "CHUNK", 200)
+    table = [*wild_texts(), *[" ".join(f"w{i * 37 % 400}x" for i in range(k, k + 30)) for k in range(40)]]
+    for pattern in (P.PATTERN, P.PATTERN.replace("'s|", "'s|'S|")):
+        ids, bounds = packing.Encoder(TOKENIZER, pattern, False).batch(table)
+        if pattern == P.PATTERN:
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == library_ids(table)
+        assert len(bounds) == len(table) + 1
+
+
+def test_special_tokens_of_a_text():
+    table = ["hello <|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|> y'll", None, "no"]
+    for special in (False, True):
+        ids, bounds = packing.Encoder(TOKENIZER, P.PATTERN, special).batch(table)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == library_ids(table, special)
+
+
 def check_packing(rows, ids, capacity):
     pieces, sequences = {}, {}
     for r in rows:
@@ -310,14 +342,14 @@ def check_packing(rows, ids, capacity):
 
 def test_packing_keeps_every_token(spark, docs):
     table = texts(docs)
-    ids = {k: [*x, 0] for k, x in zip(table, library_ids(table.values()), strict=True)}
+    ids = {k: [*x, 0] for k, x in zip(table, library_ids(table.values(), True), strict=True)}
     rows = packing.pack(spark, docs, TOKENIZER, P.PATTERN, 1024).collect()
     assert check_packing(rows, ids, 1024) > 0.97
 
 
 def test_packing_of_odd_rows(spark, odd, nothing):
     rows = packing.pack(spark, odd, TOKENIZER, P.PATTERN, 64).collect()
-    assert sum(r.length for r in rows) == sum(len(x) + 1 for x in library_ids([r.text for r in odd.collect()]))
+    assert sum(r.length for r in rows) == sum(len(x) + 1 for x in library_ids([r.text for r in odd.collect()], True))
     assert [(r.start, r.length, r.doc_tokens) for r in rows if r.doc_id == 0] == [(0, 1, 1)]
     assert sum(r.doc_id == 100 and r.start == 0 for r in rows) == 2
     assert packing.pack(spark, nothing, TOKENIZER, P.PATTERN).count() == 0
