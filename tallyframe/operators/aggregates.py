@@ -148,3 +148,47 @@ def sparse_indicators(facts: DataFrame, share: float = 0.3) -> DataFrame:
     counts = facts.groupBy("indicator").agg(F.count(F.lit(1)).alias("n"))
     mean = counts.agg(F.avg("n").alias("mean"))
     return counts.crossJoin(F.broadcast(mean)).where(F.col("n") < share * F.col("mean")).select("indicator", "n")
+
+
+def grouped(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``key, n, members``: the facts alike in some columns (null: Unknown), in their order."""
+    named = [F.coalesce(F.col(k).cast("string"), F.lit("Unknown")) for k in keys]
+    members = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "fact_id"))), lambda x: x["fact_id"]), ",")
+    return facts.groupBy(F.concat_ws("_", *named).alias("key")).agg(F.count(F.lit(1)).alias("n"), members.alias("members"))
+
+
+def extraction_metrics(items: DataFrame, least: float = 0.95) -> DataFrame:
+    """``method, n, mean, documents, items, confidence, status`` of extracted items (doc_id, method, confidence).
+
+    The last four are of all items; nulls don't count for a mean. Items pass from a mean confidence of ``least`` on. An
+    empty table has no methods and so gives no rows.
+    """
+    every = items.agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("items"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
+    each = items.groupBy(F.coalesce("method", F.lit("unknown")).alias("method")).agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean"))
+    return each.crossJoin(F.broadcast(every)).withColumn("status", F.when(F.col("confidence") >= least, "passed").otherwise("warning"))
+
+
+def consistency(counts: DataFrame, reference: str, least: float = 0.98) -> DataFrame:
+    """``store, n, share, consistent``: each store's rows against those of one (store, n); no rows there give a share of 0."""
+    of = counts.where(F.col("store") == reference).select(F.col("n").alias("__all"))
+    share = F.coalesce(F.try_divide(F.col("n"), F.col("__all")), F.lit(0.0))
+    return counts.where(F.col("store") != reference).crossJoin(F.broadcast(of)).select("store", "n", share.alias("share"), (share >= least).alias("consistent"))
+
+
+def overall_status(stages: DataFrame, run: str) -> DataFrame:
+    """``run, status``: passed if all stages passed, failed if any failed, else warning."""
+    status = F.when(F.every(F.col("status") == "passed"), "passed").when(F.some(F.col("status") == "failed"), "failed").otherwise("warning")
+    return stages.groupBy(run).agg(status.alias("overall"))
+
+
+def store_summary(rows: DataFrame, store: str, key: str, k: int = 3) -> DataFrame:
+    """``store, n, sample``: how many rows a store has, and its first keys."""
+    counted = rows.agg(F.count(F.lit(1)).alias("n"))
+    first = rows.select(F.col(key).cast("string").alias("key")).orderBy("key").limit(k).agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("sample"))
+    return counted.crossJoin(first).select(F.lit(store).alias("store"), "n", "sample")
+
+
+def graph_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes, edges, status``: a graph without nodes or edges has failed."""
+    both = nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
+    return both.withColumn("status", F.when((F.col("nodes") > 0) & (F.col("edges") > 0), "passed").otherwise("failed"))

@@ -127,3 +127,21 @@ def value_columns(headers: Column) -> Column:
 def find_column(columns: list[str], words: list[str]) -> str | None:
     """The first column whose lower-cased name contains any of the words."""
     return next((c for c in columns if any(w in c.lower() for w in words)), None)
+
+
+def district_header(headers: Column) -> Column:
+    """Place from 0 of the first header with a word for districts or a district's name, null if none."""
+    place = F.array_position(F.transform(headers, lambda h: any_of(h, ["district", "dist", "area", "region", *[d.lower() for d in DISTRICTS]])), True)
+    return F.when(place > 0, (place - 1).cast("int"))
+
+
+def is_table(method: Column, headers: Column, rows: Column, table_id: Column) -> Column:
+    """Whether an extracted item is a table: by its method, or by having headers, rows or a table's id."""
+    return F.coalesce(method.isin("camelot_stream", "camelot_lattice", "ocr_tesseract"), F.lit(False)) | headers.isNotNull() | rows.isNotNull() | table_id.isNotNull()
+
+
+def bank_filter(bank: DataFrame, id: str | None = None, category: str | None = None, difficulty: str | None = None) -> DataFrame:
+    """Questions of a bank by id, category and difficulty, where given."""
+    for name, value in (("id", id), ("category", category), ("difficulty", difficulty)):
+        bank = bank.where(F.col(name) == value) if value is not None else bank
+    return bank

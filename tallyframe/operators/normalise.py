@@ -120,3 +120,44 @@ def labelled_facts(docs: DataFrame) -> DataFrame:
     each = F.explode(F.arrays_zip(*[F.regexp_extract_all("text", F.lit(LABELLED), F.lit(g)).alias(f"g{g}") for g in (1, 2)]))
     m = docs.select("doc_id", each.alias("m")).select("doc_id", F.col("m.g1").alias("label"), F.regexp_replace("m.g2", ",", "").cast("double").alias("value"))
     return canonical(canonical(m, "label", V.DISTRICT_SPELLINGS, "district"), "label", V.INDICATOR_SPELLINGS, "indicator").where("district is not null or indicator is not null")
+
+
+def year_or_span(text: Column) -> Column:
+    """The first year of 1900 to 2099 that stands as a word; a span like 2016-17 gives its first year."""
+    return F.nullif(F.regexp_extract(text, r"\b((?:19|20)[0-9]{2})\b", 1), F.lit("")).cast("int")
+
+
+def year_of_items(items: DataFrame, as_of_year: int, default: int = 2023) -> DataFrame:
+    """``doc_id, year``: the year of a document's first item (doc_id, ord, year) from 2010 to now, else the default.
+
+    An item without a year counts as one of the default year, so the first item decides.
+    """
+    filled = items.withColumn("year", F.coalesce("year", F.lit(default)))
+    fine = F.col("year").between(2010, as_of_year)
+    return filled.groupBy("doc_id").agg(F.coalesce(F.min_by(F.when(fine, F.col("year")), F.when(fine, F.col("ord"))), F.lit(default)).alias("year"))
+
+
+def numbered_facts(docs: DataFrame) -> DataFrame:
+    """``fact_id, indicator, value`` of percentages in text, numbered from 1 in each text as ``FCT_<id>_<n>``."""
+    pairs = F.arrays_zip(*[F.regexp_extract_all(F.lower("text"), F.lit(PERCENT_PATTERNS[0]), F.lit(g)).alias(f"g{g}") for g in (1, 2)])
+    each = docs.select("doc_id", F.posexplode(pairs).alias("i", "m"))
+    return each.select(F.concat_ws("_", F.lit("FCT"), F.col("doc_id").cast("string"), (F.col("i") + 1).cast("string")).alias("fact_id"), F.col("m.g2").alias("indicator"), F.col("m.g1").cast("double").alias("value"))
+
+
+def resolved_facts(tables: DataFrame, district_at: Column, confidence: float = 0.9) -> DataFrame:
+    """``table_id, row, district, indicator, value, confidence`` of tables (table_id, headers, rows).
+
+    Every cell outside the district's column whose value parses, whose header names a known indicator and whose row a
+    known district. ``district_at`` is the column's place from 0; a table without one gives no facts.
+    """
+    rows = tables.withColumn("at", district_at).where("at is not null").select("table_id", "headers", "at", F.posexplode("rows").alias("row", "cells"))
+    cells = rows.select("table_id", "row", "headers", "at", F.get("cells", F.col("at")).alias("place"), F.posexplode("cells").alias("column", "cell")).where("column <> at")
+    parsed = cells.select("table_id", "row", "place", F.get("headers", F.col("column")).alias("header"), grouped_number(F.col("cell")).alias("value")).where("value is not null")
+    known = canonical(canonical(parsed, "place", V.DISTRICT_SPELLINGS, "district"), "header", V.INDICATOR_SPELLINGS, "indicator")
+    return known.where("district is not null and indicator is not null").select("table_id", "row", "district", "indicator", "value", F.lit(confidence).alias("confidence"))
+
+
+def table_route(headers: Column, rows: Column, structured_facts: Column, text: Column) -> Column:
+    """How a table item is read: by its structure if that yields facts, else by its text if it has any."""
+    structured = headers.isNotNull() & rows.isNotNull() & (F.coalesce(structured_facts, F.lit(0)) > 0)
+    return F.when(structured, "structured").when(text.isNotNull(), "text").otherwise("none")

@@ -80,13 +80,17 @@ def legal_chain(documents: DataFrame) -> DataFrame:
 def legal_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
     """``child, parent``: the first parent whose title holds the child's reference as a run of words.
 
-    Instead of comparing all titles, every run of words of a title (up to eight) becomes a key to join on.
+    Instead of comparing all titles, every run of words of a title becomes a key to join on, as many words long as some
+    reference is: the lengths that occur (a small table) are joined first.
     """
-    words = F.filter(F.split(F.lower("title"), "[^a-z0-9]+"), lambda w: w != "")
-    keyed = parents.withColumn("w", words).withColumn("start", F.explode(F.sequence(F.lit(1), F.size("w")))).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(8), F.size("w") - F.col("start") + 1))))
-    runs = keyed.select("parent", F.array_join(F.slice("w", F.col("start"), F.col("n")), " ").alias("k")).distinct()
-    asked = children.select("child", F.array_join(F.filter(F.split(F.lower("reference"), "[^a-z0-9]+"), lambda w: w != ""), " ").alias("k"))
-    return first_match(asked.join(runs, "k"), ["child"], ["parent"]).select("child", "parent")
+    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
+    asked = children.select("child", words("reference").alias("r")).where(F.size("r") > 0).select("child", F.size("r").alias("n"), F.array_join("r", " ").alias("k"))
+    lengths = asked.groupBy().agg(F.collect_set("n").alias("lengths"))
+    titled = parents.select("parent", words("title").alias("w")).crossJoin(F.broadcast(lengths))
+    sized = titled.select("parent", "w", F.explode("lengths").alias("n")).where("n <= size(w)")
+    runs = sized.select("parent", "w", "n", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("start"))
+    keys = runs.select("parent", F.array_join(F.slice("w", F.col("start"), F.col("n")), " ").alias("k")).distinct()
+    return first_match(asked.select("child", "k").join(keys, "k"), ["child"], ["parent"]).select("child", "parent")
 
 
 def common_results(results: DataFrame, n_queries: int) -> DataFrame:

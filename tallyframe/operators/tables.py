@@ -117,3 +117,31 @@ def caption(rows: Column) -> Column:
     """The first of the first three rows that reads like a caption."""
     joined = F.transform(F.slice(rows, 1, 3), lambda r: F.array_join(r, " "))
     return F.get(F.filter(joined, lambda s: F.lower(s).rlike("table|figure|enrolment|statistics")), 0)
+
+
+def ocr_table(text: Column) -> Column:
+    """``struct(headers, rows)`` of lines of two words or more, the first being the headers; null with fewer than two."""
+    cells = F.filter(F.transform(F.split(F.trim(text), "\n"), lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")), lambda r: F.size(r) >= 2)
+    return F.when((F.size(F.split(F.trim(text), "\n")) >= 2) & (F.size(cells) >= 2), F.struct(cells[0].alias("headers"), F.slice(cells, 2, 1_000_000).alias("rows")))
+
+
+def running_text(headers: Column, rows: Column) -> Column:
+    """A table's headers and rows as lines of words; null without rows."""
+    head = F.when(F.size(headers) > 0, F.array_join(headers, " "))
+    line = F.transform(F.filter(rows, lambda r: F.size(r) > 0), lambda r: F.array_join(F.filter(r, lambda c: c != ""), " "))
+    return F.when(F.size(rows) > 0, F.concat_ws("\n", head, F.array_join(line, "\n")))
+
+
+def enhanced(items: DataFrame, key: str) -> DataFrame:
+    """Table items (key, extraction_method, headers, rows) with better structure, and ``outcome``.
+
+    Other kinds of items are skipped, well-structured ones stay, and the rest is written out as text and parsed anew;
+    an item whose text holds no table keeps what it has.
+    """
+    kind = F.coalesce(F.col("extraction_method").isin("camelot_stream", "ocr_tesseract"), F.lit(False))
+    fine = F.coalesce((F.size("rows") > 0) & (F.size(F.filter("headers", lambda h: ~h.rlike("^[0-9]+$") & (F.length(h) > 1))) >= 0.5 * F.size("headers")) & (F.size("headers") > 0), F.lit(False))
+    marked = items.withColumns({"__kind": kind, "__fine": fine, "__text": running_text(F.col("headers"), F.col("rows"))})
+    anew = parsed(marked.where("__kind and not __fine and __text is not null"), key, "__text").select(key, F.col("headers").alias("h"), F.col("rows").alias("r"), "method")
+    beside = marked.join(anew, key, "left")
+    outcome = F.when(~F.col("__kind"), "skipped").when(F.col("__fine") | F.col("method").isNotNull(), "enhanced").otherwise("failed")
+    return beside.withColumns({"outcome": outcome, "headers": F.coalesce("h", "headers"), "rows": F.coalesce("r", "rows")}).drop("__kind", "__fine", "__text", "h", "r")

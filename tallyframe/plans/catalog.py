@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documentary, relational, reporting, structured, textual  # noqa: F401
+from . import details, documentary, orchestration, relational, reporting, structured, textual  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

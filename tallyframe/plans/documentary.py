@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity
-from ..functions.vocabulary import DISTRICT_SPELLINGS, EDGE_THRESHOLDS
-from ..operators import aggregates as A
+from ..functions.vocabulary import EDGE_THRESHOLDS
 from ..operators import bridges as B
 from ..operators import documents as D
 from ..operators import entities as E
 from ..operators import legal as L
-from ..operators import normalise as N
 from ..operators import retrieval as T
 from ..operators import routing as R
 from ..operators import validation as V
 from ..operators import windows as W
 from ..sources.facts import facts, legal_texts, table
 from .registry import query
-from .textual import ASKED, BM, SHIFTED, SOUGHT, WORDS, asked, shifted, unnested
+from .textual import ASKED, SHIFTED, SOUGHT, WORDS, asked, shifted, unnested
 
 
 COVERS = "'This order covers Section 12(a) of The Education Act, ' || (year(o_orderdate) + 19) || ' and Rule 7 as amended by notice of ' || (year(o_orderdate) + 19)"
@@ -164,27 +162,12 @@ def er_graph(spark: SparkSession, sf: str) -> DataFrame:
     return facts(spark, sf).groupBy(F.col("source_document").alias("entity_id")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-@query()
-def er_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    return E.links(shifted(spark, sf), fuzzy=True).where("kind = 'fuzzy'")
-
-
-@query()
-def fn_norm_district_enh(spark: SparkSession, sf: str) -> DataFrame:
-    return N.fuzzy(facts(spark, sf).select("district").distinct(), "district", DISTRICT_SPELLINGS, "name", similarity.partial_ratio, 80)
-
-
 @query()
 def fn_seq_ratio(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
     return c.select("c_custkey", similarity.sequence_ratio_udf("c_name", "c_mktsegment").alias("ratio"))
 
 
-@query("SELECT fact_id FROM {facts} f WHERE contains(lower(indicator || ' ' || district), 'guntur')")
-def rt_bridge_search(spark: SparkSession, sf: str) -> DataFrame:
-    return facts(spark, sf).where(F.lower(F.concat_ws(" ", "indicator", "district")).contains("guntur")).select("fact_id")
-
-
 @query("WITH q AS (SELECT embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id = 3) SELECT vec_id, round((1 + list_cosine_similarity(embedding::DOUBLE[], q.x)) / 2, 6) AS certainty FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q.x) DESC, vec_id LIMIT 10")
 def rt_facts_certainty(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
@@ -192,14 +175,6 @@ def rt_facts_certainty(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("vec_id", F.round((1 + F.col("score")) / 2, 6).alias("certainty"))
 
 
-@query(f"{BM}, v AS (SELECT doc_id, (doc_id % 97) / 97.0::DOUBLE AS score FROM documents), k AS (SELECT doc_id, (score - (SELECT min(score) FROM r WHERE score > 0)) / ((SELECT max(score) FROM r WHERE score > 0) - (SELECT min(score) FROM r WHERE score > 0)) AS w FROM r WHERE score > 0), n AS (SELECT doc_id, (score - (SELECT min(score) FROM v)) / ((SELECT max(score) FROM v) - (SELECT min(score) FROM v)) AS v FROM v) SELECT n.doc_id, round(0.6::DOUBLE * n.v + (1 - 0.6::DOUBLE) * coalesce(k.w, 0), 4) AS score FROM n LEFT JOIN k USING (doc_id) ORDER BY 0.6::DOUBLE * n.v + (1 - 0.6::DOUBLE) * coalesce(k.w, 0) DESC, doc_id LIMIT 25")
-def rt_search(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    vector = docs.select("doc_id", ((F.col("doc_id") % 97) / F.lit(97.0)).alias("score"))
-    found = T.hybrid(vector, T.bm25(docs, "doc_id", "text", ["license", "the"]), "doc_id", 0.6, 25)
-    return found.select("doc_id", F.round("score", 4).alias("score"))
-
-
 @query("SELECT content, max(score) AS score FROM (SELECT district AS content, confidence_score AS score FROM {facts} f WHERE year = 2018 UNION ALL SELECT district, 0.75::DOUBLE FROM {facts} f WHERE year = 2019) GROUP BY content")
 def fu_merge(spark: SparkSession, sf: str) -> DataFrame:
     f = facts(spark, sf)
@@ -225,54 +200,6 @@ def fn_normalize_date(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", D.iso_date(text).alias("date"))
 
 
-@query("SELECT fact_id, kind FROM (SELECT fact_id, kind, row_number() OVER (PARTITION BY kind ORDER BY value DESC, fact_id) AS i FROM (SELECT *, CASE indicator WHEN 'Dropout Rate' THEN 'a' WHEN 'Total Enrollment' THEN 'b' ELSE 'c' END AS kind FROM {facts} f)) WHERE i <= 5")
-def ms_multi_modal(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.when(F.col("indicator") == "Dropout Rate", "a").when(F.col("indicator") == "Total Enrollment", "b").otherwise("c")
-    return W.top_per_group(facts(spark, sf).withColumn("kind", kind), ["kind"], [F.desc("value"), "fact_id"], 5).select("fact_id", "kind")
-
-
-@query("SELECT item_id, length(text) AS n FROM benchmark WHERE length(text) > 100")
-def tq_filter(spark: SparkSession, sf: str) -> DataFrame:
-    b = table(spark, sf, "benchmark")
-    return b.where(F.length("text") > 100).select("item_id", F.length("text").cast("long").alias("n"))
-
-
-@query("SELECT fact_id, indicator || ' in ' || district || ' for ' || year || ': ' || printf('%.2f', value) || ' ' || unit AS content, coalesce(confidence_score, 0.5) AS confidence FROM {facts} f")
-def rag_structure(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat("indicator", F.lit(" in "), "district", F.lit(" for "), F.col("year").cast("string"), F.lit(": "), F.format_string("%.2f", "value"), F.lit(" "), "unit")
-    return facts(spark, sf).select("fact_id", text.alias("content"), F.coalesce("confidence_score", F.lit(0.5)).alias("confidence"))
-
-
-@query("SELECT (SELECT count(*) FROM nation) AS nodes, (SELECT count(*) FROM supplier) AS edges, (SELECT count(*) FROM nation) > 0 AND (SELECT count(*) FROM supplier) > 0 AS passed")
-def val_graph(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "nation").agg(F.count(F.lit(1)).alias("nodes"))
-    both = n.crossJoin(table(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("edges")))
-    return both.withColumn("passed", (F.col("nodes") > 0) & (F.col("edges") > 0))
-
-
-@query("SELECT fact_id, value, round(value - avg_all, 4) > 0 AS above FROM {facts} f JOIN (SELECT indicator, sum(value::DECIMAL(28, 2))::DOUBLE / count(value) AS avg_all FROM {facts} g GROUP BY 1) USING (indicator)")
-def win_peer_stats(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("indicator")
-    mean = F.sum(F.col("value").cast("decimal(28,2)")).over(w).cast("double") / F.count("value").over(w)
-    return facts(spark, sf).select("fact_id", "value", (F.round(F.col("value") - mean, 4) > 0).alias("above"))
-
-
 @query("SELECT fact_id, confidence_score FROM {facts} f ORDER BY confidence_score DESC, fact_id LIMIT 10")
 def topk_relevance(spark: SparkSession, sf: str) -> DataFrame:
     return W.ranked(facts(spark, sf), "confidence_score", "fact_id", 10).select("fact_id", "confidence_score")
-
-
-@query("SELECT district, year, count(*) AS n, string_agg(indicator, '|' ORDER BY indicator) AS members FROM {facts} f GROUP BY 1, 2")
-def grp_indicator_temporal(spark: SparkSession, sf: str) -> DataFrame:
-    return facts(spark, sf).groupBy("district", "year").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("indicator")), "|").alias("members"))
-
-
-@query("SELECT 'facts' AS store, count(*) AS n FROM {facts} f UNION ALL SELECT 'documents', count(*) FROM documents")
-def sum_store(spark: SparkSession, sf: str) -> DataFrame:
-    one = facts(spark, sf).agg(F.count(F.lit(1)).alias("n")).select(F.lit("facts").alias("store"), "n")
-    return one.union(table(spark, sf, "documents").agg(F.count(F.lit(1))).select(F.lit("documents"), "count(1)"))
-
-
-@query("SELECT indicator, arg_max(district, (mean, -seen)) AS best, arg_min(district, (mean, -seen)) AS worst FROM (SELECT indicator, district, sum(value::DECIMAL(28, 2))::DOUBLE / count(value) AS mean, min(ord) AS seen FROM {facts} f WHERE year = 2018 GROUP BY 1, 2) GROUP BY 1")
-def rt_comparative(spark: SparkSession, sf: str) -> DataFrame:
-    return A.cross_district(facts(spark, sf).where("year = 2018")).select("indicator", F.col("highest_district").alias("best"), F.col("lowest_district").alias("worst"))

@@ -225,11 +225,6 @@ def agg_graph_counts(spark: SparkSession, sf: str) -> DataFrame:
     return facts(spark, sf).groupBy("district").agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "district").limit(10)
 
 
-@query("SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS mean_length FROM documents GROUP BY lang")
-def agg_extraction_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_length"))
-
-
 @query(f"SELECT total, unknown, out_of_range, unknown <= (1 - 0.9::DOUBLE) * total AS passed FROM (SELECT count(*) AS total, count(*) FILTER (WHERE low IS NULL OR district NOT IN ({KNOWN})) AS unknown, count(*) FILTER (WHERE f.value NOT BETWEEN low AND high) AS out_of_range FROM {{facts}} f LEFT JOIN {SQL_RANGES} USING (indicator))")
 def agg_normalization_metrics(spark: SparkSession, sf: str) -> DataFrame:
     f = facts(spark, sf)
@@ -238,18 +233,6 @@ def agg_normalization_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("passed", F.col("unknown") <= (1 - F.lit(0.9)) * F.col("total"))
 
 
-@query("WITH c AS (SELECT (SELECT count(*) FROM {facts} f) AS normal, (SELECT count(*) FROM {facts} f WHERE category IS NULL) AS stored) SELECT normal, stored, round(stored / normal, 6) AS share, stored >= 0.98 * normal AS consistent FROM c")
-def agg_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    c = facts(spark, sf).agg(F.count(F.lit(1)).alias("normal"), F.count_if(F.col("category").isNull()).alias("stored"))
-    return c.select("normal", "stored", F.round(F.try_divide("stored", "normal"), 6).alias("share"), (F.col("stored") >= 0.98 * F.col("normal")).alias("consistent"))
-
-
-@query("SELECT c_mktsegment, CASE WHEN bool_and(c_acctbal > -900) THEN 'passed' WHEN bool_or(c_acctbal < -990) THEN 'failed' ELSE 'warning' END AS status FROM customer GROUP BY 1")
-def agg_stage_status(spark: SparkSession, sf: str) -> DataFrame:
-    status = F.when(F.every(F.col("c_acctbal") > -900), "passed").when(F.some(F.col("c_acctbal") < -990), "failed").otherwise("warning")
-    return table(spark, sf, "customer").groupBy("c_mktsegment").agg(status.alias("status"))
-
-
 @query("SELECT fact_id FROM (SELECT district FROM (SELECT DISTINCT district FROM {facts} f)) d JOIN LATERAL (SELECT d.district AS fact_id) l ON true WHERE district LIKE 'NATION%'")
 def set_except(spark: SparkSession, sf: str) -> DataFrame:
     known = spark.createDataFrame([(d,) for d in DISTRICTS], "fact_id string")

@@ -10,8 +10,8 @@ from ..operators import aggregates as A
 from ..operators import bridges as B
 from ..operators import graph as G
 from ..operators import validation as V
-from ..operators import windows as W
 from ..sources.facts import facts, table
+from ..sources.tables import kept
 from .registry import query
 from .relational import AS_OF, DOC_TYPE, KNOWN, SQL_RANGES
 
@@ -72,7 +72,8 @@ LEFT JOIN (SELECT f.fact_id, p.value > 0 AND abs(f.value - p.value) / p.value >
 
 
 def checked(spark: SparkSession, sf: str) -> DataFrame:
-    return V.validated(facts(spark, sf), AS_OF)
+    """The validated facts; the facts are made once, as the rules read them several times."""
+    return V.validated(kept(facts(spark, sf)), AS_OF)
 
 
 @query(f"SELECT fact_id, is_valid, confidence, errors AS n_errors, coalesce(warnings, 0) AS n_warnings, anomalies AS n_anomalies FROM ({CHECKED})")
@@ -282,11 +283,6 @@ def scan_detect_new(spark: SparkSession, sf: str) -> DataFrame:
     return changed(docs, tracker)
 
 
-@query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents) WHERE i = 1")
-def sink_vector_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return W.first_match(table(spark, sf, "documents").select("lang", "doc_id"), ["lang"], ["doc_id"])
-
-
 @query("SELECT kind, count(*) AS n FROM (SELECT DISTINCT 'district' AS kind, district AS name FROM {facts} f UNION ALL SELECT DISTINCT 'indicator', indicator FROM {facts} f UNION ALL SELECT DISTINCT 'year', year::VARCHAR FROM {facts} f UNION ALL SELECT DISTINCT 'source', source_document FROM {facts} f) GROUP BY kind")
 def sink_graph_facts(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.sinks import star_nodes

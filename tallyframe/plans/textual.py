@@ -351,11 +351,6 @@ def shifted(spark: SparkSession, sf: str) -> DataFrame:
     return left.union(right)
 
 
-@query(f"SELECT 'left:' || a.entity_id AS source, 'right:' || b.entity_id AS target, CASE WHEN a.entity_id = b.entity_id THEN 'exact' WHEN lower(a.name) = lower(b.name) THEN 'exact' ELSE 'code' END AS kind, CASE WHEN a.entity_id = b.entity_id THEN 0.95::DOUBLE WHEN lower(a.name) = lower(b.name) THEN 0.85::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM (SELECT * FROM {SHIFTED} WHERE dataset = 'left') a JOIN (SELECT * FROM {SHIFTED} WHERE dataset = 'right') b ON a.entity_id = b.entity_id OR lower(a.name) = lower(b.name) OR split_part(a.entity_id, '_', 2) = split_part(b.entity_id, '_', 2)")
-def join_entities(spark: SparkSession, sf: str) -> DataFrame:
-    return E.links(shifted(spark, sf))
-
-
 @query("WITH q AS (SELECT embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.x), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q.x) DESC, vec_id LIMIT 15")
 def rt_vector(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")

@@ -55,7 +55,7 @@ if __name__ == "__main__":
     from tallyframe.session import local_session
 
     where, names = sys.argv[1], sys.argv[2:]
-    spark = local_session(8)
+    spark = local_session(int(__import__("os").environ.get("CORES", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     con, queries, sql = connect(where), entry.queries(), entry.oracle_sql()
     bad = 0
