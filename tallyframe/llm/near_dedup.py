@@ -6,8 +6,9 @@ bitmaps of ``n`` bits over ``k`` samples estimates the Jaccard similarity as ``1
 What passes is confirmed on full shingle sets, so no false link is returned.
 
 Each member of a band bucket first proposes its nearest partners by their sketches, and buckets that still span several
-components propose again, across components, with more partners each time. When a turn adds no link, a last one proposes
-every pair across components that the sketches let pass, block against block. Copies share one representative.
+components propose again, across components, with more partners each time. When hardly any proposal is a link, a last
+turn compares what is left whole: every pair across components that the sketches let pass, block against block, once.
+Copies share one representative.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ from .words import U64, mix, rolling, word_chunks
 SAMPLES, BANDS, ROWS, BITS = 512, 36, 7, 512
 #: The Odd sketch discards a pair whose estimate is this much below the threshold, over four standard errors.
 MARGIN = 0.1
+#: The turns of nearest partners end when one in so many proposals is a link at most.
+FEW = 50
 #: Rows of a matrix of shingles, and of a batch; members of a bucket compared at once; partners that a member proposes
-#: in a bucket at the first, second and later turns.
-BLOCK, CELL, PARTNERS = 1024, 1024, (1, 2, 3)
+#: in a bucket at the first, second and later turns; pairs whose bands are compared at once.
+BLOCK, CELL, PARTNERS, PAIRS = 1024, 1024, (1, 2, 3), 1 << 14
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -144,9 +147,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 80, s
     shared = scratch.put(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     members = scratch.put(banded.join(shared, "key").join(reps.select("id", "n_shingles", "sketch"), "id"), "members")
     sets = scratch.put(full_sets(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "sets")
-    scratch.drop(reps)
 
-    edges: DataFrame | None = None
     label: DataFrame | None = None
     tested: DataFrame | None = None
     turn, last = 0, False
@@ -158,27 +159,39 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 80, s
             shares = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
             open_ = shares.agg(F.max_by("component", F.struct("n", "component")).alias("major"), (F.sum("n") - F.max("n")).alias("minors")).where("minors > 0")
             at = at.join(scratch.put(open_, f"open{turn}"), "key")
-        found = (crossings(at, threshold) if last else candidates(at, turn, threshold)).distinct()
+        found = crossings(at.join(reps.select("id", "bands"), "id"), threshold) if last else candidates(at, turn, threshold).distinct()
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         found = scratch.put(found, f"candidates{turn}")
         tested = found if tested is None else tested.union(found)
         linked = scratch.put(confirmed(found, sets, threshold), f"links{turn}")
-        more = not linked.isEmpty()
-        if more:
-            edges = linked if edges is None else edges.union(linked)
-            label = connected_components(edges, scratch)
+        links = linked.count()
+        if links:
+            label = joined_up(linked, label, scratch)
         if last:
             break
-        turn, last = turn + 1, not more
+        # once most proposals are refuted, nearest partners tell no more: the rest is compared whole
+        turn, last = turn + 1, turn > 0 and links * FEW <= found.count()
     if label is None:
         label = linked.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    scratch.drop(sets, members)
+    scratch.drop(sets, members, reps)
     final = sig.join(classes, ["set_a", "set_b", "n_shingles"], "left").join(label, "id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id"))
     return final.select("doc_id", "n_shingles", F.coalesce(component, "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def joined_up(linked: DataFrame, label: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """The components of ``label`` joined by new links: only the new links, between components, are contracted."""
+    if label is None:
+        return connected_components(linked, scratch)
+    ends = linked
+    for c in ("a", "b"):
+        ends = ends.join(label.select(F.col("id").alias(c), F.col("component").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    roots = connected_components(ends, scratch)
+    known = label.join(roots.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return scratch.put(known.unionByName(roots.join(label.select("id"), "id", "left_anti")), "labels")
+
+
 def candidates(members: DataFrame, turn: int, threshold: int) -> DataFrame:
     """Pairs ``(a, b)`` of different components that share a bucket and that the Odd sketches don't rule out.
 
@@ -194,12 +207,13 @@ def crossings(members: DataFrame, threshold: int) -> DataFrame:
     """All pairs ``(a, b)`` of different components that share a bucket and that the Odd sketches don't rule out.
 
     The members of a bucket outside its largest component (``major``) are compared with one another and with that
-    component: both are dealt into blocks of about ``CELL``, and every two blocks meet in a cell of their own.
+    component: both are dealt into blocks of about ``CELL``, and every two blocks meet in a cell of their own. A pair
+    of several buckets comes from the first of them alone, which its two lists of bands tell.
     """
     minor = F.col("component") != F.col("major")
     minors, majors = F.ceil(F.col("minors") / CELL), F.ceil((F.col("size") - F.col("minors")) / CELL)
     block = F.pmod(F.xxhash64("id", "key"), F.when(minor, minors).otherwise(majors))
-    held = members.select("key", "id", "n_shingles", "component", "sketch", minor.alias("minor"), minors.alias("minors"), majors.alias("majors"), block.alias("block"))
+    held = members.select("key", "id", "n_shingles", "component", "sketch", "bands", minor.alias("minor"), minors.alias("minors"), majors.alias("majors"), block.alias("block"))
 
     def cell(i: Column, j: Column) -> Column:
         return F.struct((i * (F.col("minors") + F.col("majors")) + j).alias("cell"), (F.col("minor") & (i == F.col("block"))).alias("left"), (~F.col("minor") | (j == F.col("block"))).alias("right"))
@@ -209,7 +223,7 @@ def crossings(members: DataFrame, threshold: int) -> DataFrame:
     later = F.transform(F.sequence(F.lit(0).cast("long"), "block"), lambda i: cell(i, F.col("block")))
     major = F.transform(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1), lambda i: cell(i, F.col("minors") + F.col("block")))
     met = F.when(F.col("minor"), F.array_distinct(F.concat(own, later))).otherwise(major)
-    dealt = held.withColumn("met", F.explode(met)).select("key", "met.cell", "id", "n_shingles", "component", "sketch", "met.left", "met.right")
+    dealt = held.withColumn("met", F.explode(met)).select("key", "met.cell", "id", "n_shingles", "component", "sketch", "bands", "met.left", "met.right")
     return proposed(dealt, threshold, None)
 
 
@@ -233,13 +247,24 @@ def proposed(dealt: DataFrame, threshold: int, nearest: int | None) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def rows_of(column: pa.Array) -> np.ndarray:
+    """A list column of one width as a matrix."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def first_shared(bands: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first band key that two rows share (they share one)."""
+    return bands[x, (bands[x] == bands[y]).argmax(axis=1)]
+
+
 def proposals(table: pa.Table, limit: int, threshold: int, nearest: int | None) -> pa.RecordBatch:
     """The nearest, or all, right partners of each left row of its cell (whole cells, standing together)."""
     table = table.combine_chunks()
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if len(table):
         ids, sizes, component, lefts, rights = (table[c].to_numpy() for c in ("id", "n_shingles", "component", "left", "right"))
-        words = np.stack([table["sketch"].chunk(0).values.to_numpy()[table["sketch"].chunk(0).offsets[0].as_py() :][i :: BITS // 64][: len(ids)] for i in range(BITS // 64)], axis=1).view(U64)
+        words = rows_of(table["sketch"].chunk(0)).view(U64)
+        bands = rows_of(table["bands"].chunk(0)) if "bands" in table.column_names else None
         key = np.stack([table["key"].to_numpy(), table["cell"].to_numpy()], axis=1)
         cut = np.r_[0, np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1, len(ids)]
         for a, b in zip(cut, cut[1:], strict=False):
@@ -254,8 +279,12 @@ def proposals(table: pa.Table, limit: int, threshold: int, nearest: int | None)
                 odd[(component[x, None] == component[None, to]) | (small * 100 < large * threshold)] = BITS + 1
                 if nearest is None or nearest >= len(to) - 1:
                     row, other = np.nonzero(odd <= limit)
-                    left.append(ids[x[row]])
-                    right.append(ids[to[other]])
+                    row, other = x[row], to[other]
+                    if bands is not None:
+                        mine = np.concatenate([np.zeros(0, bool), *(first_shared(bands, row[i : i + PAIRS], other[i : i + PAIRS]) == key[a, 0] for i in range(0, len(row), PAIRS))])
+                        row, other = row[mine], other[mine]
+                    left.append(ids[row])
+                    right.append(ids[other])
                     continue
                 for _ in range(nearest):
                     best = odd.argmin(axis=1)
