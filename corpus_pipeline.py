@@ -1,7 +1,9 @@
 """A corpus pipeline of five operators; each stage's result is written as Parquet and read again by the next.
 
 ``STAGES`` holds (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame: the columns of
-documents, and the pieces of packed sequences from the last.
+documents, and the pieces of packed sequences from the last. ``docs`` needs doc_id and text; any of its columns may be
+null, be missing but for these two, or bear the name of a column that an operator adds, and all pass through unchanged.
+Every stage of an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no language: without letters or text, or scored under ``LEAST_SCORE``.
 
     Learns from the labelled rows of ``docs``; without any, every document would be undetermined, so all are kept.
+    Null, empty and letterless texts go; repeated rows are judged alike, each by itself.
     """
     model = language_id.fit(docs)
     if not model.languages:
@@ -32,13 +35,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, of the smallest doc_id, of each group of near-copies (similarity 0.8 of five-word shingles)."""
+    """Keeps one document, of the smallest doc_id, of each group of near-copies (similarity 0.8 of five-word shingles).
+
+    Texts without words are no one's copies and stay, as do rows without a doc_id; rows that repeat a doc_id stay or go
+    together.
+    """
     copies = near_dedup.near_duplicates(spark, docs, threshold=80).where("not kept").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of 35 words or more that still occur twice; other texts stay as they are."""
+    """Removes passages of 35 words or more that still occur twice; other texts stay as they are.
+
+    Null and empty texts stay so; repeated rows of 35 words or more are copies of each other and lose those words, but
+    stay as rows. A text that loses all of its words becomes empty.
+    """
     own = ("kept_text", "n_words", "n_removed")
     held = docs.withColumnsRenamed({c: f"__{c}" for c in own if c in docs.columns})
     found = substring_dedup.remove_repeats(spark, held, window=35)
@@ -47,13 +58,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by pseudonyms."""
+    """Replaces personal data by pseudonyms; null texts stay null, and rows are independent of each other."""
     held = docs.withColumnsRenamed({"n_private": "__n_private"})
     return counted(pii.pseudonymise(held, PSEUDONYM_KEY).drop("n_private").withColumnsRenamed({"__n_private": "n_private"})).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 1024 tokens."""
+    """Packs the documents into sequences of 1024 tokens; a null or empty text is its closing token, repeated rows are packed one by one."""
     return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, capacity=1024)
 
 
