@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .legal import found
 
 # Numbered and lettered paragraphs with their continuation lines, parents, orders, school names.
-CLAUSE = r"(?:^|\n)([0-9]+)\.\s+([^\n]+(?:\n(?![0-9]+\.)[^\n]+)*)"
+CLAUSE = r"(?:^|\n)(\d+)\.\s+([^\n]+(?:\n(?!\d+\.)[^\n]+)*)"
 LETTERED = r"\(([a-z])\)\s+([^\n]+(?:\n(?!\([a-z]\))[^\n]+)*)"
-SECTIONED = r"(?i)(?:Section|Article|Chapter)\s+([0-9]+[A-Z]?)[\s:.-]+([^\n]+(?:\n(?!(?:Section|Article|Chapter)\s+[0-9])[^\n]+)*)"
-PARENT_ACT = r"([A-Z][A-Za-z\s,]+(?:Act|LAW),?\s*[0-9]{4})"
-PARENT_RULE = r"([A-Z][A-Za-z\s]+Rules?,?\s*[0-9]{4})"
-ORDER_NUMBER = r"(?i)G\.O\.(?:MS\.)?\s*No\.?\s*([0-9]+)"
+SECTIONED = r"(?i)(?:Section|Article|Chapter)\s+(\d+[A-Z]?)[\s:.-]+([^\n]+(?:\n(?!(?:Section|Article|Chapter)\s+\d)[^\n]+)*)"
+PARENT_ACT = r"([A-Z][A-Za-z\s,]+(?:Act|LAW),?\s*\d{4})"
+PARENT_RULE = r"([A-Z][A-Za-z\s]+Rules?,?\s*\d{4})"
+ORDER_NUMBER = r"(?i)G\.O\.(?:MS\.)?\s*No\.?\s*(\d+)"
 DEPARTMENT = r"(?i)Department[:\s]+([A-Za-z\s&,]+)"
 ORDER_DISTRICTS = ["Krishna", "Guntur", "Prakasam", "Nellore", "Chittoor"]
 SCHOOL_NAMES = [r"(?i)([A-Z][A-Z\s]+(?:SCHOOL|COLLEGE|ACADEMY))", r"(?i)(\w+\s+(?:EM|ENGLISH|HIGH)\s+SCHOOL)", r"(?i)(SRI\s+\w+\s+\w+\s+SCHOOL)"]

@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 from ..functions.vocabulary import NAMED_DISTRICTS
 from .filters import any_of
 
-# What references, amendments, dates and procedures look like.
-ORDER = r"(?i)(?:G\.?O\.?\s*(?:No\.?)?|Government\s+Order\s+(?:No\.?)?)\s*([0-9]+)(?:/([0-9]{4}))?"
-ACT = r"(?i)(?:The\s+)?([A-Z][A-Za-z\s]+(?:Act|Rule))\s*,?\s*([0-9]{4})"
-SECTION = r"(?i)Section\s+([0-9]+(?:\([a-z]\))?(?:\([i-v]+\))?)"
-RULE = r"(?i)Rule\s+([0-9]+(?:\([a-z]\))?(?:\([i-v]+\))?)"
-JUDGMENT = r"(?i)(?:([0-9]{4})\s+)?([A-Za-z0-9_]+)\s+([0-9]+)\s+(SC|HC|SCC|AIR|WLR)"
-SUPERSEDES = r"(?is)(?:hereby\s+supersedes?|is\s+superseded\s+by|replaces?|cancels?\s+and\s+supersedes?)\s+.*?G\.?O\.?\s*(?:No\.?)?\s*([0-9]+)(?:/([0-9]{4}))?"
-AMENDED = r"(?is)(?:as\s+amended\s+by|amended\s+vide|substituted\s+by|inserted\s+by|omitted\s+by)\s+.*?([0-9]{4})"
-EFFECTIVE = r"(?i)(?:effective\s+from|comes?\s+into\s+force(?:\s+on)?|w\.?e\.?f\.?)\s+([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4})"
-STEP = r"(?i)(?:Step|Procedure|Process)\s+([0-9]+):\s*(.+)"
+# What references, amendments, dates and procedures look like. Where a step's three names or a date's three
+# leads differ in nothing but their words, they share one pattern, as Spark reads groups by number.
+ORDER = r"(?i)(?:G\.?O\.?\s*(?:No\.?)?|Government\s+Order\s+(?:No\.?)?)\s*(\d+)(?:/(\d{4}))?"
+ACT = r"(?i)(?:The\s+)?([A-Z][A-Za-z\s]+(?:Act|Rule))\s*,?\s*(\d{4})"
+SECTION = r"(?i)Section\s+(\d+(?:\([a-z]\))?(?:\([i-v]+\))?)"
+RULE = r"(?i)Rule\s+(\d+(?:\([a-z]\))?(?:\([i-v]+\))?)"
+JUDGMENT = r"(?i)(?:(\d{4})\s+)?(\w+)\s+(\d+)\s+(SC|HC|SCC|AIR|WLR)"
+SUPERSEDES = r"(?is)(?:hereby\s+supersedes?|is\s+superseded\s+by|replaces?|cancels?\s+and\s+supersedes?)\s+.*?G\.?O\.?\s*(?:No\.?)?\s*(\d+)(?:/(\d{4}))?"
+AMENDED = r"(?is)(?:as\s+amended\s+by|amended\s+vide|substituted\s+by|inserted\s+by|omitted\s+by)\s+.*?(\d{4})"
+EFFECTIVE = r"(?i)(?:effective\s+from|comes?\s+into\s+force(?:\s+on)?|w\.?e\.?f\.?)\s+(\d{1,2}[/-]\d{1,2}[/-]\d{4})"
+STEP = r"(?i)(?:Step|Procedure|Process)\s+(\d+):\s*(.+)"
 DEFINITION = r'(?is)"([^"]+)"\s+means?\s+(.+?)(?=\n\n|\n[A-Z]|$)'
-HEADINGS = [(1, r"(?i)^PART\s+([IVX]+|[0-9]+)[\s:-]*(.+)$", "Part "), (2, r"(?i)^CHAPTER\s+([IVX]+|[0-9]+)[\s:-]*(.+)$", "Chapter "), (3, r"^([0-9]+)\.?\s+(.+)$", "Section "), (4, r"^\(([0-9]+|[a-z])\)\s+(.+)$", "Subsection (")]
+HEADINGS = [(1, r"(?i)^PART\s+([IVX]+|\d+)[\s\-:]*(.+)$", "Part "), (2, r"(?i)^CHAPTER\s+([IVX]+|\d+)[\s\-:]*(.+)$", "Chapter "), (3, r"^(\d+)\.?\s+(.+)$", "Section "), (4, r"^\((\d+|[a-z])\)\s+(.+)$", "Subsection (")]
 
 
 def found(docs: DataFrame, pattern: str, groups: int) -> DataFrame:
@@ -94,7 +95,7 @@ def hierarchy(docs: DataFrame) -> DataFrame:
 def definitions(docs: DataFrame) -> DataFrame:
     """``doc_id, term, meaning``; the last of a term's definitions counts."""
     every = found(docs, DEFINITION, 2)
-    return every.groupBy("doc_id", F.col("g1").alias("term")).agg(F.max_by(F.trim("g2"), "ordinal").alias("meaning"))
+    return every.groupBy("doc_id", F.col("g1").alias("term")).agg(F.max_by(F.regexp_replace(F.trim("g2"), r"\s+", " "), "ordinal").alias("meaning"))
 
 
 def procedures(docs: DataFrame) -> DataFrame:

@@ -163,7 +163,7 @@ def sc_citation_conf(spark: SparkSession, sf: str) -> DataFrame:
     return facts(spark, sf).select("fact_id", F.round(c, 6).alias("confidence"))
 
 
-G1 = r"(?i)(?:G\.?O\.?\s*(?:No\.?)?|Government\s+Order\s+(?:No\.?)?)\s*([0-9]+)(?:/([0-9]{4}))?"
+G1 = L.ORDER
 REF = "'GO ' || {0} || CASE WHEN {1} <> '' THEN '/' || {1} ELSE '' END"
 
 
@@ -187,9 +187,21 @@ def lg_section_refs(spark: SparkSession, sf: str) -> DataFrame:
     return L.found(legal_texts(spark, sf), L.SECTION, 1).select("doc_id", F.col("g1").alias("section"))
 
 
-@query("SELECT kind, count(*) AS n FROM (" + " UNION ALL ".join([unnested(G1, [1], "'go' AS kind"), unnested(L.ACT, [1], "'act'"), unnested(L.SECTION, [1], "'section'"), unnested(L.RULE, [1], "'rule'"), unnested(L.JUDGMENT, [2], "'judgment'")]) + ") GROUP BY kind")
+REFERENCES = " UNION ALL ".join(
+    [
+        unnested(G1, [1, 2], f"doc_id, 'go' AS kind, {REF.format('g1', 'g2')} AS ref_id, 0.9::DOUBLE AS confidence"),
+        unnested(L.ACT, [1, 2], "doc_id, 'act', trim(g1) || ', ' || g2, 0.85::DOUBLE"),
+        unnested(L.JUDGMENT, [2, 3, 4], "doc_id, 'judgment', g2 || ' ' || g3 || ' ' || g4, 0.8::DOUBLE"),
+        unnested(L.SECTION, [1], "doc_id, 'section', 'Section ' || g1, 0.7::DOUBLE"),
+        unnested(L.RULE, [1], "doc_id, 'rule', 'Rule ' || g1, 0.7::DOUBLE"),
+    ]
+)
+
+
+@query(REFERENCES)
 def lg_references(spark: SparkSession, sf: str) -> DataFrame:
-    return L.references(legal_texts(spark, sf)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return L.references(legal_texts(spark, sf))
+
 
 
 SUPERSEDED = f"SELECT doc_id, {REF.format('n', 'y')} AS superseding, {REF.format('g1', 'g2')} AS superseded, CASE WHEN contains(lower(g0), 'part') THEN 'partial' WHEN regexp_matches(lower(g0), 'amend|modify|substitute') THEN 'amendment' ELSE 'full' END AS kind FROM (SELECT doc_id, regexp_extract(text, '{G1}', 1) AS n, regexp_extract(text, '{G1}', 2) AS y, " + ", ".join(f"unnest(regexp_extract_all(text, '{L.SUPERSEDES}', {g})) AS g{g}" for g in (0, 1, 2)) + " FROM {legal} t) WHERE n <> ''"
