@@ -2,9 +2,9 @@
 
 A text is the set of its 1- to 4-grams of lower-cased letters (other characters count as one space): the blended
 spectrum kernel of presence, ``k(x, y) = |x & y| / sqrt(|x| |y|)``. Landmarks drawn from the labelled sample give a
-Nyström map, and kernel ridge regression is fitted one language against the rest. The grams that count are those
-of at least two sampled texts, the most frequent ``VOCABULARY`` of them. Batches of texts become presence
-matrices, so scoring is two matrix products for each batch.
+Nyström map, and kernel ridge regression is fitted one language against the rest. The grams that count are all those
+of the sampled texts, so the sample's bound is theirs. Batches of texts become presence matrices, so scoring is two
+matrix products for each batch, of the columns of landmarks' grams that the batch holds.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .common import small_batches
 from .sampling import label_sample
 from .words import U64, mix
 
-GRAMS, VOCABULARY, SLOT_BITS = 4, 16384, 22
+GRAMS, SLOT_BITS = 4, 20
 BATCH_ROWS, BATCH_CHARS = 64, 1 << 19
 UNDETERMINED = "und"
 FACTORS = np.random.default_rng(31).integers(1, 1 << 63, (GRAMS, GRAMS), dtype=np.uint64) * U64(2) + U64(1)
@@ -70,33 +70,41 @@ class Grams:
 
 
 class Model:
-    """Landmarks and one-versus-rest weights, fitted on (text, language) rows."""
+    """Landmarks and one-versus-rest weights, fitted on (text, language) rows.
+
+    ``hashes`` are the sample's grams by column of the presence matrices; the landmarks' grams come first, one row of
+    ``landmarks`` for each. ``slots`` tells the column by a hash's first bits; the few grams whose slot another one
+    holds are in ``more``.
+    """
 
     def __init__(self, rows: list[tuple[str, str]], landmarks: int, ridge: float) -> None:
         grams = Grams()
         rows = sorted((t, lang) for t, lang in rows if any(map(str.isalpha, t)))
-        self.languages = sorted({lang for _, lang in rows})
-        sets = []
-        for text, _ in rows:
-            sets.append(np.unique(np.concatenate([h for h, _ in grams.of([text])])))
-        values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, U64), np.zeros(0, int))
-        often = counts >= min(2, len(sets))
-        values, counts = values[often], counts[often]
-        order = np.lexsort((values, -counts))[:VOCABULARY]
-        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
-        self.hashes = values[order]
-        self.slots[(self.hashes >> U64(64 - SLOT_BITS)).astype(np.int64)[::-1]] = np.arange(len(order), dtype=np.int32)[::-1]
-        present = np.zeros((len(rows), len(order)), np.float32)
-        for i, (text, _) in enumerate(rows):
-            self.mark(grams, [text], present[i : i + 1])
-        present /= np.maximum(np.sqrt(present.sum(axis=1, keepdims=True)), 1)
+        texts, self.languages = [t for t, _ in rows], sorted({lang for _, lang in rows})
         rng = np.random.default_rng(2)
         label = np.array([self.languages.index(lang) for _, lang in rows], np.int64)
         chosen = [rng.permutation(np.flatnonzero(label == c))[: max(1, landmarks // len(self.languages))] for c in range(len(self.languages))]
-        self.landmarks = present[np.concatenate(chosen)].T.copy() if rows else present.T
-        k = (present @ self.landmarks).astype(np.float64)
-        inner = (self.landmarks.T @ self.landmarks).astype(np.float64)
-        w, v = np.linalg.eigh(inner) if rows else (np.zeros(0), np.zeros((0, 0)))
+        chosen = np.concatenate([np.zeros(0, np.int64), *chosen])
+        none = np.zeros(0, U64)
+        sets = [np.unique(np.concatenate([none, *(h for h, _ in grams.of([t]))])) for t in texts]
+        marked = np.unique(np.concatenate([none, *(sets[i] for i in chosen)]))
+        others = np.setdiff1d(np.concatenate([none, *sets]), marked)
+        self.hashes = np.concatenate([marked, others, np.zeros(1, U64)])
+        self.width = width = len(marked) + len(others)
+        slot = (self.hashes[:width] >> U64(64 - SLOT_BITS)).astype(np.int64)
+        self.slots = np.full(1 << SLOT_BITS, width, np.int32)
+        self.slots[slot] = np.arange(width, dtype=np.int32)
+        rest = np.flatnonzero(self.slots[slot] != np.arange(width))
+        rest = rest[np.argsort(self.hashes[rest])]
+        self.more, self.more_at, self.crowded = self.hashes[rest], rest.astype(np.int32), np.zeros(1 << SLOT_BITS, bool)
+        self.crowded[slot[rest]] = True
+        self.landmarks = np.zeros((len(marked), len(chosen)), np.uint8)
+        for i, at in enumerate(chosen):
+            self.landmarks[np.searchsorted(marked, sets[at]), i] = 1
+        sizes = np.array([len(sets[i]) for i in chosen], np.float64)
+        self.scale = (1 / np.sqrt(np.maximum(sizes, 1))).astype(np.float32)
+        k = np.concatenate([np.zeros((0, len(chosen)), np.float32), *(self.kernel(texts[a:b], grams) for a, b in groups(texts))]).astype(np.float64)
+        w, v = np.linalg.eigh((k[chosen] + k[chosen].T) / 2) if rows else (np.zeros(0), np.zeros((0, 0)))
         solid = w > 1e-6 * max(w.max(initial=0), 1e-12)
         root = v[:, solid] / np.sqrt(w[solid])
         z = np.hstack([k @ root, np.ones((len(rows), 1))])
@@ -106,24 +114,37 @@ class Model:
         beta = np.linalg.solve(z.T @ (z * weight) + ridge * np.eye(z.shape[1]), z.T @ (target * weight))
         self.weights, self.bias = (root @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32)
 
-    def mark(self, grams: Grams, texts: list[str], present: np.ndarray) -> None:
+    def columns(self, hashes: np.ndarray) -> np.ndarray:
+        """The columns of grams, and one after the last for those that no sampled text has."""
+        at = self.slots[(hashes >> U64(64 - SLOT_BITS)).astype(np.int64)]
+        wrong = np.flatnonzero(self.hashes[at] != hashes)
+        at[wrong], asked = self.width, hashes[wrong]
+        if len(self.more):
+            few = np.flatnonzero(self.crowded[(asked >> U64(64 - SLOT_BITS)).astype(np.int64)])
+            wrong, asked = wrong[few], asked[few]
+            place = np.minimum(np.searchsorted(self.more, asked), len(self.more) - 1)
+            same = self.more[place] == asked
+            at[wrong[same]] = self.more_at[place[same]]
+        return at
+
+    def kernel(self, texts: list[str], grams: Grams) -> np.ndarray:
+        """The kernel of a few texts with the landmarks; a text's size counts the grams that the sample knows."""
+        present = np.zeros((len(texts), self.width + 1), bool)
+        flat = present.reshape(-1)
         for h, row in grams.of(texts):
-            at = self.slots[(h >> U64(64 - SLOT_BITS)).astype(np.int64)]
-            hit = at >= 0
-            at, row, h = at[hit], row[hit], h[hit]
-            same = self.hashes[at] == h
-            present[row[same], at[same]] = 1
+            flat[row * (self.width + 1) + self.columns(h)] = True
+        norm = np.maximum(np.sqrt(present[:, : self.width].sum(axis=1, dtype=np.float32)), 1)[:, None]
+        held = present[:, : len(self.landmarks)]
+        some = np.flatnonzero(held.any(axis=0))
+        return held[:, some].astype(np.float32) @ self.landmarks[some].astype(np.float32) * self.scale / norm
 
     def predict(self, texts: list[str], grams: Grams) -> tuple[list[str], np.ndarray]:
         """The likeliest language and its share of a softmax; texts without a letter are ``und`` with 0."""
         out, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         for a, b in groups(texts):
-            present = np.zeros((b - a, len(self.hashes)), np.float32)
-            self.mark(grams, texts[a:b], present)
-            norm = np.maximum(np.sqrt(present.sum(axis=1, keepdims=True)), 1)
-            margin = ((present @ self.landmarks) / norm @ self.weights + self.bias).astype(np.float64)
             if not self.languages:
                 continue
+            margin = (self.kernel(texts[a:b], grams) @ self.weights + self.bias).astype(np.float64)
             share = np.exp(SHARPNESS * (margin - margin.max(axis=1, keepdims=True)))
             share /= share.sum(axis=1, keepdims=True)
             best = share.argmax(axis=1)
@@ -134,12 +155,13 @@ class Model:
 
 
 def fit(rows: DataFrame, per_language: int = 400, most_rows: int = 4000, landmarks: int = 160, ridge: float = 0.05) -> Model:
-    """A model of ``rows`` (doc_id, text, lang) from a sample of at most about ``per_language`` rows a language and ``most_rows`` in all.
+    """A model of ``rows`` (doc_id, text, lang) from a sample of about ``per_language`` rows a language and ``most_rows`` in all.
 
-    Null texts or languages are not learned from; without any labelled row every text is ``und``.
+    No more than twice ``most_rows`` rows reach the driver, however often a doc_id repeats. Null texts or languages are
+    not learned from; without any labelled row every text is ``und``.
     """
     sample = label_sample(rows.where("text is not null").select("doc_id", "text", "lang"), "lang", per_language, most_rows)
-    return Model([(r.text, r.lang) for r in sample.select("text", "lang").collect()], landmarks, ridge)
+    return Model([(r.text, r.lang) for r in sample.select("text", "lang").limit(2 * most_rows).collect()], landmarks, ridge)
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
