@@ -25,7 +25,7 @@ from .words import BREAK, U64, Words, mix, word_chunks
 
 LOW, HIGH, BUCKET_BITS, SIZE, WINDOW = 3, 6, 17, 4, 24
 #: Steps of the embeddings, the softmax and its bias, and what the embeddings lose in a round.
-STEPS, DECAY, LEAST_USES = (4.0, 0.05, 0.05), 0.002, 4
+STEPS, DECAY = (4.0, 0.05, 0.05), 0.002
 FACTORS = np.random.default_rng(41).integers(1, 1 << 63, HIGH, dtype=np.uint64) * U64(2) + U64(1)
 SEED_BYTES = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64)
 SEED_BYTES[ord("A") : ord("Z") + 1] = SEED_BYTES[ord("a") : ord("z") + 1]
@@ -120,12 +120,8 @@ class Model:
         del hashes, bags, kinds_of
         kinds = len(seen)
         per_kind = np.maximum(np.bincount(of, minlength=kinds), 1).astype(np.float32)[:, None]
-        # buckets of few occurrences teach nothing that holds elsewhere
-        often = np.bincount(bag, np.bincount(kind, minlength=kinds)[of], 1 << BUCKET_BITS) >= LEAST_USES
-        mine = often[bag]
-        bag, of = bag[mine], of[mine]
-        used = np.flatnonzero(often)
-        bag = np.searchsorted(used, bag).astype(np.int32)
+        used, bag = np.unique(bag, return_inverse=True)
+        bag = bag.astype(np.int32)
         by_kind, by_bucket, by_word = Sums(of, kinds), Sums(bag, len(used)), Sums(kind, kinds)
         window = np.repeat(np.arange(len(firsts)), np.diff(np.r_[firsts, words]))
 
@@ -180,12 +176,14 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 800) -> Model:
     """A model from the ``toxic`` labels (doc_id, toxic 0 or 1) of at most about ``per_label`` documents of each.
 
-    Null labels and texts, and labels without a document, are not learned from; one of several labels of a document
-    counts. With labels of one kind only, every score is that kind's.
+    Null labels and texts, and labels without a document, are not learned from; a document with several labels is toxic
+    if any says so. At most eight times ``per_label`` rows reach the driver, however often a doc_id repeats. With
+    labels of one kind only, every score is that kind's.
     """
-    sample = label_sample(labels.select("doc_id", "toxic").where("toxic in (0, 1)"), "toxic", per_label, 2 * per_label).dropDuplicates(["doc_id"])
+    marked = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sample = label_sample(marked, "toxic", per_label, 2 * per_label)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample.limit(4 * per_label)), "doc_id")
-    return Model([(r.text, r.toxic) for r in rows.select("text", "toxic").collect()])
+    return Model([(r.text, r.toxic) for r in rows.select("text", "toxic").limit(8 * per_label).collect()])
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
