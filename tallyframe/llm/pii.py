@@ -31,6 +31,8 @@ CARD = r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])"
 SHAPED = r"(?<![0-9])(?=((?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9]))"
 KINDS = {"email": EMAIL, "key": KEY, "token": TOKEN, "ipv4": IPV4, "iso": ISO_DATE, "day": DAY_DATE, "social": SOCIAL, "phone": PHONE, "card": CARD}
 ANY = r"(?<![0-9A-Za-z_.+-])(?:" + "|".join(KINDS.values()) + ")"
+# what a text with any of the kinds holds: a digit or an @, or the lead of a key or token that may be letters alone
+LEAD = r"[0-9@]|AKIA|(?i:token|secret|key|password) ?[=:]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -243,7 +245,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     nulls elsewhere and extra columns pass through (a column ``n_private`` is replaced); an empty table gives no rows.
     """
     text = F.col("text").cast("string")
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(text.rlike(LEAD), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     marked = docs.withColumn("__found", found).withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
     between = F.split(text, ANY, -1)
     woven = F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.get("__new", i), F.lit(""))))
