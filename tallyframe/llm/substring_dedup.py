@@ -31,8 +31,8 @@ ANCHOR_WORDS = 10
 PLACE = 256
 STEP = U64(0xC2B2AE3D27D4EB4F)
 STEPS = Powers(STEP, U64(pow(int(STEP), -1, 1 << 64)))
-PATHS = "anchor long, path long, id long, crc int, place long"
-EDGES = "anchor long, edge long, id long, crc int, place long, whole boolean"
+PATHS = "anchor long, path long, id long, crc long, place long"
+EDGES = "anchor long, edge long, id long, crc long, place long, whole boolean"
 
 
 def prefix_sums(hashes: np.ndarray) -> np.ndarray:
@@ -76,7 +76,7 @@ def paths(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 row, first, count, key, path = paths_of(w.hashes, w.bounds, window, anchor)
                 place = (first - w.bounds[row]) * PLACE + count
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(path.view(np.int64)), pa.array(ids[w.first + row]), pa.array(crcs[w.first + row], pa.int32()), pa.array(place.astype(np.int64))],
+                    [pa.array(key.view(np.int64)), pa.array(path.view(np.int64)), pa.array(ids[w.first + row]), pa.array(crcs[w.first + row], pa.int64()), pa.array(place.astype(np.int64))],
                     ["anchor", "path", "id", "crc", "place"],
                 )
 
@@ -97,7 +97,7 @@ def edges_of(docs: DataFrame, window: int) -> DataFrame:
                 anchors, places, whole = (x.to_numpy(zero_copy_only=False) for x in flat)
                 count = places % PLACE
                 at = np.repeat(places // PLACE, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                for column, values in zip(out, (np.repeat(anchors, count), span_hashes(total, at, at + window).view(np.int64), np.full(len(at), key), np.full(len(at), crc, np.int32), at * PLACE + 1, np.repeat(whole, count)), strict=True):
+                for column, values in zip(out, (np.repeat(anchors, count), span_hashes(total, at, at + window).view(np.int64), np.full(len(at), key), np.full(len(at), crc), at * PLACE + 1, np.repeat(whole, count)), strict=True):
                     column.append(values)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) if c else pa.array([]) for c in out], ["anchor", "edge", "id", "crc", "place", "whole"])
 
@@ -141,12 +141,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35) -> Da
     are judged as they come in, not after removal, so every copy of a passage goes. kept_text is the rest, joined by
     one space. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null, empty and blank texts have no words and keep an
     empty text; texts shorter than the window keep all. Rows that repeat a doc_id, or have none, are told apart by
-    their text; rows alike in both are copies of each other. Other columns pass through. An empty table gives no rows.
+    a 64-bit hash of their text; rows alike in both are copies of each other. Other columns pass through. An empty table gives no rows.
     """
     if not ANCHOR_WORDS < window <= ANCHOR_WORDS + PLACE - 2:
         raise ValueError(f"window must be {ANCHOR_WORDS + 1} to {ANCHOR_WORDS + PLACE - 2} words")
     scratch = Scratch(spark, "substring-dedup")
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.hash("text").alias("crc")]
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("crc")]
     slim = docs.select(*key, F.col("text").cast("string").alias("text"))
     found = scratch.put(paths(slim, window, ANCHOR_WORDS), "paths")
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("low"), F.max("path").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("branching"))
@@ -168,5 +168,5 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35) -> Da
     scratch.drop(shared, sources, edges)
     taken = {"id", "crc", "places"} & set(docs.columns)
     plain = docs.withColumnsRenamed({c: f"__{c}" for c in taken})
-    beside = plain.join(marks, (F.coalesce(plain["doc_id"].cast("long"), F.lit(0)) == marks["id"]) & (F.hash(plain["text"]) == marks["crc"]), "left").drop(marks["id"], marks["crc"])
+    beside = plain.join(marks, (F.coalesce(plain["doc_id"].cast("long"), F.lit(0)) == marks["id"]) & (F.xxhash64(plain["text"]) == marks["crc"]), "left").drop(marks["id"], marks["crc"])
     return stripped(beside, window).withColumnsRenamed({f"__{c}": c for c in taken})
