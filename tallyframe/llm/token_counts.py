@@ -55,7 +55,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, where: str, path: st
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, MANIFEST)
 
 
-def count_tokens(spark: SparkSession, where: str, separator: int, width: int = 2, block_bytes: int = 1 << 22) -> DataFrame:
+def count_tokens(spark: SparkSession, where: str, separator: int, width: int = 2, block_bytes: int = 1 << 27) -> DataFrame:
     """``file, doc_number, start, n_tokens`` of every document of the ``*.tokens`` files under ``where``.
 
     doc_number counts from 0 in each file, start is its first token, and n_tokens leaves the separator out. Tokens
@@ -69,7 +69,9 @@ def count_tokens(spark: SparkSession, where: str, separator: int, width: int = 2
     sizes = [(f.path, f.size) for f in system.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".tokens")]
     files = spark.createDataFrame(sizes, "file string, bytes long")
     blocks = files.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / block_bytes))).alias("block"))
-    blocks = blocks.repartition(max(1, sum(-(-n // block_bytes) for _, n in sizes)), "file", "block")
+    # about a block of bytes to a task, and a block at once in it; small files share tasks
+    spread = max(spark.sparkContext.defaultParallelism, -(-sum(n for _, n in sizes) // block_bytes))
+    blocks = blocks.repartition(spread, "file", "block")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(where)
