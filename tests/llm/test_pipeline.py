@@ -29,7 +29,7 @@ def test_stages(spark):
     assert masked.columns == columns and masked.count() == cut.count()
     rows = stage["packing"](spark, masked, SF).collect()
     kept = texts(masked)
-    ids = {k: [*x, 0] for k, x in zip(kept, library_ids(kept.values()), strict=True)}
+    ids = {k: [*x, 0] for k, x in zip(kept, library_ids(kept.values(), True), strict=True)}
     assert check_packing(rows, ids, 1024) > 0.95
     assert corpus_pipeline.run(spark, SF).count() == len(rows)
     assert TOKENIZER == P.path("byte_bpe_50k.json")
@@ -42,7 +42,9 @@ def test_stages_of_odd_tables(spark):
         for name, f in corpus_pipeline.STAGES[:-1]:
             table = f(spark, table, SF)
             assert table.columns == [c.split()[0] for c in schema.split(", ")], name
-        table.collect()
+        rows_left = table.collect()
+        packed = dict(corpus_pipeline.STAGES)["packing"](spark, table, SF).collect()
+        assert sum(r.start == 0 for r in packed) == len(rows_left) and sum(r.length for r in packed) == sum(len(x) + 1 for x in library_ids([r.text for r in rows_left], True))
 
 
 def test_registered():
