@@ -99,15 +99,15 @@ def iso_date(text: Column) -> Column:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """``doc_id, kind, number, department, sections, clauses, act, rule, parent`` of documents (doc_id, kind, text).
+    """``doc_id, kind, number, department, sections, clauses, act, rule`` of documents (doc_id, kind, text).
 
     Orders are read for number, department, clauses and both parents, acts for sections, rules for clauses and the act
-    above them; a generic document has none of them. parent is the act, else the rule.
+    above them; a generic document has none of them.
     """
     text, order, act, rule = F.col("text"), F.col("kind") == "order", F.col("kind") == "act", F.col("kind") == "rule"
     above = F.when(order | rule, first(text, PARENT_ACT)), F.when(order, first(text, PARENT_RULE))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
     return docs.select(
         "doc_id", "kind", F.when(order, first(text, ORDER_NUMBER)).alias("number"), F.when(order, F.trim(first(text, DEPARTMENT))).alias("department"), F.when(act, count(SECTIONED)).otherwise(0).alias("sections"),
-        F.when(order, count(CLAUSE)).when(rule, count(LETTERED)).otherwise(0).alias("clauses"), above[0].alias("act"), above[1].alias("rule"), F.coalesce(*[F.trim(F.regexp_replace(c, r"^.*\bunder\s+", "")) for c in above]).alias("parent"),
+        F.when(order, count(CLAUSE)).when(rule, count(LETTERED)).otherwise(0).alias("clauses"), above[0].alias("act"), above[1].alias("rule"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
+
 K1, B = 1.2, 0.75
 
 
@@ -30,11 +32,12 @@ def tokens(text: Column) -> Column:
 def bm25(docs: DataFrame, key: str, column: str, terms: list[str]) -> DataFrame:
     """``key, score`` of the documents that hold any of the terms (of a-z and 0-9).
 
-    The corpus is scanned twice: once for its size, mean length and document frequencies (one row), once for scores.
+    The texts are read once, into a narrow table of lengths and counts that is kept: its size, mean length and document
+    frequencies (one row) and the scores come from that.
     """
-    low = F.lower(column)
-    words = [F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")).alias(f"f{i}") for i, t in enumerate(terms)]
-    counted = docs.select(key, F.regexp_count(low, F.lit("[a-z0-9]+")).alias("n"), *words)
+    words = docs.select(key, tokens(F.col(column)).alias("w"))
+    held = [F.size(F.filter("w", F.lit(t).__eq__)).alias(f"f{i}") for i, t in enumerate(terms)]
+    counted = kept(words.select(key, F.size("w").alias("n"), *held))
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
     both = counted.crossJoin(F.broadcast(stats))
     score = F.lit(0.0)

@@ -513,13 +513,34 @@ def lg_complexity(spark: SparkSession, sf: str) -> DataFrame:
     return facts(spark, sf).select("fact_id", L.complexity(o % 5, o % 7, o % 3, o % 6, o % 4, kind).alias("complexity"))
 
 
-@query("SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'order' WHEN 1 THEN 'act' WHEN 2 THEN 'rule' ELSE 'generic' END AS kind, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey::VARCHAR END AS number, CASE WHEN o_orderkey % 4 = 1 THEN 1 ELSE 0 END AS sections, CASE WHEN o_orderkey % 4 = 2 THEN 'The Education Act, 2010' END AS parent FROM orders")
-def lg2_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders, acts, rules and others, each read for what its kind has: a number, sections or the act above it."""
+def described(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders, acts, rules and others, each read for what its kind has."""
     k = F.col("o_orderkey")
-    text = F.when(k % 4 == 0, F.concat(F.lit("G.O.MS.No. "), k.cast("string"), F.lit("\nDepartment: School 5"))).when(k % 4 == 1, "Section 4: Schools are open").when(k % 4 == 2, "made under The Education Act, 2010").otherwise("a notice")
+    text = F.when(k % 4 == 0, F.concat(F.lit("G.O.MS.No. "), k.cast("string"), F.lit("\nDepartment: School Education 5\n1. one\n2. two"))).when(k % 4 == 1, "Section 4: Schools are open\nand free").when(k % 4 == 2, "made under The Education Act, 2010\n(a) first\n(b) second").otherwise("a notice")
     docs = table(spark, sf, "orders").select(k.alias("doc_id"), F.when(k % 4 == 0, "order").when(k % 4 == 1, "act").when(k % 4 == 2, "rule").otherwise("generic").alias("kind"), text.alias("text"))
-    return D.described(docs).select("doc_id", "kind", "number", "sections", "parent")
+    return D.described(docs)
+
+
+@query("SELECT o_orderkey AS doc_id, o_orderkey::VARCHAR AS number, 'School Education' AS department, 2 AS clauses FROM orders WHERE o_orderkey % 4 = 0")
+def lg2_go(spark: SparkSession, sf: str) -> DataFrame:
+    return described(spark, sf).where("kind = 'order'").select("doc_id", "number", "department", "clauses")
+
+
+@query("SELECT o_orderkey AS doc_id, 1 AS sections, 0 AS clauses FROM orders WHERE o_orderkey % 4 = 1")
+def lg2_act(spark: SparkSession, sf: str) -> DataFrame:
+    return described(spark, sf).where("kind = 'act'").select("doc_id", "sections", "clauses")
+
+
+@query("SELECT o_orderkey AS doc_id, 2 AS clauses, 'The Education Act, 2010' AS act, NULL::VARCHAR AS rule FROM orders WHERE o_orderkey % 4 = 2")
+def lg2_rule(spark: SparkSession, sf: str) -> DataFrame:
+    return described(spark, sf).where("kind = 'rule'").select("doc_id", "clauses", "act", "rule")
+
+
+@query("SELECT o_orderkey AS doc_id, 0 AS found FROM orders WHERE o_orderkey % 4 = 3")
+def lg2_generic(spark: SparkSession, sf: str) -> DataFrame:
+    some = F.col("number").isNotNull() | F.col("department").isNotNull() | F.col("act").isNotNull() | F.col("rule").isNotNull()
+    return described(spark, sf).where("kind = 'generic'").select("doc_id", (some.cast("int") + F.col("sections") + F.col("clauses")).alias("found"))
+
 
 
 @query(f"SELECT a.entity_id AS source, b.entity_id AS target FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY entity_id) AS i FROM {SHIFTED} WHERE dataset = 'left') a JOIN (SELECT *, row_number() OVER (ORDER BY entity_id) AS i FROM {SHIFTED} WHERE dataset = 'right') b ON b.i <= 40 AND abs(a.year - (b.year - 90 + b.i)) <= 1 AND a.i <= 5")

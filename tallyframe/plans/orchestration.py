@@ -257,11 +257,20 @@ def ms_trend(spark: SparkSession, sf: str) -> DataFrame:
     return S.trend(ensemble(spark, sf, 50), facts(spark, sf), 2016, 2020).withColumn("mean", F.round("mean", 4))
 
 
-@query(f"SELECT 'vector' AS method, fact_id, round(score, 6) AS score FROM {TOP_VEC(10)} UNION ALL SELECT 'hybrid', fact_id, round(score, 6) FROM {hybrid_sql(FV, 'fact_id', 10)} UNION ALL SELECT 'graph', fact_id, score FROM {top_sql(BEST_GRAPH, 'fact_id', 10)}")
-def sota_methods(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [("vector", vectors_found(spark, sf, 10)), ("hybrid", hybrid_found(spark, sf, 10)), ("graph", graph_found(spark, sf, 10))]
-    each = [rounded(df).select(F.lit(n).alias("method"), "fact_id", "score") for n, df in parts]
-    return each[0].union(each[1]).union(each[2])
+@query(f"SELECT 'vector' AS method, fact_id, round(score, 6) AS score FROM {TOP_VEC(10)}")
+def sota_vector(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vectors_found(spark, sf, 10)).select(F.lit("vector").alias("method"), "fact_id", "score")
+
+
+@query(f"SELECT 'hybrid' AS method, fact_id, round(score, 6) AS score FROM {hybrid_sql(FV, 'fact_id', 10)}")
+def sota_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(hybrid_found(spark, sf, 10)).select(F.lit("hybrid").alias("method"), "fact_id", "score")
+
+
+@query(f"SELECT 'graph' AS method, fact_id, score FROM {top_sql(BEST_GRAPH, 'fact_id', 10)}")
+def sota_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_found(spark, sf, 10).select(F.lit("graph").alias("method"), "fact_id", "score")
+
 
 
 @query(f"SELECT h.fact_id, round(h.score, 6) AS score, 'DY_' || f.district || '_' || f.year AS bridge_id, c.n AS connected FROM {hybrid_sql(FV, 'fact_id', 10)} h JOIN {{facts}} f USING (fact_id) JOIN (SELECT district, year, count(*) - 1 AS n FROM {{facts}} g GROUP BY 1, 2) c USING (district, year)")

@@ -102,14 +102,23 @@ def agg_app_list(spark: SparkSession, sf: str) -> DataFrame:
 ANSWERS = "(SELECT c_mktsegment AS category, CASE c_nationkey % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty, c_acctbal > 0 AND c_nationkey % 4 <> 1 AND c_custkey % 10 >= 3 AS passed FROM customer)"
 
 
-@query(f"SELECT 'overall' AS dimension, 'all' AS item, count(*) AS n, count(*) FILTER (WHERE passed) AS passed, round(count(*) FILTER (WHERE passed) / count(*), 6) AS rate FROM {ANSWERS} a UNION ALL SELECT 'category', category, count(*), count(*) FILTER (WHERE passed), round(count(*) FILTER (WHERE passed) / count(*), 6) FROM {ANSWERS} a GROUP BY category UNION ALL SELECT 'difficulty', difficulty, count(*), count(*) FILTER (WHERE passed), round(count(*) FILTER (WHERE passed) / count(*), 6) FROM {ANSWERS} a GROUP BY difficulty")
-def agg_test_summary(spark: SparkSession, sf: str) -> DataFrame:
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    """An answer for each customer, with what it cites and what it should."""
     c, k = table(spark, sf, "customer"), F.col("c_nationkey")
-    answers = c.select(
-        F.col("c_mktsegment").alias("category"), F.when(k % 3 == 0, "easy").when(k % 3 == 1, "medium").otherwise("hard").alias("difficulty"), F.lit(2).alias("citations_min"), F.when(F.col("c_acctbal") > 0, 2).otherwise(1).alias("citations"),
+    return c.select(
+        "c_custkey", F.col("c_mktsegment").alias("category"), F.when(k % 3 == 0, "easy").when(k % 3 == 1, "medium").otherwise("hard").alias("difficulty"), F.lit(2).alias("citations_min"), F.when(F.col("c_acctbal") > 0, 2).otherwise(1).alias("citations"),
         F.array(F.lit("legal")).alias("expected_sources"), F.when(k % 4 == 1, F.array(F.lit("data"))).otherwise(F.array(F.lit("legal"), F.lit("data"))).alias("sources"), (F.col("c_custkey") % 10 / F.lit(5.0)).alias("confidence"), F.lit(0).alias("warnings"),
     )
-    return P.pass_rates(P.evaluated(answers))
+
+
+@query(f"SELECT 'overall' AS dimension, 'all' AS item, count(*) AS n, count(*) FILTER (WHERE passed) AS passed, round(count(*) FILTER (WHERE passed) / count(*), 6) AS rate FROM {ANSWERS} a UNION ALL SELECT 'category', category, count(*), count(*) FILTER (WHERE passed), round(count(*) FILTER (WHERE passed) / count(*), 6) FROM {ANSWERS} a GROUP BY category UNION ALL SELECT 'difficulty', difficulty, count(*), count(*) FILTER (WHERE passed), round(count(*) FILTER (WHERE passed) / count(*), 6) FROM {ANSWERS} a GROUP BY difficulty")
+def agg_test_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return P.pass_rates(P.evaluated(answers(spark, sf)))
+
+
+@query("SELECT c_custkey, c_acctbal > 0 AND c_nationkey % 4 <> 1 AND c_custkey % 10 >= 3 AS passed FROM customer")
+def sc_test_eval(spark: SparkSession, sf: str) -> DataFrame:
+    return P.evaluated(answers(spark, sf)).select("c_custkey", "passed")
 
 
 @query("SELECT fact_id, CASE WHEN ord % 3 = 0 THEN 'conflicting' ELSE 'verified' END AS status FROM {facts} f WHERE confidence_score >= 0.8::DOUBLE")
