@@ -415,7 +415,7 @@ def fn_year_items(spark: SparkSession, sf: str) -> DataFrame:
 def is_table_data(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("n_nationkey") % 4
     words = F.array(F.lit("a"))
-    return table(spark, sf, "nation").select("n_nationkey", P.is_table(F.when(k == 0, "ocr_tesseract").otherwise("text"), F.when(k == 1, words), F.when(k == 9, F.array(words)), F.when(k == 2, "T1")).alias("is_table"))
+    return table(spark, sf, "nation").select("n_nationkey", P.is_table_item(F.when(k == 0, "ocr_tesseract").otherwise("text"), F.when(k == 1, words), F.when(k == 9, F.array(words)), F.when(k == 2, "T1")).alias("is_table"))
 
 
 @query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 2 END AS place FROM nation")
