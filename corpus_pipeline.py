@@ -1,8 +1,8 @@
 """A corpus pipeline of five operators; each stage's result is written as Parquet and read again by the next.
 
 ``STAGES`` holds (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame: the columns of
-documents, and the pieces of packed sequences from the last. ``docs`` needs doc_id and text; any of its columns may be
-null, be missing but for these two, or bear the name of a column that an operator adds, and all pass through unchanged.
+documents, and the pieces of packed sequences from the last. ``docs`` needs doc_id and text. Its columns may be null
+or bear the name of a column that an operator adds; those but text and n_chars pass through unchanged.
 Every stage of an empty table gives an empty one.
 """
 
