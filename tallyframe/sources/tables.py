@@ -23,19 +23,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
+def deleted_at_exit(spark: SparkSession, path: str) -> None:
+    """Makes a folder that goes with the session."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """``df``, checkpointed: computed once, without lineage, on storage that outlives executors."""
+    """``df``, checkpointed: computed once, without lineage, on storage that outlives executors but not the session."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    deleted_at_exit(df.sparkSession, context._jsc.sc().getCheckpointDir().get())
     return df.checkpoint()
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared folder, deleted with the session."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.mkdirs(where)
-    system.deleteOnExit(where)
+    deleted_at_exit(spark, path)
     return path
