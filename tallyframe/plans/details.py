@@ -161,6 +161,16 @@ def scan_txt(spark: SparkSession, sf: str) -> DataFrame:
     return read.select(F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), F.md5(F.regexp_replace("text", "\n$", "").cast("binary")).alias("hash"))
 
 
+@query("SELECT n_nationkey, md5(n_name || chr(10)) AS hash FROM nation")
+def scan_all_pdfs(spark: SparkSession, sf: str) -> DataFrame:
+    """All files of the known kinds below a folder, hashed in parallel by file; a file of another kind is passed over."""
+    where = folder(spark, "files")
+    n = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("value"))
+    n.repartition("n_nationkey").write.mode("overwrite").partitionBy("n_nationkey").text(f"{where}/txt")
+    n.coalesce(1).write.mode("overwrite").parquet(f"{where}/other")
+    return files.hashed_files(spark, where).select(F.regexp_extract("key", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), "hash")
+
+
 @query(f"SELECT 'absent' AS index, 0 AS n, {len(files.INDEX_COLUMNS)} AS columns UNION ALL SELECT 'present', (SELECT count(*) FROM nation), 2")
 def scan_corpus_index(spark: SparkSession, sf: str) -> DataFrame:
     where = folder(spark, "index")
@@ -461,7 +471,7 @@ def fn_norm_table_route(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("SELECT 'FCT_' || fact_id || '_1' AS fact_id, 'dropout' AS indicator, value FROM {facts} f WHERE indicator = 'Dropout Rate' UNION ALL SELECT 'FCT_' || fact_id || '_2', 'literacy', year::DOUBLE FROM {facts} f WHERE indicator = 'Dropout Rate'")
-def fn_text_to_facts(spark: SparkSession, sf: str) -> DataFrame:
+def fn_text_to_facts_s2(spark: SparkSession, sf: str) -> DataFrame:
     f = facts(spark, sf).where("indicator = 'Dropout Rate'")
     return N.numbered_facts(f.select(F.col("fact_id").alias("doc_id"), F.concat(F.format_string("%.2f", "value"), F.lit("% dropout, then "), F.col("year").cast("string"), F.lit("% Literacy")).alias("text")))
 

@@ -212,6 +212,11 @@ def lg_supersession(spark: SparkSession, sf: str) -> DataFrame:
     return L.supersessions(legal_texts(spark, sf))
 
 
+@query(f"SELECT doc_id, kind FROM ({SUPERSEDED})")
+def lg_supersession_type(spark: SparkSession, sf: str) -> DataFrame:
+    return L.supersessions(legal_texts(spark, sf)).select("doc_id", "kind")
+
+
 @query(f"SELECT doc_id FROM {{legal}} t WHERE 'GO ' || doc_id NOT IN (SELECT split_part(superseded, '/', 1) FROM ({SUPERSEDED}))")
 def flt_active_docs(spark: SparkSession, sf: str) -> DataFrame:
     docs = legal_texts(spark, sf)
@@ -261,10 +266,20 @@ def fn_legal_doc_type(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", L.document_kind(F.col("text")).alias("kind"))
 
 
-@query(f"SELECT fact_id, {pairs_sql('q', N.spelled(V.CATEGORY_SPELLINGS), None)} AS category, {pairs_sql('q', V.CATEGORY_FIRST, 'total')} AS category_first, {pairs_sql('q', V.UNIT_SPELLINGS, 'count')} AS unit FROM {ASKED}")
-def fn_extract_category(spark: SparkSession, sf: str) -> DataFrame:
-    q = F.col("q")
-    return asked(spark, sf).select("fact_id", N.category(q).alias("category"), N.category_first(q).alias("category_first"), N.unit(q).alias("unit"))
+@query(f"SELECT fact_id, {pairs_sql('q', N.spelled(V.CATEGORY_SPELLINGS), None)} AS category FROM {ASKED}")
+def fn_extract_category_enh(spark: SparkSession, sf: str) -> DataFrame:
+    return asked(spark, sf).select("fact_id", N.category(F.col("q")).alias("category"))
+
+
+@query(f"SELECT fact_id, {pairs_sql('q', V.CATEGORY_FIRST, 'total')} AS category FROM {ASKED}")
+def fn_extract_category_s2(spark: SparkSession, sf: str) -> DataFrame:
+    return asked(spark, sf).select("fact_id", N.category_first(F.col("q")).alias("category"))
+
+
+@query(f"SELECT fact_id, {pairs_sql('q', V.UNIT_SPELLINGS, 'count')} AS unit FROM {ASKED}")
+def fn_unit_enh(spark: SparkSession, sf: str) -> DataFrame:
+    return asked(spark, sf).select("fact_id", N.unit(F.col("q")).alias("unit"))
+
 
 
 @query("SELECT fact_id, CASE WHEN contains(u, '%') OR contains(u, 'percentage') THEN 'percentage' WHEN contains(u, 'ratio') THEN 'ratio' WHEN contains(u, 'count') OR contains(u, 'number') OR contains(u, 'total') THEN 'count' ELSE 'unknown' END AS unit FROM (SELECT fact_id, lower(indicator || ' ' || unit) AS u FROM {facts} f)")
@@ -292,17 +307,30 @@ def fn_year_text(spark: SparkSession, sf: str) -> DataFrame:
     return asked(spark, sf).select("fact_id", N.year_of_text(F.col("q"), AS_OF).alias("year"))
 
 
-CELL = "'Rs ' || p_size || ',' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') || '.5 %'"
+CELL = "CASE p_partkey % 6 WHEN 0 THEN 'Rs ' || p_size || ',' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') || '.5 %' WHEN 1 THEN '-' || p_size || ' pupils' WHEN 2 THEN 'n/a' WHEN 3 THEN p_size || '.2.3' WHEN 4 THEN '*' || p_size || '* of 2,000' END"
+
+
+def cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of tables in six shapes: grouped, negative, none, with two points, starred, null."""
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    grouped = F.concat(F.lit("Rs "), n, F.lit(","), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(".5 %"))
+    s = F.when(k % 6 == 0, grouped).when(k % 6 == 1, F.concat(F.lit("-"), n, F.lit(" pupils"))).when(k % 6 == 2, "n/a").when(k % 6 == 3, F.concat(n, F.lit(".2.3"))).when(k % 6 == 4, F.concat(F.lit("*"), n, F.lit("* of 2,000")))
+    return table(spark, sf, "part").select("p_partkey", s.alias("s"))
+
+
+@query(f"SELECT p_partkey, try_cast(nullif(regexp_extract(regexp_replace(s, '[,%*]', '', 'g'), '([0-9.]+)', 1), '') AS DOUBLE) AS value FROM (SELECT p_partkey, {CELL} AS s FROM part)")
+def fn_parse_value_s2(spark: SparkSession, sf: str) -> DataFrame:
+    return cells(spark, sf).select("p_partkey", N.number(F.col("s")).alias("value"))
+
 
+@query(f"SELECT p_partkey, try_cast(nullif(replace(regexp_extract(regexp_replace(s, '[^0-9.,%\\s-]', '', 'g'), '([0-9,]+(?:\\.[0-9]+)?)', 1), ',', ''), '') AS DOUBLE) AS value FROM (SELECT p_partkey, {CELL} AS s FROM part)")
+def fn_parse_value_enh(spark: SparkSession, sf: str) -> DataFrame:
+    return cells(spark, sf).select("p_partkey", N.grouped_number(F.col("s")).alias("value"))
 
-@query(f"SELECT p_partkey, try_cast(nullif(regexp_extract(regexp_replace(s, '[,%*]', '', 'g'), '([0-9.]+)', 1), '') AS DOUBLE) AS plain, try_cast(replace(regexp_extract(regexp_replace(s, '[^0-9.,%\\s-]', '', 'g'), '([0-9,]+(?:\\.[0-9]+)?)', 1), ',', '') AS DOUBLE) AS grouped FROM (SELECT p_partkey, {CELL} AS s FROM part)")
-def fn_parse_value(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.concat(F.lit("Rs "), F.col("p_size").cast("string"), F.lit(","), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.lit(".5 %"))
-    return table(spark, sf, "part").select("p_partkey", s.alias("s")).select("p_partkey", N.number(F.col("s")).alias("plain"), N.grouped_number(F.col("s")).alias("grouped"))
 
 
 @query("SELECT n_nationkey AS table_id, r AS row, c AS column, d AS district, h AS header, v AS value FROM (SELECT n_nationkey, 0 AS r, 1 AS c, n_name AS d, 'Boys' AS h, n_nationkey * 10.0::DOUBLE AS v FROM nation UNION ALL SELECT n_nationkey, 0, 2, n_name, 'Girls', n_regionkey * 1.5::DOUBLE FROM nation UNION ALL SELECT n_nationkey, 1, 2, 'x', 'Girls', 7.0::DOUBLE FROM nation)")
-def fn_table_to_facts(spark: SparkSession, sf: str) -> DataFrame:
+def fn_table_to_facts_s2(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation")
     one = F.array(F.col("n_name"), (F.col("n_nationkey") * 10).cast("string"), F.format_string("%.1f%%", F.col("n_regionkey") * F.lit(1.5)))
     t = n.select(F.col("n_nationkey").alias("table_id"), F.array(F.lit("District"), F.lit("Boys"), F.lit("Girls")).alias("headers"), F.array(one, F.array(F.lit("x"), F.lit("none"), F.lit("7"))).alias("rows"))
