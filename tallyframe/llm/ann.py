@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .vectors import packed_vectors, stacked, usable
+from .vectors import component_type, packed_vectors, stacked, usable
 
 #: Most candidates of a shard and queries of a block, bytes of their vectors, candidates that are worth a task, projections.
 SHARD, QUERIES, SHARD_BYTES, LEAST_SHARD, PROJECTIONS = 1 << 14, 1 << 14, 32 << 20, 1024, 128
@@ -120,6 +120,7 @@ def nearest(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 20,
     base = rows.withColumn("__query", F.coalesce(is_query, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.col("__query").alias("query"), F.col(column).alias("vector"))
     good = base.where(usable("vector") & F.col("id").isNotNull()).groupBy("id").agg(F.max("query").alias("query"), F.min("vector").alias("vector"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    kind = component_type(rows, column)
     vectors = scratch.put(packed_vectors(good.withColumn("norm", norm), "vector"), "vectors")
     size = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if("query").alias("q"), F.max("norm").alias("r"), F.max("dim").alias("dim")).first()
     most = max(1, min(SHARD, SHARD_BYTES // (8 * (size.dim or 1))))
@@ -131,13 +132,13 @@ def nearest(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 20,
 
     # the shares of verified candidates, by length of vectors; lengths of few sampled rows are verified whole
     few = max(256, min(SAMPLE, SHARD_BYTES // (8 * (size.dim or 1))))
-    sampled, asking = (rows.select("id", "vec", "dim").orderBy(F.xxhash64("id", F.lit(29)), "id").limit(m).toArrow() for rows, m in ((vectors, few), (vectors.where("query"), ASKED)))
+    sampled, asking = (part.select("id", "vec", "dim").orderBy(F.xxhash64("id", F.lit(29)), "id").limit(m).toArrow() for part, m in ((vectors, few), (vectors.where("query"), ASKED)))
     effort = {}
     for dim in set(asking["dim"].to_pylist()):
         cell, asked = (t.filter(pc.equal(t["dim"], dim)) for t in (sampled, asking))
         if len(cell) >= 4 * k:
             near = max(1, min(k, round(k * len(sampled) / size.n)))
-            effort[dim] = calibrated(cell["id"].to_numpy(), stacked(cell["vec"].combine_chunks()), asked["id"].to_numpy(), stacked(asked["vec"].combine_chunks()), largest, near)
+            effort[dim] = calibrated(cell["id"].to_numpy(), stacked(cell["vec"].combine_chunks(), kind), asked["id"].to_numpy(), stacked(asked["vec"].combine_chunks(), kind), largest, near)
 
     left = vectors.select("id", "vec", "dim", F.pmod(deal, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     right = vectors.where("query").select("id", "vec", "dim", F.pmod(deal, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
@@ -146,7 +147,7 @@ def nearest(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 20,
         out = []
         if len(cell) and len(asked):
             share, radius = effort.get(cell["dim"][0].as_py(), (1.0, RADIUS))
-            for query, ids, scores, _ in shard_search(cell["id"].to_numpy(), stacked(cell["vec"].combine_chunks()), asked["id"].to_numpy(), stacked(asked["vec"].combine_chunks()), largest, k, share, radius):
+            for query, ids, scores, _ in shard_search(cell["id"].to_numpy(), stacked(cell["vec"].combine_chunks(), kind), asked["id"].to_numpy(), stacked(asked["vec"].combine_chunks(), kind), largest, k, share, radius):
                 out.append((np.full(len(ids), query), ids, scores))
         parts = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": parts[0], "vec_id": parts[1], "score": parts[2]})

@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
-from .vectors import most_count, packed_vectors, stacked, tail_point, together, usable
+from .vectors import component_type, most_count, packed_vectors, stacked, tail_point, together, usable
 
 #: Expected list length and collisions at the threshold, half-width of a window, chance of missing a pair there.
 LIST, COLLISIONS, WIDTH, MISS = 48, 14.0, 1.25, 1e-3
 LEAST_SHARE, BLOCK, PAIRS = 1e-4, 1024, 1 << 14
+#: Bytes of directions that a worker keeps.
+DIRECTION_BYTES = 128 << 20
 CELLS = "list long, low int, high int, block int, id long, copies long, vec binary, lists binary, places binary"
 
 
@@ -49,7 +51,7 @@ class Plan:
         return cls(directions, end, most_count(directions, chance, MISS))
 
 
-def placed(reps: DataFrame, plan: Plan) -> DataFrame:
+def placed(reps: DataFrame, plan: Plan, kind: type) -> DataFrame:
     """One row for each end that a vector stands in: ``list, id, copies, vec, lists, places``."""
     slab = 4096
 
@@ -59,14 +61,17 @@ def placed(reps: DataFrame, plan: Plan) -> DataFrame:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                unit = stacked(part.column("vec"))
+                unit = stacked(part.column("vec"), kind)
                 unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
                 rows, ends, places = [], [], []
                 for k in range(0, plan.directions, slab):
-                    if (dim, k) not in made:
-                        made[dim, k] = np.random.default_rng([19, int(dim), k]).standard_normal((dim, min(slab, plan.directions - k)), np.float32)
+                    slab_of = made.get((dim, k))
+                    if slab_of is None:
+                        slab_of = np.random.default_rng([19, int(dim), k]).standard_normal((dim, min(slab, plan.directions - k)), np.float32)
+                        if 4 * dim * (k + slab) <= DIRECTION_BYTES:  # the rest is made anew for each batch
+                            made[dim, k] = slab_of
                     for a in range(0, len(unit), 1024):
-                        y = unit[a : a + 1024] @ made[dim, k]
+                        y = unit[a : a + 1024] @ slab_of
                         i, j = np.nonzero(np.abs(y) >= plan.end)
                         rows.append(i + a)
                         ends.append(2 * (j + k) + (y[i, j] > 0))
@@ -122,7 +127,7 @@ def collisions(lists: np.ndarray, places: np.ndarray, here: int) -> tuple[np.nda
     return every, earlier
 
 
-def linked_in(cell: pa.Table, plan: Plan, cosine: float) -> pa.RecordBatch | None:
+def linked_in(cell: pa.Table, plan: Plan, cosine: float, kind: type) -> pa.RecordBatch | None:
     """Links found in one cell: ``id, n, low``, the links of each vector and the smallest id it is joined with.
 
     A pair belongs to the first list in which it collides, if it collides often enough.
@@ -138,7 +143,7 @@ def linked_in(cell: pa.Table, plan: Plan, cosine: float) -> pa.RecordBatch | Non
     if two:
         owned &= block[:, None] != block
     a, b = np.nonzero(np.triu(owned, 1))
-    vectors = stacked(cell["vec"].chunk(0))
+    vectors = stacked(cell["vec"].chunk(0), kind)
     vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     near = np.zeros(len(a), bool)
     for k in range(0, len(a), PAIRS):
@@ -158,7 +163,7 @@ def linked_in(cell: pa.Table, plan: Plan, cosine: float) -> pa.RecordBatch | Non
     return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some].astype(np.int64)), pa.array(low[some])], ["id", "n", "low"])
 
 
-def links(cells: DataFrame, plan: Plan, cosine: float) -> DataFrame:
+def links(cells: DataFrame, plan: Plan, cosine: float, kind: type) -> DataFrame:
     """Runs ``linked_in`` over cells that stand together in sorted partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +174,10 @@ def links(cells: DataFrame, plan: Plan, cosine: float) -> DataFrame:
             key = np.stack([table[c].to_numpy().astype(np.int64) for c in ("list", "low", "high")], axis=1)
             cut = np.r_[0, np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1]
             for a, b in zip(cut, cut[1:], strict=False):
-                if b - a > 1 and (found := linked_in(table.slice(a, b - a), plan, cosine)) is not None:
+                if b - a > 1 and (found := linked_in(table.slice(a, b - a), plan, cosine, kind)) is not None:
                     yield found
             held = table.slice(cut[-1])
-        if held is not None and len(held) > 1 and (found := linked_in(held, plan, cosine)) is not None:
+        if held is not None and len(held) > 1 and (found := linked_in(held, plan, cosine, kind)) is not None:
             yield found
 
     return cells.mapInArrow(run, "id long, n long, low long")
@@ -189,6 +194,7 @@ def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = 0.9, key:
     other columns are ignored.
     """
     scratch = Scratch(spark, "embedding-dedup")
+    kind = component_type(rows, column)
     base = rows.select(F.col(key).cast("long").alias("id"), F.col(column).alias("vector"))
     good = scratch.put(packed_vectors(base.where(usable("vector") & F.col("id").isNotNull()), "vector"), "vectors")
     reps = scratch.put(good.groupBy("vec", "dim").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "representatives")
@@ -196,7 +202,7 @@ def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = 0.9, key:
     plan = Plan.of(n, cosine)
     # a few hundred vectors fill a task: projecting is most of the work
     dealt = reps.select(F.col("rep").alias("id"), "copies", "vec", "dim").repartition(max(1, min(-(-n // 512), 4096)), "id")
-    ends = scratch.put(placed(dealt, plan), "ends")
+    ends = scratch.put(placed(dealt, plan, kind), "ends")
     sizes = ends.groupBy("list").count().where(F.col("count") > BLOCK)
     long_lists = scratch.put(sizes.select("list", F.ceil(F.col("count") / (BLOCK // 2)).cast("int").alias("blocks")), "long-lists")
     cells = ends.withColumn("blocks", F.lit(1))
@@ -206,7 +212,7 @@ def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = 0.9, key:
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("list", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "copies", "vec", "lists", "places")
     spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = scratch.put(links(cells.repartition(spread, "list", "low", "high").sortWithinPartitions("list", "low", "high"), plan, cosine), "links")
+    found = scratch.put(links(cells.repartition(spread, "list", "low", "high").sortWithinPartitions("list", "low", "high"), plan, cosine, kind), "links")
     scratch.drop(ends)
     label = connected_components(found.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")), scratch)
     counted = found.groupBy("id").agg(F.sum("n").alias("n")).join(label, "id", "left").select(F.col("id").alias("rep"), "n", "component")

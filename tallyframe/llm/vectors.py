@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 
 def usable(column: str) -> Column:
@@ -17,13 +18,20 @@ def usable(column: str) -> Column:
     return F.coalesce(F.col(column).isNotNull() & (F.size(column) > 0) & fine & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def stacked(column: pa.Array) -> np.ndarray:
-    """Packed doubles of one width as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def component_type(rows: DataFrame, column: str) -> type:
+    """How the components of an array column are packed: floats as they are, all other numbers as doubles."""
+    kind = rows.schema[column].dataType
+    return np.float32 if isinstance(getattr(kind, "elementType", None), FloatType) else np.float64
+
+
+def stacked(column: pa.Array, kind: type) -> np.ndarray:
+    """Packed components of one width as a matrix of doubles."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64, copy=False)
 
 
 def packed_vectors(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` (all usable) with ``vec binary`` in place of ``column``, and ``dim int``."""
+    kind = component_type(rows, column)
     keep = [c for c in rows.columns if c != column]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(keep).schema) + ", vec binary, dim int"
 
@@ -31,7 +39,7 @@ def packed_vectors(rows: DataFrame, column: str) -> DataFrame:
         for batch in batches:
             vectors = batch.column(column)
             dims = np.diff(vectors.offsets.to_numpy())
-            flat = vectors.values.to_numpy(zero_copy_only=False)[vectors.offsets[0].as_py() :].astype(np.float64)
+            flat = vectors.values.to_numpy(zero_copy_only=False)[vectors.offsets[0].as_py() :].astype(kind, copy=False)
             ends = np.cumsum(dims)
             out = [flat[e - d : e].tobytes() for d, e in zip(dims, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary()), pa.array(dims, pa.int32())], [*keep, "vec", "dim"])
