@@ -22,6 +22,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SINGLE, DOUBLE = "stmd", {"r": "e", "v": "e", "l": "l"}
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 POINTS = 0x110000
+EDGE = regex.compile(r"(?<=\S) (?=\S)")
 POWERS = Powers(BASE, BASE_INVERSE)
 
 
@@ -146,12 +147,23 @@ class PretokenCache:
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the bounds of each text's; null texts have none."""
+        parts = [pieces_of(t) if self.fast and t and len(t) > 2 * CHUNK else [t or ""] for t in texts]
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for part in chunks([t or "" for t in texts]):
-            found, bounds = self.chunk(part)
+        for run in chunks([p for part in parts for p in part]):
+            found, bounds = self.chunk(run)
             ids.append(found)
             sizes.append(np.diff(bounds))
-        return np.concatenate(ids), np.cumsum(np.r_[0, np.concatenate(sizes)])
+        ends = np.cumsum(np.r_[0, np.concatenate(sizes)])
+        return np.concatenate(ids), ends[np.cumsum([0, *map(len, parts)])]
+
+
+def pieces_of(text: str) -> list[str]:
+    """A long text cut before blanks between two other characters, where a match of ``PATTERN`` always starts."""
+    out, at = [], 0
+    while len(text) - at > CHUNK and (m := EDGE.search(text, at + CHUNK)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
 
 
 def grown(x: np.ndarray, n: int) -> np.ndarray:

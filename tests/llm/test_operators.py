@@ -357,6 +357,15 @@ def test_cache_starts_anew_and_other_patterns_go_through_the_engine(monkeypatch)
         assert len(bounds) == len(table) + 1
 
 
+def test_long_texts_are_cut_where_matches_start(monkeypatch):
+    monkeypatch.setattr(pretokens, "CHUNK", 40)
+    rng = random.Random(3)
+    parts = ["word", "it's", " ", "  ", "\n", "\t", "12", "!?", "é日", "\xa0", "x"]
+    table = [" ".join(rng.choice(parts) for _ in range(rng.randrange(400))) for _ in range(40)] + ["a" * 500, " " * 500, "'s " * 200]
+    ids, bounds = packing.Encoder(TOKENIZER, P.PATTERN, False).batch(table)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == library_ids(table)
+
+
 def test_special_tokens_of_a_text():
     table = ["hello <|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|> y'll", None, "no"]
     for special in (False, True):
