@@ -113,3 +113,10 @@ def test_references_of_any_length(spark):
 def test_written_tables_are_read_back_whole(spark, name):
     con = connect(SF)
     assert catalog.QUERIES[name](spark, SF).count() == con.sql(f"SELECT count(*) FROM ({catalog.ORACLES[name]})").fetchall()[0][0]
+
+
+def test_ratios_of_the_customer_table(spark):
+    from difflib import SequenceMatcher
+
+    want = {r.c_custkey: SequenceMatcher(None, r.c_name, r.c_mktsegment).ratio() for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
+    assert {r.c_custkey: r.ratio for r in catalog.QUERIES["fn_seq_ratio"](spark, SF).collect()} == want
