@@ -102,7 +102,7 @@ def policy_context(legal: DataFrame, data: DataFrame, answer: str) -> DataFrame:
 
 
 def markdown(question: Column, said: Column, chain_: Column, cited: Column, confidence: Column, seconds: Column, method: Column, warnings: Column) -> Column:
-    """An answer as markdown; ``cited`` are citation strings, ``warnings`` may be empty."""
+    """An answer as markdown; ``cited`` are citation strings, ``warnings`` may be empty. Headings and labels are fixed values."""
     numbered = F.transform(cited, lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c))
     rest = F.when(F.size(warnings) > 0, F.concat(F.lit("\n⚠️ **Warnings:**\n"), F.array_join(F.transform(warnings, lambda w: F.concat(F.lit("- "), w)), "\n")))
     lines = [
@@ -120,7 +120,7 @@ def validated(cited: Column) -> tuple[Column, Column]:
 
 
 def report(valid: Column, confidence: Column, risk: Column, claims: Column, uncited: Column, errors: Column, warnings: Column) -> Column:
-    """A validation report of one answer as text: the first five uncited claims, all errors and warnings."""
+    """A validation report of one answer as text: the first five uncited claims, all errors and warnings. Its lines are fixed values."""
     bar, share = "=" * 60, lambda c: F.format_string("%.1f%%", c * 100)
     listed = lambda head, items, line: F.when(F.size(items) > 0, F.concat(head, F.lit("\n"), F.array_join(F.transform(items, line), "\n")))
     item = lambda x: F.concat(F.lit("  - "), x)
