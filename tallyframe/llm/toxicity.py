@@ -69,18 +69,19 @@ def window_bounds(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sums:
-    """Sums of rows by an index that stays the same."""
+    """Sums by an index, which stays the same, of what a second index takes from rows of values."""
 
-    def __init__(self, index: np.ndarray, n: int) -> None:
-        self.order = np.argsort(index, kind="stable").astype(np.int32)
-        index = index[self.order]
-        self.first = np.flatnonzero(np.r_[True, np.diff(index) != 0][: len(index)])
-        self.found, self.n = index[self.first], n
+    def __init__(self, index: np.ndarray, take: np.ndarray, n: int) -> None:
+        order = np.argsort(index, kind="stable")
+        index = index[order]
+        self.take, self.first, self.n = take[order], np.flatnonzero(np.r_[True, np.diff(index) != 0][: len(index)]), n
+        self.found = index[self.first]
 
     def __call__(self, values: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n, values.shape[1]), np.float32)
-        if len(self.order):
-            out[self.found] = np.add.reduceat(values[self.order], self.first, axis=0)
+        out = np.zeros((len(values), self.n), np.float32)
+        if len(self.take):
+            for to, row in zip(out, values, strict=True):
+                to[self.found] = np.add.reduceat(row[self.take], self.first)
         return out
 
 
@@ -119,22 +120,23 @@ class Model:
         kind = order[np.searchsorted(seen[order], np.concatenate(hashes))].astype(np.int32)
         del hashes, bags, kinds_of
         kinds = len(seen)
-        per_kind = np.maximum(np.bincount(of, minlength=kinds), 1).astype(np.float32)[:, None]
+        per_kind = np.maximum(np.bincount(of, minlength=kinds), 1).astype(np.float32)
         used, bag = np.unique(bag, return_inverse=True)
         bag = bag.astype(np.int32)
-        by_kind, by_bucket, by_word = Sums(of, kinds), Sums(bag, len(used)), Sums(kind, kinds)
-        window = np.repeat(np.arange(len(firsts)), np.diff(np.r_[firsts, words]))
+        window = np.repeat(np.arange(len(firsts), dtype=np.int32), np.diff(np.r_[firsts, words]))
+        by_kind, by_bucket, by_word = Sums(of, bag, kinds), Sums(bag, of, len(used)), Sums(kind, window, kinds)
 
-        emb = (rng.standard_normal((len(used), SIZE)) * 0.01).astype(np.float32)
+        # one row for each dimension, as sums over long rows are the fastest
+        emb = np.ascontiguousarray((rng.standard_normal((len(used), SIZE)) * 0.01).astype(np.float32).T)
         out, bias = (rng.standard_normal((SIZE, 2)) * 0.5).astype(np.float32), np.zeros(2, np.float32)
         state = [[np.zeros_like(x), 0.0] for x in (emb, out, bias)]
         truth = label[rows]
         each = np.bincount(rows, minlength=len(texts))[rows]
         share = np.where(label, 0.5 / label.sum(), 0.5 / (~label).sum())[rows].astype(np.float32)
         for turn in range(1, rounds + 1):
-            kind_vec = by_kind(emb[bag]) / per_kind
-            mean = np.add.reduceat(kind_vec[kind], firsts, axis=0) / WINDOW
-            logit = mean @ out + bias
+            kind_vec = by_kind(emb) / per_kind
+            mean = np.stack([np.add.reduceat(row[kind], firsts) for row in kind_vec]) / WINDOW
+            logit = mean.T @ out + bias
             p = 1 / (1 + np.exp(np.clip(logit[:, 0] - logit[:, 1], -30, 30)))
             if turn <= rounds // 4:
                 weight = share / each
@@ -145,16 +147,15 @@ class Model:
                 weight[top] = share[top]
             slope = (weight * (p - truth)).astype(np.float32)
             d = np.stack([-slope, slope], axis=1)
-            d_mean = d @ out.T / WINDOW
-            d_kind = by_word(d_mean[window]) / per_kind
-            grads = [by_bucket(d_kind[of]), mean.T @ d, d.sum(axis=0)]
+            d_kind = by_word(out @ d.T / WINDOW) / per_kind
+            grads = [by_bucket(d_kind), mean @ d, d.sum(axis=0)]
             # one step size for each layer, not for each weight: buckets of few texts learn little
             for x, g, s, step in zip((emb, out, bias), grads, state, STEPS, strict=True):
                 s[0] = 0.8 * s[0] + g
                 s[1] = 0.9 * s[1] + 0.1 * float((g * g).sum())
                 x -= step * s[0] / (np.sqrt(s[1] / (1 - 0.9**turn)) + 1e-12)
             emb *= 1 - DECAY
-        self.weights[used] = emb @ (out[:, 1] - out[:, 0])
+        self.weights[used] = (out[:, 1] - out[:, 0]) @ emb
         self.bias = float(bias[1] - bias[0])
 
     def scores(self, column: pa.Array) -> Iterator[np.ndarray]:
