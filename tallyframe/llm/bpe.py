@@ -74,8 +74,7 @@ class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         self.tokens = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.tokens))
-        self.chars = byte_characters()
-        self.cache = PretokenCache(pattern, self.match_ids)
+        self.chars, self.pattern = byte_characters(), pattern
         # decoding: all tokens' bytes in a row, mapped back from the model's pieces
         back = {c: b for b, c in enumerate(self.chars)}
         pieces = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(self.tokens))]
@@ -83,6 +82,11 @@ class Codec:
         self.sizes = np.array([len(p) for p in pieces], np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
 
+    @functools.cached_property
+    def cache(self) -> PretokenCache:
+        """Made by the workers that encode."""
+        return PretokenCache(self.pattern, self.match_ids)
+
     def match_ids(self, matches: list[str]) -> list[list[int]]:
         return self.model.encode([spelled(m) for m in matches], num_threads=1)
 

@@ -16,14 +16,14 @@ import regex
 from .words import BASE, BASE_INVERSE, U64, Powers, mix
 
 #: Entries and ids that the cache holds before it starts anew, bits of its slots, and code points that are split at once.
-ENTRIES, MOST_IDS, SLOT_BITS, CHUNK = 1_000_000, 6_000_000, 22, 1 << 19
+ENTRIES, MOST_IDS, SLOT_BITS, CHUNK = 600_000, 3_000_000, 21, 1 << 18
 # Fixed value: the pattern that the array splitter knows, with its contractions by first letter.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SINGLE, DOUBLE = "stmd", {"r": "e", "v": "e", "l": "l"}
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 POINTS = 0x110000
 EDGE = regex.compile(r"(?<=\S) (?=\S)")
-POWERS = Powers(BASE, BASE_INVERSE)
+POWERS = Powers(BASE, BASE_INVERSE, CHUNK)
 
 
 def character_classes() -> np.ndarray:
@@ -81,7 +81,7 @@ class PretokenCache:
 
     def clear(self) -> None:
         self.slots, self.count, self.used = np.full(1 << SLOT_BITS, -1, np.int32), 0, 0
-        self.hashes, self.first, self.size, self.flat = np.zeros(1024, U64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.hashes, self.first, self.size, self.flat = np.zeros(1024, U64), np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each hash, -1 where the cache doesn't hold it: slots are probed one after the other."""
@@ -115,7 +115,7 @@ class PretokenCache:
     def joined(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids at a sequence of places of the cache, and where each place's ids start (one more at the end)."""
         sizes = self.size[place]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[place] - (ends - sizes), sizes)
         return self.flat[at], np.r_[0, ends]
 

@@ -34,12 +34,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Powers:
     """Powers of a 64-bit odd base and of its inverse, extended as longer inputs come."""
 
-    def __init__(self, base: np.uint64, inverse: np.uint64) -> None:
-        self.base, self.inverse, self.up, self.down = base, inverse, np.ones(1, U64), np.ones(1, U64)
+    def __init__(self, base: np.uint64, inverse: np.uint64, least: int = 2 * CHUNK_BYTES) -> None:
+        self.base, self.inverse, self.least, self.up, self.down = base, inverse, least, np.ones(1, U64), np.ones(1, U64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * CHUNK_BYTES)
+            size = max(n, self.least)
             for name, by in (("up", self.base), ("down", self.inverse)):
                 factors = np.full(size, by, U64)
                 factors[0] = 1
