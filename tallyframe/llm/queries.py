@@ -1,4 +1,4 @@
-"""The queries ``op1_`` to ``op10_``: each applies its operator to its whole table."""
+"""The queries ``op1_`` to ``op13_``: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, language_id, near_dedup, packing, pii, substring_dedup, token_counts, toxicity
+from . import ann, best_fit, bpe, embedding_dedup, language_id, near_dedup, packing, pii, substring_dedup, token_counts, toxicity
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
@@ -75,6 +75,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_tokens(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, separator=50256)
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return best_fit.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"), closing=1, capacity=4096)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,5 +93,6 @@ QUERIES = {
         op8_nearest,
         op9_substring_dedup,
         op10_token_counts,
+        op11_best_fit,
     )
 }
