@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, best_fit, bpe, embedding_dedup, language_id, near_dedup, packing, pii, substring_dedup, token_counts, toxicity
+from . import ann, best_fit, bpe, embedding_dedup, language_id, near_dedup, packing, pii, repair, substring_dedup, token_counts, toxicity
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
@@ -80,6 +80,16 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"), closing=1, capacity=4096)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.repair(spark, repair.damaged(turns))
+    ids = turns.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    # conversations that lost all their turns
+    audit = [F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")]
+    return ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(F.col("id").alias("conv_id"), *counts, *audit)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,5 +104,6 @@ QUERIES = {
         op9_substring_dedup,
         op10_token_counts,
         op11_best_fit,
+        op12_repair,
     )
 }
