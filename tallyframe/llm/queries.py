@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, best_fit, bpe, embedding_dedup, language_id, near_dedup, packing, pii, repair, substring_dedup, token_counts, toxicity
+from . import alignment, ann, best_fit, bpe, embedding_dedup, language_id, near_dedup, packing, pii, repair, substring_dedup, token_counts, toxicity
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
@@ -90,6 +90,11 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(F.col("id").alias("conv_id"), *counts, *audit)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,5 +110,6 @@ QUERIES = {
         op10_token_counts,
         op11_best_fit,
         op12_repair,
+        op13_alignment,
     )
 }
