@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,19 +54,54 @@ def relation_kind(a: Column, b: Column) -> Column:
     return F.when(same("district"), "district").when(same("indicator"), "indicator").when(same("year"), "year").when(same("source_document"), "document").otherwise("related")
 
 
-def fact_graph(facts: DataFrame) -> DataFrame:
-    """All pairs related by more than 0.3, from three equi-joins instead of all pairs.
+#: What makes two facts related, in tenths: equal attributes, and years so many apart at most.
+EQUAL = {"district": 4, "indicator": 3, "source_document": 2}
+YEARS = {1: 3, 3: 2}
+
+
+def passing(equal: dict[str, int], near: dict[int, int], over: int) -> list[tuple[tuple[str, ...], int | None]]:
+    """The least sets of conditions, equal attributes and perhaps a gap, whose scores add up to more than ``over``.
 
-    More than three tenths needs the same district, the same indicator or the same document, so those are the blocks;
-    a pair that stands in several is kept by the first block that it shares.
+    A gap is as wide as still passes. No set holds another's conditions, so every pair that passes meets one at least.
     """
-    parts = []
-    for i, block in enumerate(("district", "indicator", "source_document")):
-        pairs = pairs_within(facts.where(F.col(block).isNotNull()), [block])
-        for earlier in ("district", "indicator", "source_document")[:i]:
-            pairs = pairs.where(~F.coalesce(F.col(f"a.{earlier}") == F.col(f"b.{earlier}"), F.lit(False)))
-        parts.append(pairs)
-    every = parts[0].union(parts[1]).union(parts[2]).withColumn("t", relation_tenths(F.col("a"), F.col("b"))).where("t > 3")
+    sets = []
+    for n in range(len(equal) + 1):
+        for names in combinations(equal, n):
+            have = sum(equal[c] for c in names)
+            gaps = [None] if have > over else [g for g, s in near.items() if have + s > over]
+            sets += [(names, None if None in gaps else max(gaps))] if gaps else []
+    weaker = lambda x, y: x != y and set(x[0]) <= set(y[0]) and (x[1] is None or y[1] is not None and x[1] >= y[1])
+    return [y for y in sets if not any(weaker(x, y) for x in sets)]
+
+
+def scored_pairs(rows: DataFrame, side: list[str], order: str, equal: dict[str, int], number: str, near: dict[int, int], over: int) -> DataFrame:
+    """Pairs ``a, b`` (structs of ``side``) that score more than ``over``, the earlier first, each once.
+
+    Attributes that are equal and not null score ``equal``, numbers of a gap of g at most the most of ``near``. One
+    equi-join is made for each least set of conditions that passes, on its attributes and, for a gap, on ranges of the
+    number (each row meets its own range and the two beside it). So every pair that a join makes passes, but for the ends
+    of ranges. A pair that meets several sets comes from the first.
+    """
+    both = lambda c: F.col(f"a.{c}") == F.col(f"b.{c}")
+    gap = F.abs(F.col(f"a.{number}") - F.col(f"b.{number}"))
+    held = lambda names, g: F.coalesce(reduce(Column.__and__, [*map(both, names), *([gap <= g] if g is not None else [])]), F.lit(False))
+    parts, sets = [], passing(equal, near, over)
+    for i, (names, g) in enumerate(sets):
+        have = rows.dropna(subset=[*names, *([number] if g is not None else [])])
+        keys = [F.col(c).alias(f"__{c}") for c in names]
+        at = F.floor(F.col(number) / (g + 1)) if g is not None else F.lit(0)
+        wide = F.explode(F.array(*[at + d for d in (-1, 0, 1)])) if g is not None else at
+        left = have.select(*keys, at.alias("__at"), F.struct(*side).alias("a"))
+        right = have.select(*keys, wide.alias("__at"), F.struct(*side).alias("b"))
+        pairs = left.join(right, [*(f"__{c}" for c in names), "__at"]).where(F.col(f"a.{order}") < F.col(f"b.{order}")).select("a", "b")
+        parts.append(reduce(DataFrame.where, [~held(*s) for s in sets[:i]], pairs.where(gap <= g) if g is not None else pairs))
+    return reduce(DataFrame.union, parts)
+
+
+def fact_graph(facts: DataFrame) -> DataFrame:
+    """All pairs related by more than 0.3, without making others (``scored_pairs``)."""
+    known = facts.withColumn("district", F.nullif("district", F.lit("Unknown")))
+    every = scored_pairs(known, SIDE, "ord", EQUAL, "year", YEARS, 3).withColumn("t", relation_tenths(F.col("a"), F.col("b")))
     return every.select(F.col("a.fact_id").alias("source"), F.col("b.fact_id").alias("target"), (F.col("t") / F.lit(10.0)).alias("strength"), relation_kind(F.col("a"), F.col("b")).alias("kind"))
 
 

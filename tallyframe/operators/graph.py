@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from ..sources.tables import folder, stored
 from .windows import first_match
 
 
@@ -30,20 +34,71 @@ def first_k(rows: DataFrame, key: str, order: str, k: int) -> DataFrame:
     return top_per_group(rows, [key], [order], k).drop("rank")
 
 
-def distances(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """``id, node, distance`` of all nodes within ``depth`` undirected hops: one join and one aggregation a hop."""
-    both = undirected(edges)
-    seen = start.select("id", F.col("id").alias("node"), F.lit(0).alias("distance"))
+def search(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """``id, node, distance, before`` of all nodes within ``depth`` undirected hops of each start id.
+
+    ``before`` is the smallest node that precedes the node on a shortest path (null at the start itself). A hop goes
+    on from the nodes that the last one found. As edges have no direction, its neighbours are as far away, or a hop
+    nearer or farther, so that the last two hops tell the new ones. Each hop is written as a part of one table, so a plan
+    is of one hop whatever the depth.
+    """
+    spark = edges.sparkSession
+    path, both = folder(spark, "search"), stored(undirected(edges))
+    schema = StructType([StructField("id", start.schema["id"].dataType), StructField("node", start.schema["id"].dataType), StructField("before", start.schema["id"].dataType)])
+
+    def put(level: DataFrame, hop: int) -> DataFrame:
+        level.write.parquet(f"{path}/distance={hop}")
+        return spark.read.schema(schema).parquet(f"{path}/distance={hop}")
+
+    none = F.lit(None).cast(schema["before"].dataType).alias("before")
+    earlier, level = None, put(start.select("id", F.col("id").alias("node"), none).distinct(), 0)
     for hop in range(1, depth + 1):
-        front = seen.where(F.col("distance") == hop - 1).join(both, F.col("node") == F.col("source")).select("id", F.col("target").alias("node"), F.lit(hop).alias("distance"))
-        seen = seen.union(front).groupBy("id", "node").agg(F.min("distance").alias("distance"))
-    return seen
+        reached = level.join(both, F.col("node") == F.col("source")).groupBy("id", F.col("target").alias("node")).agg(F.min("source").alias("before"))
+        for known in (level, earlier):
+            if known is not None:
+                reached = reached.join(known.select("id", "node"), ["id", "node"], "left_anti")
+        earlier, level = level, put(reached.select("id", "node", "before"), hop)
+        if level.isEmpty():
+            break
+    return spark.read.schema(StructType([*schema.fields, StructField("distance", IntegerType())])).parquet(path).select("id", "node", "distance", "before")
+
+
+def distances(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """``id, node, distance`` of all nodes within ``depth`` undirected hops."""
+    return search(edges, start, depth).drop("before")
 
 
 def shortest(edges: DataFrame, pairs: DataFrame, depth: int = 5) -> DataFrame:
-    """``source, target, distance`` of the pairs within ``depth`` hops."""
-    reach = distances(edges, pairs.select(F.col("source").alias("id")).distinct(), depth)
-    return pairs.join(reach, (F.col("source") == F.col("id")) & (F.col("target") == F.col("node"))).select("source", "target", "distance")
+    """``source, target, distance, path`` of the pairs within ``depth`` hops: the nodes from source to target.
+
+    Of several shortest paths, the one whose nodes are smallest, read from the target back. Paths are walked back hop
+    by hop over the predecessors that the search has kept.
+    """
+    reach = search(edges, pairs.select(F.col("source").alias("id")).distinct(), depth)
+    found = pairs.join(reach, (F.col("source") == F.col("id")) & (F.col("target") == F.col("node")))
+    walk = stored(found.select("source", "target", "distance", F.array("target").alias("path"), F.col("before").alias("at")))
+    step = reach.select(F.col("id").alias("source"), F.col("node").alias("at"), F.col("before").alias("next"))
+    while not walk.where("at is not null").isEmpty():
+        longer = walk.join(step, ["source", "at"], "left")
+        path = F.when(F.col("at").isNotNull(), F.concat(F.array("at"), "path")).otherwise(F.col("path"))
+        walk = stored(longer.select("source", "target", "distance", path.alias("path"), F.col("next").alias("at")))
+    return walk.drop("at")
+
+
+def trails(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
+    """``id, length, path``: every undirected path of 1 to ``depth`` hops that uses no edge twice, as its nodes.
+
+    The paths are what is asked for, so rows grow with the product of degrees; each hop is made once and written.
+    """
+    one = edges.select("source", "target").distinct().withColumn("edge", F.struct("source", "target"))
+    both = stored(one.union(one.select("target", "source", "edge")).distinct())
+    level = start.select("id", F.col("id").alias("node"), F.array("id").alias("path"), F.array().cast(ArrayType(both.schema["edge"].dataType)).alias("used")).distinct()
+    found = []
+    for hop in range(1, depth + 1):
+        more = level.join(both, F.col("node") == F.col("source")).where(~F.array_contains("used", F.col("edge")))
+        level = stored(more.select("id", F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"), F.concat("used", F.array("edge")).alias("used")))
+        found.append(level.select("id", F.lit(hop).alias("length"), "path"))
+    return reduce(DataFrame.union, found)
 
 
 def related_within(nodes: DataFrame, key: str, group: str) -> DataFrame:

@@ -16,10 +16,14 @@ def community_summaries(members: DataFrame) -> DataFrame:
     return sums.join(theme, "community")
 
 
-def community_relevance(districts: Column, indicators: Column, year_overlap: Column, asked_districts: Column, asked_indicators: Column) -> Column:
-    """0.3 and 0.4 of the shares of asked districts and indicators, 0.3 for years in common, at most 1."""
-    share = lambda have, want: F.coalesce(F.try_divide(F.size(F.array_intersect(have, want)), F.size(want)), F.lit(0.0))
-    return F.least(F.lit(1.0), 0.3 * share(districts, asked_districts) + 0.4 * share(indicators, asked_indicators) + F.when(year_overlap, 0.3).otherwise(0.0))
+def community_relevance(districts: Column, indicators: Column, year_overlap: Column, asked: Column) -> Column:
+    """0.3 for each asked name among the districts, 0.4 for each among the indicators, 0.3 for years in common, at most 1.
+
+    Names are compared in lower case, each once; nulls count as none.
+    """
+    low = lambda names: F.array_distinct(F.transform(names, F.lower))
+    common = lambda have: F.coalesce(F.size(F.array_intersect(low(have), low(asked))), F.lit(0))
+    return F.least(F.lit(1.0), 0.3 * common(districts) + 0.4 * common(indicators) + F.when(year_overlap, 0.3).otherwise(0.0))
 
 
 def recommendations(quality: Column, coverage: Column, enhanced: Column, supersessions: Column, last_year: Column, anomaly_rate: Column, as_of_year: int) -> Column:

@@ -11,8 +11,11 @@ from ..operators import reports as RP
 from ..operators import retrieval as T
 from ..operators import routing as R
 from ..operators import search as S
+from ..operators.bridges import fact_graph
+from ..operators.communities import modularity_communities
 from ..operators.filters import any_of
 from ..sources.facts import facts, legal_texts, table
+from ..sources.tables import kept
 from .registry import query
 from .structured import LINKS, SQL_LINKS, UNION, policies
 from .textual import ASKED, SOUGHT, WORDS, asked, words_sql
@@ -311,19 +314,15 @@ def hyb_balanced(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.balanced(hybrid_found(spark, sf, 20), data_found(spark, sf, 10), "fact_id"))
 
 
-@query("SELECT community, n, districts, theme, round(least(1, 0.3::DOUBLE * has_d + 0.4::DOUBLE * has_i + 0.3::DOUBLE), 6) AS relevance FROM (SELECT district AS community, count(*) AS n, count(DISTINCT district) AS districts, arg_min(indicator, o) AS theme, max((district IN ('Guntur', 'Krishna'))::INT) / 2.0::DOUBLE AS has_d, max((indicator = 'Dropout Rate')::INT)::DOUBLE AS has_i FROM (SELECT *, min(ord) OVER (PARTITION BY district, indicator) - 1000000 * count(*) OVER (PARTITION BY district, indicator) AS o FROM {facts} f) GROUP BY 1) WHERE least(1, 0.3::DOUBLE * has_d + 0.4::DOUBLE * has_i + 0.3::DOUBLE) > 0.3::DOUBLE")
+@query()
 def rag_build(spark: SparkSession, sf: str) -> DataFrame:
-    """The graph of facts of one district, its components, their summaries, and those that a question is about."""
-    from ..operators.entities import components
-
-    f = facts(spark, sf)
-    order = f.select("fact_id", "district", "ord")
-    edges = order.join(order.groupBy("district").agg(F.min_by("fact_id", "ord").alias("first")), "district").select(F.col("fact_id").alias("source"), F.col("first").alias("target"))
-    members = f.join(components(edges).select(F.col("id").alias("fact_id"), F.col("component").alias("root")), "fact_id").withColumnRenamed("root", "community")
-    summary = RP.community_summaries(members)
+    """The graph of related facts, its communities by modularity, their summaries, and those that a question is about."""
+    f = kept(facts(spark, sf))
+    members = f.join(modularity_communities(fact_graph(f)).withColumnRenamed("id", "fact_id"), "fact_id")
     named = members.groupBy("community").agg(F.collect_set("district").alias("ds"), F.collect_set("indicator").alias("is"))
-    score = RP.community_relevance(F.col("ds"), F.col("is"), F.lit(True), F.array(F.lit("Guntur"), F.lit("Krishna")), F.array(F.lit("Dropout Rate")))
-    return summary.join(named, "community").withColumn("relevance", score).where("relevance > 0.3").select(F.get("ds", F.lit(0)).alias("community"), "n", "districts", "theme", F.round("relevance", 6).alias("relevance"))
+    score = RP.community_relevance(F.col("ds"), F.col("is"), (F.col("first_year") <= 2018) & (F.col("last_year") >= 2018), F.array(*map(F.lit, ("Guntur", "Krishna", "Dropout Rate"))))
+    found = RP.community_summaries(members).join(named, "community").withColumn("relevance", F.round(score, 6)).where("relevance > 0.3")
+    return found.select("community", "n", "districts", "indicators", "first_year", "last_year", "theme", "relevance")
 
 
 @query(f"SELECT doc_id::VARCHAR AS doc_id, 'Untitled' AS title, 'go' AS doc_type, substr(content, 1, 500) AS excerpt, round(score, 6) AS confidence FROM {hybrid_sql(ISSUED, 'doc_id', 10, S.LEGAL_ALPHA, LEGAL_TERMS)} JOIN {LV} USING (doc_id) UNION ALL SELECT fact_id, source_document, 'statistics', indicator || ': ' || printf('%.2f', value) || ' (' || year || ')', round(score, 6) FROM {hybrid_sql(DATA, 'fact_id', 10, S.DATA_ALPHA)} JOIN {{facts}} f USING (fact_id)")

@@ -12,6 +12,8 @@ from ..operators import reports as P
 from ..operators import retrieval as T
 from ..operators import scoring as S
 from ..operators import tables as B
+from ..operators.bridges import fact_graph
+from ..operators.communities import modularity_communities
 from ..sources.facts import facts, legal_texts, table
 from ..streaming import incremental
 from .registry import query
@@ -80,10 +82,10 @@ def agg_community_summary(spark: SparkSession, sf: str) -> DataFrame:
     return P.community_summaries(members.withColumn("community", F.col("r_name")))
 
 
-@query("SELECT district, round(least(1, 0.3::DOUBLE * ((district IN ('Guntur', 'Krishna'))::INT / 2.0::DOUBLE) + 0.4::DOUBLE * (count(DISTINCT indicator) FILTER (WHERE indicator IN ('Dropout Rate')) / 1.0::DOUBLE) + CASE WHEN max(year) >= 2020 THEN 0.3::DOUBLE ELSE 0 END), 6) AS score FROM {facts} f GROUP BY district")
+@query("SELECT district, round(least(1, 0.3::DOUBLE * (district IN ('Guntur', 'Krishna'))::INT + 0.4::DOUBLE * count(DISTINCT indicator) FILTER (WHERE indicator IN ('Dropout Rate')) + CASE WHEN max(year) >= 2020 THEN 0.3::DOUBLE ELSE 0 END), 6) AS score FROM {facts} f GROUP BY district")
 def sc_community_relevance(spark: SparkSession, sf: str) -> DataFrame:
     g = facts(spark, sf).groupBy("district").agg(F.collect_set("indicator").alias("i"), F.max("year").alias("y"))
-    score = P.community_relevance(F.array("district"), F.col("i"), F.col("y") >= 2020, F.array(F.lit("Guntur"), F.lit("Krishna")), F.array(F.lit("Dropout Rate")))
+    score = P.community_relevance(F.array("district"), F.col("i"), F.col("y") >= 2020, F.array(*map(F.lit, ("Guntur", "Krishna", "Dropout Rate"))))
     return g.select("district", F.round(score, 6).alias("score"))
 
 
@@ -163,10 +165,16 @@ def join_claims_citations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"WITH RECURSIVE e AS MATERIALIZED (SELECT source, target FROM {NET} UNION SELECT target, source FROM {NET}), r(id, node) AS (SELECT source, source FROM e UNION SELECT r.id, e.target FROM r JOIN e ON e.source = r.node) SELECT id, min(node) AS component FROM r GROUP BY id")
-def gr_communities(spark: SparkSession, sf: str) -> DataFrame:
+def gr_components(spark: SparkSession, sf: str) -> DataFrame:
     return E.components(net(spark, sf))
 
 
+@query()
+def gr_communities(spark: SparkSession, sf: str) -> DataFrame:
+    """Communities of the graph of related facts."""
+    return modularity_communities(fact_graph(facts(spark, sf)))
+
+
 @query(f"SELECT DISTINCT a.source AS node, b.target AS parent FROM {NET} a JOIN {NET} b ON a.target = b.source UNION SELECT source, target FROM {NET} c WHERE kind = 'IN'")
 def gr_parents(spark: SparkSession, sf: str) -> DataFrame:
     e = net(spark, sf)

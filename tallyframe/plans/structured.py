@@ -191,14 +191,22 @@ HOPS = f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {BOTH}), r(id, node, di
 
 
 @query(HOPS.replace("DEPTH", "2"))
-def gr_context(spark: SparkSession, sf: str) -> DataFrame:
+def gr_distances(spark: SparkSession, sf: str) -> DataFrame:
     return G.distances(net(spark, sf), starts(spark, "r1", "n3"), 2)
 
 
-@query(f"SELECT id AS source, node AS target, distance FROM ({HOPS.replace('DEPTH', '5')}) WHERE node IN ('s7', 'n8', 'r2')")
+NAMED = f"(SELECT source, target, source || '>' || target AS edge FROM {NET} UNION SELECT target, source, source || '>' || target FROM {NET})"
+
+
+@query(f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {NAMED}), r AS (SELECT s AS id, s AS node, [s] AS path, []::VARCHAR[] AS used FROM (VALUES ('r1'), ('n3')) v(s) UNION ALL SELECT r.id, e.target, list_append(path, e.target), list_append(used, edge) FROM r JOIN e ON e.source = r.node WHERE len(used) < 2 AND NOT list_contains(used, edge)) SELECT id, len(used)::INT AS length, array_to_string(path, '>') AS path FROM r WHERE len(used) > 0")
+def gr_context(spark: SparkSession, sf: str) -> DataFrame:
+    return G.trails(net(spark, sf), starts(spark, "r1", "n3"), 2).select("id", "length", F.array_join("path", ">").alias("path"))
+
+
+@query(f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {BOTH}), r AS (SELECT s AS id, s AS node, [s] AS path FROM (VALUES ('r1'), ('n3')) v(s) UNION ALL SELECT r.id, e.target, list_append(path, e.target) FROM r JOIN e ON e.source = r.node WHERE len(path) <= 5 AND NOT list_contains(path, e.target)), b AS (SELECT *, row_number() OVER (PARTITION BY id, node ORDER BY len(path), list_reverse(path)) AS i FROM r) SELECT id AS source, node AS target, (len(path) - 1)::INT AS distance, array_to_string(path, '>') AS path FROM b WHERE i = 1 AND node IN ('s7', 'n8', 'r2')")
 def gr_shortest(spark: SparkSession, sf: str) -> DataFrame:
     pairs = spark.createDataFrame([(a, b) for a in ("r1", "n3") for b in ("s7", "n8", "r2")], "source string, target string")
-    return G.shortest(net(spark, sf), pairs, 5)
+    return G.shortest(net(spark, sf), pairs, 5).withColumn("path", F.array_join("path", ">"))
 
 
 @query(f"SELECT 'edge' AS what, kind, count(*) AS n FROM {NET} GROUP BY kind UNION ALL SELECT 'node', kind, count(*) FROM (SELECT 'nation' AS kind FROM nation UNION ALL SELECT 'region' FROM region) GROUP BY kind")

@@ -45,3 +45,14 @@ def folder(spark: SparkSession, name: str) -> str:
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     deleted_at_exit(spark, path)
     return path
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df``, written once as Parquet in the shared folder and read again, so that a round's plan begins with a scan.
+
+    Unlike a checkpoint, it is computed once, and nothing of its plan (such as the constraints on its columns, which
+    double with each round of joins) goes on.
+    """
+    path = folder(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
