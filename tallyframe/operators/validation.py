@@ -7,7 +7,7 @@ inconsistency and each jump. Confidence is counted in hundredths, so it doesn't
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import DISTRICTS, FIRST_YEAR, GROWTH_LIMIT, IQR_FACTOR, Z_LIMIT
@@ -45,16 +45,46 @@ def previous_year(facts: DataFrame) -> DataFrame:
     return facts.join(before, ["district", "indicator", "year"]).select("fact_id", "value", "previous")
 
 
-def peer_statistics(facts: DataFrame) -> DataFrame:
-    """Mean, deviation and quartiles over other districts' facts of the same indicator and year (three at least).
+def district_statistics(facts: DataFrame) -> DataFrame:
+    """``indicator, year, district, peers, mean, deviation, q1, q3`` over other districts' values of an indicator and year.
 
-    Peers are joined on indicator and year, whose groups hold a fact or so for each of the districts.
+    Values are sorted once in each group of indicator and year. What a district leaves out are its own ranks: sums are
+    the group's less its own, and the others' k-th value stands at rank k moved up by the own ranks before it. Only
+    groups with three other values at least are returned; a group of n values makes n rows, not n squared.
     """
-    mine = facts.select("fact_id", "district", "indicator", "year", "value")
-    other = facts.where("value is not null").select("indicator", "year", F.col("district").alias("d"), F.col("value").alias("v"))
-    out = mine.join(other, ["indicator", "year"]).where("d <> district").groupBy("fact_id", "value")
-    stats = out.agg(F.count("v").alias("peers"), (F.sum(F.col("v").cast("decimal(28,2)")).cast("double") / F.count("v")).alias("mean"), F.stddev_pop("v").alias("deviation"), F.percentile("v", 0.25).alias("q1"), F.percentile("v", 0.75).alias("q3"))
-    return stats.where("peers >= 3")
+    group, mine = ["indicator", "year"], ["indicator", "year", "district"]
+    have = facts.select(*mine, "value").dropna(subset=mine)
+    centred = have.join(have.groupBy(*group).agg(F.avg("value").alias("centre")), group)
+    ranked = centred.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.asc_nulls_last("value"))).cast("long"))
+    x = F.col("value") - F.col("centre")
+    own = ranked.groupBy(*mine).agg(
+        F.count("value").alias("n"), F.sum(F.col("value").cast("decimal(28,2)")).alias("s"), F.sum(x).alias("s1"), F.sum(x * x).alias("s2"),
+        F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.col("rank")))).alias("ranks"),
+    )
+    sums = own.groupBy(*group).agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "s", "s1", "s2")])
+    less = lambda c: F.col(f"all_{c}") - F.coalesce(c, F.lit(0))
+    others = own.join(sums, group).withColumn("peers", less("n")).where("peers >= 3")
+    at = {f"{q}_{side}": how(p * (F.col("peers") - 1)) + 1 for q, p in (("q1", 0.25), ("q3", 0.75)) for side, how in (("low", F.floor), ("high", F.ceil))}
+    at |= {"least": F.lit(1).cast("long"), "most": F.col("peers")}
+    rank = lambda k: F.aggregate("ranks", k, lambda t, r: F.when(r <= t, t + 1).otherwise(t))
+    wanted = others.select(*mine, F.explode(F.create_map(*[c for name, k in at.items() for c in (F.lit(name), rank(k))])).alias("which", "rank"))
+    found = wanted.join(ranked.select(*group, "rank", "value"), [*group, "rank"]).groupBy(*mine).agg(*[F.max(F.when(F.col("which") == name, F.col("value"))).alias(name) for name in at])
+
+    def quantile(q: str, p: float) -> Column:
+        place = p * (F.col("peers") - 1)
+        low, high = F.col(f"{q}_low"), F.col(f"{q}_high")
+        return F.when(F.floor(place) == F.ceil(place), low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high).alias(q)
+
+    mean = ((F.col("all_s") - F.coalesce("s", F.lit(0))).cast("double") / F.col("peers")).alias("mean")
+    spread = F.greatest(F.lit(0.0), less("s2") / F.col("peers") - F.pow(less("s1") / F.col("peers"), 2))
+    deviation = F.when(F.col("least") == F.col("most"), 0.0).otherwise(F.sqrt(spread)).alias("deviation")
+    return others.join(found, mine).select(*mine, "peers", mean, deviation, quantile("q1", 0.25), quantile("q3", 0.75))
+
+
+def peer_statistics(facts: DataFrame) -> DataFrame:
+    """``fact_id, value`` beside the statistics of other districts' facts of the same indicator and year (three at least)."""
+    keys = ["indicator", "year", "district"]
+    return facts.select(*keys, "fact_id", "value").join(district_statistics(facts), keys).select("fact_id", "value", "peers", "mean", "deviation", "q1", "q3")
 
 
 def outlier(value: Column, mean: Column, deviation: Column, q1: Column, q3: Column) -> Column:
@@ -68,9 +98,9 @@ def outlier(value: Column, mean: Column, deviation: Column, q1: Column, q3: Colu
 def validated(facts: DataFrame, as_of_year: int) -> DataFrame:
     """``facts`` with known_indicator, is_valid, confidence, n_errors, n_warnings and n_anomalies, and the rule arrays."""
     known = facts.join(F.broadcast(ranges(facts)), "indicator", "left")
-    peers = peer_statistics(facts).select("fact_id", outlier(F.col("value"), F.col("mean"), F.col("deviation"), F.col("q1"), F.col("q3")).alias("out"))
+    peers = district_statistics(facts).drop("peers")
     jumps = previous_year(facts).select("fact_id", ((F.col("previous") > 0) & (F.abs(F.col("value") - F.col("previous")) / F.col("previous") > GROWTH_LIMIT)).alias("jump"))
-    m = with_matches(known).join(peers, "fact_id", "left").join(jumps, "fact_id", "left")
+    m = with_matches(known).join(peers, ["indicator", "year", "district"], "left").withColumn("out", outlier(*map(F.col, ("value", "mean", "deviation", "q1", "q3")))).join(jumps, "fact_id", "left")
     no = lambda c: F.coalesce(c, F.lit(False))
     district, indicator = no(F.col("district").isin(DISTRICTS)), F.col("low").isNotNull()
     range_, missing = no(~F.col("value").between(F.col("low"), F.col("high"))), F.col("value").isNull()

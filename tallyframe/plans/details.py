@@ -149,16 +149,15 @@ def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     return files.statistics_csv(spark, where)
 
 
-@query("SELECT doc_id, md5(replace(text, chr(10), ' ')) AS hash FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND doc_id IN (SELECT min(doc_id) FROM documents GROUP BY lang)")
+@query("SELECT doc_id // 50 AS file, md5(string_agg(replace(text, chr(10), ' '), chr(10) ORDER BY doc_id)) AS hash FROM documents WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY 1")
 def scan_txt(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole text files: a folder for each language's first document."""
+    """Whole text files, of the texts of fifty ids each."""
     where = folder(spark, "texts")
-    docs = table(spark, sf, "documents").where("text is not null and trim(text) <> ''")
-    first = table(spark, sf, "documents").groupBy("lang").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    flat = docs.join(first, "doc_id", "left_semi").select("doc_id", F.translate("text", "\n", " ").alias("value"))
-    flat.repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(where)
+    docs = table(spark, sf, "documents").where("text is not null and trim(text) <> ''").withColumn("file", F.floor(F.col("doc_id") / 50))
+    flat = docs.select("file", "doc_id", F.translate("text", "\n", " ").alias("value")).repartition("file").sortWithinPartitions("file", "doc_id")
+    flat.select("file", "value").write.mode("overwrite").partitionBy("file").text(where)
     read = files.texts(spark, f"{where}/*")
-    return read.select(F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), F.md5(F.regexp_replace("text", "\n$", "").cast("binary")).alias("hash"))
+    return read.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file"), F.md5(F.regexp_replace("text", "\n$", "").cast("binary")).alias("hash"))
 
 
 @query("SELECT n_nationkey, md5(n_name || chr(10)) AS hash FROM nation")
@@ -352,60 +351,59 @@ def reg_load(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("name string, bridge_potential array<string>").json(where).select("name", F.array_join(F.array_sort("bridge_potential"), ",").alias("bridges"))
 
 
-TYPED = "(SELECT DISTINCT district, CASE WHEN ascii(right(district, 1)) % 2 = 0 THEN left(district, length(district) - 1) ELSE ' ' || upper(district) || ' ' END AS typed FROM {facts} f)"
+def variants(names: DataFrame, name: str) -> DataFrame:
+    """Each name in ten spellings, from its own to ones that no rule should take for it."""
+    n = F.col(name)
+    cut = lambda k: F.substr(n, F.lit(1), F.greatest(F.lit(1), F.length(n) - k))
+    each = [n, F.concat(F.lit(" "), F.upper(n), F.lit(" ")), cut(1), cut(2), cut(4), F.concat(F.substr(n, F.lit(1), F.lit(2)), F.lit("q"), F.substr(n, F.lit(4))), F.concat(n, F.lit(" District")), F.concat(F.lit("the rate of "), n, F.lit(" in all schools")), F.reverse(n), F.array_join(F.reverse(F.split(n, " ")), "  ")]
+    return names.select(F.explode(F.array(*each)).alias("typed")).distinct()
 
 
 def typed(spark: SparkSession, sf: str) -> DataFrame:
-    """Districts with a letter missing at the end, or in capitals between blanks."""
-    d = F.col("district")
-    cut = F.substr(d, F.lit(1), F.length(d) - 1)
-    return facts(spark, sf).select("district").distinct().withColumn("typed", F.when(F.ascii(F.right(d, F.lit(1))) % 2 == 0, cut).otherwise(F.concat(F.lit(" "), F.upper(d), F.lit(" "))))
+    return variants(facts(spark, sf).select("district").distinct(), "district")
+
+
+def mistyped(spark: SparkSession, sf: str) -> DataFrame:
+    return variants(facts(spark, sf).select("indicator").distinct(), "indicator")
 
 
 def exactly(names: list[str]) -> dict[str, list[str]]:
     return {n: [n.lower()] for n in names}
 
 
-NAMED = "SELECT typed, CASE WHEN district LIKE 'NATION%' THEN {0} ELSE district END AS name FROM {1}"
+INDICATORS = [r[0] for r in V.RANGES]
 
 
-@query(NAMED.format("'Unknown'", TYPED))
+@query()
 def fn_norm_district_s2(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact spelling, else the best ratio over 80, else Unknown."""
-    found = N.fuzzy(typed(spark, sf).select("typed"), "typed", exactly(V.DISTRICTS), "name", similarity.ratio, 81)
+    """The name of the best weighted ratio over 80, else Unknown."""
+    found = N.fuzzy(typed(spark, sf), "typed", exactly(V.DISTRICTS), "name", similarity.weighted_ratio, 81)
     return found.select("typed", F.coalesce("name", F.lit("Unknown")).alias("name"))
 
 
-@query(NAMED.format("NULL", TYPED))
+@query()
 def fn_norm_district_enh(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact spelling, else the best ratio of parts from 80 on."""
-    return N.fuzzy(typed(spark, sf).select("typed"), "typed", exactly(V.DISTRICTS), "name", similarity.partial_ratio, 80).select("typed", "name")
+    """The name of the best ratio of parts from 80 on."""
+    return N.fuzzy(typed(spark, sf), "typed", exactly(V.DISTRICTS), "name", similarity.partial_ratio, 80).select("typed", "name")
 
 
-@query(NAMED.format("NULL", TYPED))
+@query()
 def fn_norm_district_dp(spark: SparkSession, sf: str) -> DataFrame:
     """A ratio from 85 on with the canonical names; equal ratios go to the earlier name."""
-    return N.fuzzy(typed(spark, sf).select("typed"), "typed", exactly(V.DISTRICTS), "name", similarity.ratio, 85).select("typed", "name")
-
-
-MISTYPED = "(SELECT DISTINCT indicator, left(indicator, length(indicator) - 1) AS typed FROM {facts} f)"
-
-
-def mistyped(spark: SparkSession, sf: str) -> DataFrame:
-    i = F.col("indicator")
-    return facts(spark, sf).select("indicator").distinct().select(F.substr(i, F.lit(1), F.length(i) - 1).alias("typed"))
+    return N.fuzzy(typed(spark, sf), "typed", exactly(V.DISTRICTS), "name", similarity.ratio, 85).select("typed", "name")
 
 
-@query(f"SELECT typed, indicator AS name FROM {MISTYPED}")
+@query()
 def fn_norm_indicator_s2(spark: SparkSession, sf: str) -> DataFrame:
-    names = exactly([r[0] for r in V.RANGES])
-    return N.fuzzy(mistyped(spark, sf), "typed", names, "name", similarity.ratio, 71).select("typed", "name")
+    """The name of the best weighted ratio over 70, else Unknown."""
+    found = N.fuzzy(mistyped(spark, sf), "typed", exactly(INDICATORS), "name", similarity.weighted_ratio, 71)
+    return found.select("typed", F.coalesce("name", F.lit("Unknown")).alias("name"))
 
 
-@query(f"SELECT typed, indicator AS name FROM {MISTYPED}")
+@query()
 def fn_norm_indicator_enh(spark: SparkSession, sf: str) -> DataFrame:
-    names = exactly([r[0] for r in V.RANGES])
-    return N.fuzzy(mistyped(spark, sf), "typed", names, "name", similarity.partial_ratio, 70).select("typed", "name")
+    """The name of the best ratio of parts from 70 on."""
+    return N.fuzzy(mistyped(spark, sf), "typed", exactly(INDICATORS), "name", similarity.partial_ratio, 70).select("typed", "name")
 
 
 @query("SELECT doc_id, 1990 + doc_id % 40 AS year FROM documents")
@@ -553,14 +551,27 @@ def lg2_generic(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-@query(f"SELECT a.entity_id AS source, b.entity_id AS target FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY entity_id) AS i FROM {SHIFTED} WHERE dataset = 'left') a JOIN (SELECT *, row_number() OVER (ORDER BY entity_id) AS i FROM {SHIFTED} WHERE dataset = 'right') b ON b.i <= 40 AND abs(a.year - (b.year - 90 + b.i)) <= 1 AND a.i <= 5")
+DATED = f"(SELECT * REPLACE (CASE WHEN dataset = 'right' THEN 2000 + split_part(entity_id, '_', 2)::INT % 60 ELSE year END AS year) FROM {SHIFTED})"
+
+
+def dated(spark: SparkSession, sf: str) -> DataFrame:
+    """The entities of both sides, all with a year of their own."""
+    number = F.substring_index("entity_id", "_", -1).cast("int")
+    return shifted(spark, sf).withColumn("year", F.when(F.col("dataset") == "right", 2000 + number % 60).otherwise(F.col("year")))
+
+
+@query(f"SELECT a.dataset AS source, b.dataset AS target, a.year AS source_year, b.year AS target_year, a.n AS sources, b.n AS targets, a.n * b.n AS links FROM (SELECT dataset, year, count(*) AS n FROM {DATED} GROUP BY 1, 2) a JOIN (SELECT dataset, year, count(*) AS n FROM {DATED} GROUP BY 1, 2) b ON a.dataset < b.dataset AND abs(a.year - b.year) <= 1")
 def er_temporal(spark: SparkSession, sf: str) -> DataFrame:
-    """Links by year between a few entities of each year and forty others."""
-    e = shifted(spark, sf)
-    left = W.top_per_group(e.where("dataset = 'left'"), ["year"], ["entity_id"], 5).drop("rank")
-    right = e.where("dataset = 'right'").orderBy("entity_id").limit(40).withColumn("i", F.row_number().over(Window.orderBy("entity_id"))).withColumn("year", F.col("year") - 90 + F.col("i")).drop("i")
-    found = E.timed(left.unionByName(right))
-    return found.select(F.col("a.entity_id").alias("source"), F.col("b.entity_id").alias("target"))
+    """Links by year of all entities, by classes: every entity of one class is linked with every one of the other."""
+    return E.timed_classes(dated(spark, sf))
+
+
+@query(f"SELECT a.entity_id AS source, b.entity_id AS target FROM {DATED} a JOIN {DATED} b ON a.dataset < b.dataset AND abs(a.year - b.year) <= 1 WHERE a.entity_id = (SELECT min(entity_id) FROM {DATED})")
+def er_temporal_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The classes' links made out, for one entity that is asked for."""
+    e = dated(spark, sf)
+    asked = e.join(e.agg(F.min("entity_id").alias("entity_id")), "entity_id").where("dataset = 'left'")
+    return E.timed(asked.unionByName(e.where("dataset = 'right'").select(asked.columns))).select(F.col("a.entity_id").alias("source"), F.col("b.entity_id").alias("target"))
 
 
 def governed(spark: SparkSession, sf: str) -> DataFrame:
