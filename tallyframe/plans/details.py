@@ -121,12 +121,15 @@ def sink_json(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(FACT_SCHEMA).json(where)
 
 
-@query(f"SELECT {FACT_COLUMNS} FROM {{facts}} f WHERE year = 2018")
+@query(f"SELECT {FACT_COLUMNS} FROM {{facts}} f")
 def scan_facts_json(spark: SparkSession, sf: str) -> DataFrame:
-    """A JSON array of facts, as one text, read by ``facts_json``."""
+    """A JSON array of all facts in one file, read by byte ranges."""
     where = folder(spark, "facts-array")
-    one = facts(spark, sf).where("year = 2018").agg(F.to_json(F.collect_list(F.struct(*FACT_SCHEMA.fieldNames()))).alias("value"))
-    one.write.mode("overwrite").text(where)
+    f = facts(spark, sf)
+    lines = f.select("ord", F.to_json(F.struct(*FACT_SCHEMA.fieldNames())).alias("value")).join(F.broadcast(f.agg(F.min("ord").alias("first"))))
+    lines = lines.select("ord", F.concat(F.when(F.col("ord") == F.col("first"), "").otherwise(", "), "value").alias("value"))
+    ends = spark.createDataFrame([(-1, "["), ((1 << 62), "]")], "ord long, value string")
+    lines.union(ends).repartition(1).sortWithinPartitions("ord").select("value").write.mode("overwrite").text(where)
     return files.facts_json(spark, where)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..operators import entities as E
+from ..operators import keyword_index as I
 from ..operators import legal as L
 from ..operators import normalise as N
 from ..operators import retrieval as T
@@ -406,6 +407,17 @@ def rt_keyword(spark: SparkSession, sf: str) -> DataFrame:
     return T.bm25(table(spark, sf, "documents"), "doc_id", "text", ["license", "the"]).select("doc_id", F.round("score", 5).alias("score"))
 
 
+QUESTIONS = {"licenses": ["license", "the", "of"], "common": ["the", "and"], "mixed": ["email", "de", "la", "permission"], "unknown": ["zzzz"], "one": ["copyright"], "long": ["the", "of", "and", "de", "in", "software", "contact", "phone"]}
+SQL_QUESTIONS = ", ".join(f"('{q}', '{t}')" for q, ts in QUESTIONS.items() for t in ts)
+
+
+@query(f"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM w), f AS (SELECT doc_id, n, term, count(*) AS f FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM w) GROUP BY ALL), d AS (SELECT term, count(*) AS d FROM f GROUP BY 1), r AS (SELECT question, doc_id, round(sum(ln(1 + (docs - d + 0.5::DOUBLE) / (d + 0.5::DOUBLE)) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * n / mean))), 9) AS score FROM (VALUES {SQL_QUESTIONS}) q(question, term) JOIN f USING (term) JOIN d USING (term), s GROUP BY 1, 2) SELECT question, doc_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, doc_id)::INT AS rank FROM r) WHERE rank <= 10")
+def rt_keyword_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten documents for each of several questions, from one index."""
+    asked_ = spark.createDataFrame([(q, t) for q, ts in QUESTIONS.items() for t in ts], "question string, term string")
+    return I.answers(I.build(table(spark, sf, "documents"), "doc_id", "text"), asked_, 10).withColumn("score", F.round("score", 5))
+
+
 @query("SELECT fact_id AS result_id, content, score FROM (SELECT *, row_number() OVER (PARTITION BY substr(content, 1, 100) ORDER BY score DESC, fact_id) AS i FROM (SELECT fact_id, indicator || ' ' || year AS content, confidence_score AS score FROM {facts} f WHERE year = 2019 UNION ALL SELECT fact_id, indicator || ' ' || year, 0.75::DOUBLE FROM {facts} f WHERE indicator = 'Dropout Rate')) WHERE i = 1 ORDER BY score DESC, fact_id LIMIT 20")
 def fu_fuse(spark: SparkSession, sf: str) -> DataFrame:
     f = facts(spark, sf).select(F.col("fact_id").alias("result_id"), F.concat_ws(" ", "indicator", F.col("year").cast("string")).alias("content"), F.col("confidence_score").alias("score"), "year", "indicator")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .facts import FACT_SCHEMA
+from .tables import stored
 
 # Files that the incremental scan considers, and the columns of a missing corpus index.
 EXTENSIONS = ["json", "csv", "pdf", "xlsx", "txt"]
@@ -13,8 +15,50 @@ INDEX_COLUMNS = ["doc_id", "title", "doc_type", "file_path", "year", "department
 
 
 def facts_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of facts; missing fields are null."""
-    return spark.read.schema(FACT_SCHEMA).option("multiLine", True).json(path)
+    """A JSON array of facts; missing fields are null. One large file is read by many tasks."""
+    return json_array(spark, path, FACT_SCHEMA)
+
+
+def running(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over the rows of the file before each row.
+
+    Sums run inside the byte ranges that Spark reads, side by side; a range starts from the totals of those before it.
+    """
+    rows = rows.withColumn("__v", value)
+    inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("file", "block").agg(F.sum("__v").alias("__all"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("file", "block", F.coalesce(F.sum("__all").over(earlier), F.lit(0)).alias("__start"))
+    summed = rows.withColumn("__sum", F.coalesce(F.sum("__v").over(inside), F.lit(0))).join(starts, ["file", "block"])
+    return summed.withColumn(name, F.col("__start") + F.col("__sum")).drop("__v", "__sum", "__start")
+
+
+def json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The objects of JSON arrays, one array for each file, as rows; numbers, strings and other
+    values among them are passed over, and arrays as long as they hold no objects.
+
+    Files are split where Spark splits them, and rows at closing braces. Whether a row begins inside a string follows
+    from the quotes before it, and how deep it is nested from the brackets outside strings, so both are prefix sums;
+    an object of the array ends at a brace that leads back to depth 1, and a third sum numbers the objects. An object
+    may cross ranges. An empty file or array has no rows; an object that doesn't fit the schema has nulls.
+    """
+    read = spark.read.option("lineSep", "}").text(path)
+    rows = stored(read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")), "json")
+    parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)
+    side = lambda odd: F.array_join(F.filter(parts, lambda _, i: i % 2 == odd), "")
+    count = lambda text, some: F.length(text) - F.length(F.translate(text, some, ""))
+    nested = lambda odd: count(side(odd), "{[") - count(side(odd), "]")
+    begun = running(rows, F.size(parts) - 1, "quotes").withColumn("odd", F.col("quotes") % 2)
+    # the brace that ends a row counts unless it stands in a string
+    brace = (F.col("odd") + F.size(parts) - 1) % 2 == 0
+    change = F.when(F.col("odd") == 0, nested(0)).otherwise(nested(1)) - F.when(brace, 1).otherwise(0)
+    deep = running(begun.withColumn("change", change).withColumn("closes", brace), F.col("change"), "depth")
+    ends = deep.withColumn("ends", (F.col("closes") & (F.col("depth") + F.col("change") == 1)).cast("int"))
+    numbered = running(ends, F.col("ends"), "number")
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"])
+    objects = numbered.groupBy("file", "number").agg(F.max("ends").alias("whole"), F.concat(F.array_join(pieces, "}"), F.lit("}")).alias("text")).where("whole = 1")
+    text = F.regexp_replace("text", r'^(?:"(?:[^"\\]++|\\.)*+"|[^{"]++)*+', "")  # what stands before it
+    return objects.select(F.from_json(text, schema).alias("x")).select("x.*")
 
 
 def json_items(spark: SparkSession, path: str, item: str) -> DataFrame:
