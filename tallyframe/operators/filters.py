@@ -125,6 +125,11 @@ def find_column(columns: list[str], words: list[str]) -> str | None:
     return next((c for c in columns if any(w in c.lower() for w in words)), None)
 
 
+def header_with(headers: Column, words: list[str]) -> Column:
+    """The first header that contains any of the words in lower case, null if none does; null headers are passed over."""
+    return F.get(F.filter(headers, lambda h: F.coalesce(any_of(h, words), F.lit(False))), F.lit(0))
+
+
 def district_header(headers: Column) -> Column:
     """Place from 0 of the first header with a word for districts or a district's name, null if none."""
     place = F.array_position(F.transform(headers, lambda h: any_of(h, ["district", "dist", "area", "region", *[d.lower() for d in DISTRICTS]])), True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 
 def first_match(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key. The rank is bounded, so Spark cuts groups before the shuffle."""
@@ -31,3 +33,17 @@ def ranked(rows: DataFrame, score: str, tie: str, k: int) -> DataFrame:
     """The ``k`` best rows and their ranks; only those rows reach the one task that numbers them."""
     best = rows.orderBy(F.desc(score), tie).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), tie)))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``name``: the rows' numbers from 1 in the order of columns, without a window over all rows in one task.
+
+    Rows are dealt into ranges of the order, written, and numbered range by range; a range starts after the rows of
+    those before it, of which there is one count for each. Equal rows are numbered in any order.
+    """
+    dealt = stored(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    starts = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = starts.select("__p", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return dealt.withColumn("__i", inside).join(F.broadcast(starts), "__p").withColumn(name, F.col("__start") + F.col("__i")).drop("__p", "__i", "__start")

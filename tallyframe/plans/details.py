@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -188,14 +190,16 @@ def scan_vector_all(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.vector_rows(facts(spark, sf)).select("fact_id", "confidence_score")
 
 
-DEMO = [("krishna", "Krishna", "district"), ("guntur", "Guntur", "district"), ("dropout", "Dropout Rate", "indicator")]
+DEMO = "SELECT 'n' || n_nationkey AS id, n_name AS name, 'district' AS kind FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name, 'region' FROM region"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{n}', '{k}')" for i, n, k in DEMO) + ") t(id, name, kind)")
+@query(DEMO)
 def scan_demo_graph(spark: SparkSession, sf: str) -> DataFrame:
     """The offline graph: a JSON file of its nodes, read as rows."""
     where = folder(spark, "demo-graph")
-    spark.createDataFrame(DEMO, "id string, name string, kind string").write.mode("overwrite").json(where)
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    nodes = n.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("district").alias("kind")).union(r.select(F.concat(F.lit("r"), "r_regionkey"), "r_name", F.lit("region")))
+    nodes.write.mode("overwrite").json(where)
     return spark.read.schema("id string, name string, kind string").json(where)
 
 
@@ -282,76 +286,99 @@ def sink_graph_entities(spark: SparkSession, sf: str) -> DataFrame:
     return nodes.select(F.lit("node").alias("part"), "id", F.lit("").alias("target")).union(edges.select(F.lit("edge"), "source", "target"))
 
 
+#: file: table, and its fields by column
 REGISTERED = {
-    "nation.csv": ("nation", "n_nationkey", ["n_nationkey", "n_name"], "structured", "csv"),
-    "orders.json": ("orders", "o_orderkey", ["o_orderkey", "o_orderstatus", "o_totalprice"], "structured", "json"),
-    "customer.pdf": ("customer", "c_custkey", ["c_custkey", "c_name", "c_acctbal"], "nlp_extraction", "pdf"),
+    "in/nation.csv": ("nation", {"District": "n_name", "School Code": "n_nationkey"}),
+    "in/orders.json": ("orders", {"o_orderkey": "o_orderkey", "Department": "o_orderstatus", "o_totalprice": "o_totalprice", "GO Number": "CAST(o_orderkey AS STRING)", "Circular": "CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END"}),
+    "customer.pdf": ("customer", {"District": "c_mktsegment", "c_name": "c_name", "c_acctbal": "c_acctbal", "c_custkey": "c_custkey"}),
+    "documents.txt": ("documents", {"doc_id": "doc_id", "Department": "lang", "text": "text"}),
+    "pages.xlsx": ("pages", {"page_id": "page_id", "Date": "'2020/01/0' || CAST(page_id % 9 AS STRING)"}),
 }
 
 
-def schemas(spark: SparkSession, sf: str) -> DataFrame:
-    """What the registry infers of three files from their names and first records."""
-    rows = []
-    for path, (name, key, columns, *_) in REGISTERED.items():
-        sample = files.sample(table(spark, sf, name).select(*columns), key, 1).first().asDict()
-        found = G.inferred(path, {f"District Year {k}" if k == "n_nationkey" else k: v for k, v in sample.items()})
-        rows.append((path, found["name"], found["source_type"], sorted(found["entity_types"]), [f"{k}:{t}" for k, t in sorted(found["key_fields"].items())], sorted(found["bridge_potential"]), found["extraction_method"]))
-    return spark.createDataFrame(rows, "path string, name string, source_type string, entities array<string>, fields array<string>, bridges array<string>, method string")
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of five files, one JSON object each."""
+    each = [table(spark, sf, name).select(F.lit(path).alias("path"), F.to_json(F.struct(*[F.expr(c).alias(f) for f, c in fields.items()])).alias("json")) for path, (name, fields) in REGISTERED.items()]
+    return reduce(DataFrame.union, each)
+
+
+def sql_kind(c: str) -> str:
+    text = f"CASE WHEN count({c}) = 0 THEN 'unknown' WHEN bool_and(regexp_full_match({c}::VARCHAR, '[0-9]+')) THEN 'string_numeric' WHEN bool_and(NOT regexp_full_match({c}::VARCHAR, '[0-9]+') AND (contains(lower({c}::VARCHAR), 'date') OR (length({c}::VARCHAR) = 10 AND contains({c}::VARCHAR, '/')))) THEN 'date' ELSE 'string' END"
+    return f"CASE WHEN any_value(typeof({c})) IN ('INTEGER', 'BIGINT') THEN 'integer' WHEN any_value(typeof({c})) = 'DOUBLE' THEN 'float' ELSE {text} END"
+
+
+def sql_of(c: str) -> str:
+    return "(" + c.replace("AS STRING", "AS VARCHAR") + ")"
+
 
+FIELDS = "(" + " UNION ALL ".join(f"SELECT '{path}' AS path, '{f.lower().replace(' ', '_')}' AS field, {sql_kind(sql_of(c))} AS kind, 1 - count({sql_of(c)}) / count(*) AS null_share FROM {name}" for path, (name, fields) in REGISTERED.items() for f, c in fields.items()) + ")"
+HELD = "(" + " UNION ALL ".join(f"SELECT '{path}' AS path, lower('{' '.join(fields)} ' || concat_ws(' ', {', '.join(sql_of(c) + '::VARCHAR' for c in fields.values())})) AS low FROM {name}" for path, (name, fields) in REGISTERED.items()) + ")"
+KINDS_SQL = "(VALUES " + ", ".join(f"('{e}', '{w}', {i})" for i, (e, ws) in enumerate(G.ENTITY_WORDS.items()) for w in ws) + ") k(entity, word, place)"
+ENTITIES = f"(SELECT path, coalesce(e, ['document']) AS entities FROM (SELECT DISTINCT path FROM {FIELDS}) LEFT JOIN (SELECT path, list(entity ORDER BY place) AS e FROM (SELECT DISTINCT path, entity, place FROM {HELD} JOIN {KINDS_SQL} ON contains(low, word)) GROUP BY 1) USING (path))"
+BRIDGED = f"(SELECT path, coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE " + " OR ".join(f"contains(field, '{b}')" for b in G.BRIDGES) + f"), '') AS bridges FROM {FIELDS} GROUP BY 1)"
+SUFFIXED = "CASE regexp_extract(path, '[.]([a-z]+)$', 1) WHEN 'csv' THEN 'csv' WHEN 'json' THEN 'json' WHEN 'pdf' THEN 'pdf' WHEN 'xlsx' THEN 'excel' ELSE 'unknown' END"
+TABULAR = f"(SELECT path, bool_or(contains(low, 'table') OR len(string_split(low, chr(10))) > 20) AS tabular FROM {HELD} GROUP BY 1)"
+METHODS = f"(SELECT path, CASE {SUFFIXED} WHEN 'pdf' THEN CASE WHEN tabular THEN 'table_extraction' ELSE 'nlp_extraction' END WHEN 'unknown' THEN 'nlp_extraction' ELSE 'structured' END AS method FROM {TABULAR})"
+NAMES = f"(SELECT path, array_to_string(list_prepend(regexp_extract(path, '([^/]+)[.][a-z]+$', 1), list_sort(entities)[1:2]), '_') AS name FROM {ENTITIES})"
+PROFILES = f"SELECT path, name, {SUFFIXED} AS source_type, array_to_string(entities, ',') AS entities, fields, bridges, method FROM {ENTITIES} JOIN {NAMES} USING (path) JOIN {BRIDGED} USING (path) JOIN {METHODS} USING (path) JOIN (SELECT path, string_agg(field || ':' || kind, ',' ORDER BY field || ':' || kind) AS fields FROM {FIELDS} GROUP BY 1) USING (path)"
 
-INFERRED = [
-    ("nation.csv", "nation_district", "csv", "district", "district_year_n_nationkey:integer,n_name:string", "district_year_n_nationkey", "structured"),
-    ("orders.json", "orders_document", "json", "document", "o_orderkey:integer,o_orderstatus:string,o_totalprice:float", "", "structured"),
-    ("customer.pdf", "customer_document", "pdf", "document", "c_acctbal:float,c_custkey:integer,c_name:string", "", "nlp_extraction"),
-]
-INFERRED_SQL = "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in INFERRED) + ") t(path, name, source_type, entities, fields, bridges, method)"
 
+def flat(df: DataFrame, **arrays: str) -> DataFrame:
+    return df.withColumns({c: F.array_join(c, ",") for c in arrays}).withColumnsRenamed(arrays)
 
-def flat(df: DataFrame, *arrays: str) -> DataFrame:
-    return df.withColumns({c: F.array_join(c, ",") for c in arrays})
 
+def profiles(spark: SparkSession, sf: str) -> DataFrame:
+    return flat(G.profiled(records(spark, sf)), entity_types="entities", fields="fields", bridge_potential="bridges")
 
-@query(f"SELECT * FROM {INFERRED_SQL}")
+
+@query(PROFILES)
 def fn_auto_schema(spark: SparkSession, sf: str) -> DataFrame:
-    return flat(schemas(spark, sf), "entities", "fields", "bridges")
+    """What the registry infers of five files from their names and all their records."""
+    return profiles(spark, sf)
 
 
-@query(f"SELECT path, unnest(string_split(fields, ',')) AS field FROM {INFERRED_SQL}")
+@query(f"SELECT path, field, kind, round(null_share, 9) AS null_share FROM {FIELDS}")
 def reg_key_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return schemas(spark, sf).select("path", F.explode("fields").alias("field"))
+    return G.field_profiles(records(spark, sf)).withColumn("null_share", F.round("null_share", 9))
 
 
-@query(f"SELECT DISTINCT split_part(f, ':', 2) AS kind FROM (SELECT unnest(string_split(fields, ',')) AS f FROM {INFERRED_SQL})")
+@query(f"SELECT kind, count(*) AS fields FROM {FIELDS} GROUP BY 1")
 def fn_infer_type(spark: SparkSession, sf: str) -> DataFrame:
-    return schemas(spark, sf).select(F.explode("fields").alias("f")).select(F.substring_index("f", ":", -1).alias("kind")).distinct()
+    return G.field_profiles(records(spark, sf)).groupBy("kind").agg(F.count(F.lit(1)).alias("fields"))
 
 
-@query(f"SELECT path, entities FROM {INFERRED_SQL}")
+@query(f"SELECT path, array_to_string(entities, ',') AS entities FROM {ENTITIES}")
 def fn_detect_entities(spark: SparkSession, sf: str) -> DataFrame:
-    return flat(schemas(spark, sf), "entities").select("path", "entities")
+    return profiles(spark, sf).select("path", "entities")
 
 
-@query(f"SELECT path, bridges FROM {INFERRED_SQL}")
+@query(f"SELECT * FROM {BRIDGED}")
 def fn_bridge_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return flat(schemas(spark, sf), "bridges").select("path", "bridges")
+    return profiles(spark, sf).select("path", "bridges")
 
 
-@query(f"SELECT path, method FROM {INFERRED_SQL}")
+@query(f"SELECT * FROM {METHODS}")
 def fn_extraction_method(spark: SparkSession, sf: str) -> DataFrame:
-    return schemas(spark, sf).select("path", "method")
+    return profiles(spark, sf).select("path", "method")
 
 
-@query(f"SELECT path, name FROM {INFERRED_SQL}")
+@query(f"SELECT * FROM {NAMES}")
 def fn_schema_name(spark: SparkSession, sf: str) -> DataFrame:
-    return schemas(spark, sf).select("path", "name")
+    return profiles(spark, sf).select("path", "name")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{','.join(sorted(b))}')" for n, b in G.KNOWN) + ") t(name, bridges)")
+@query(PROFILES)
 def reg_load(spark: SparkSession, sf: str) -> DataFrame:
-    """The registry's catalogue, saved and loaded again."""
+    """The registry's whole records, saved and loaded again."""
     where = folder(spark, "registry")
-    G.catalogue(spark).write.mode("overwrite").json(where)
-    return spark.read.schema("name string, bridge_potential array<string>").json(where).select("name", F.array_join(F.array_sort("bridge_potential"), ",").alias("bridges"))
+    G.save(G.profiled(records(spark, sf)), where)
+    return flat(G.load(spark, where), entity_types="entities", fields="fields", bridge_potential="bridges")
+
+
+@query(f"SELECT a.path AS a, b.path AS b, string_agg(field, ',' ORDER BY field) AS fields FROM (SELECT path, unnest(string_split(bridges, ',')) AS field FROM {BRIDGED}) a JOIN (SELECT path, unnest(string_split(bridges, ',')) AS field FROM {BRIDGED}) b USING (field) WHERE a.path < b.path AND field <> '' GROUP BY 1, 2")
+def join_schema_compat(spark: SparkSession, sf: str) -> DataFrame:
+    """Files whose inferred fields can bridge them."""
+    return G.compatible(G.profiled(records(spark, sf)).select(F.col("path").alias("name"), "bridge_potential"))
 
 
 def variants(names: DataFrame, name: str) -> DataFrame:
@@ -629,8 +656,13 @@ def topk_rank_results(spark: SparkSession, sf: str) -> DataFrame:
     return W.ranked(facts(spark, sf).withColumn("score", score), "score", "fact_id", 20).select("fact_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT * FROM (VALUES ('district', 'Dist Name'), ('value', 'Total Value'), ('year', 'Academic_Year'), ('none', NULL)) t(wanted, found)")
+WANTED = {"district": ["district", "dist"], "value": ["total", "count"], "year": ["year", "yr"], "colour": ["steel", "tin"]}
+HEADERS = "(SELECT p_partkey, [p_name, 'Sl No ' || p_size, CASE WHEN p_partkey % 2 = 0 THEN 'Dist ' || p_brand END, p_type || ' Total', CASE WHEN p_partkey % 3 = 0 THEN 'Academic_Year' ELSE 'x' END] AS headers FROM part)"
+
+
+@query(f"SELECT p_partkey, " + ", ".join("list_filter(headers, lambda h: " + " OR ".join(f"contains(lower(h), '{w}')" for w in ws) + f")[1] AS {k}" for k, ws in WANTED.items()) + f" FROM {HEADERS}")
 def find_column(spark: SparkSession, sf: str) -> DataFrame:
-    header = ["Sl No", "Dist Name", "Total Value", "Academic_Year"]
-    wanted = {"district": ["district", "dist"], "value": ["value", "count"], "year": ["year", "yr"], "none": ["metric"]}
-    return spark.createDataFrame([(k, P.find_column(header, w)) for k, w in wanted.items()], "wanted string, found string")
+    """The first header with a word for what is wanted, in the headers of as many tables as there are parts."""
+    k = F.col("p_partkey")
+    headers = F.array("p_name", F.concat(F.lit("Sl No "), "p_size"), F.when(k % 2 == 0, F.concat(F.lit("Dist "), "p_brand")), F.concat("p_type", F.lit(" Total")), F.when(k % 3 == 0, "Academic_Year").otherwise("x"))
+    return table(spark, sf, "part").select("p_partkey", *[P.header_with(headers, words).alias(name) for name, words in WANTED.items()])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,10 @@ from ..operators import retrieval as T
 from ..operators import routing as R
 from ..operators import validation as V
 from ..operators import windows as W
+from ..operators.aggregates import document_type
 from ..sources.facts import facts, legal_texts, table
-from .registry import query
+from . import structured  # noqa: F401  its twins are counted here
+from .registry import ORACLES, query
 from .textual import ASKED, SHIFTED, SOUGHT, WORDS, asked, shifted, unnested
 
 
@@ -116,9 +120,16 @@ def sc_relationship_type(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.col("a.fact_id").alias("source"), F.col("b.fact_id").alias("target"), B.relation_kind(F.col("a"), F.col("b")).alias("kind"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in EDGE_THRESHOLDS.items()) + ") t(kind, threshold)")
+#: kinds of edges: the attributes of their groups, and the query whose twin makes them
+EDGE_GROUPS = {"district_year": (["district", "year"], "join_pairs_in_group"), "indicator_temporal": (["indicator", "district"], "sc_connection_strength"), "policy_hierarchy": (["doc_type", "indicator"], "edge_policy"), "cross_district": (["indicator", "year"], "edge_cross")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, {v}::DOUBLE AS threshold, count(*) AS edges, min(strength) AS weakest FROM ({ORACLES[EDGE_GROUPS[k][1]]})" for k, v in EDGE_THRESHOLDS.items()))
 def sc_thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(list(EDGE_THRESHOLDS.items()), "kind string, threshold double")
+    """The edges of each kind that its threshold leaves."""
+    f = facts(spark, sf).withColumn("doc_type", document_type(F.col("source_document")))
+    counts = [B.edges(f, k, EDGE_GROUPS[k][0], v).agg(F.lit(k).alias("kind"), F.lit(v).alias("threshold"), F.count(F.lit(1)).alias("edges"), F.min("strength").alias("weakest")) for k, v in EDGE_THRESHOLDS.items()]
+    return reduce(DataFrame.union, counts)
 
 
 @query(f"SELECT fact_id, round(least(1, ({WORDS} / 20.0::DOUBLE + {SOUGHT} / 10.0::DOUBLE) / 4), 6) >= 0 AS positive FROM {ASKED}")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import DISTRICTS
 from ..operators import entities as E
-from ..operators import registry as G
 from ..operators import reports as P
 from ..operators import retrieval as T
 from ..operators import scoring as S
@@ -67,11 +66,6 @@ def fn_caption(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select("n_nationkey", B.caption(rows).alias("caption"))
 
 
-@query("SELECT * FROM (VALUES ('ap_go', 'cse', 'district'), ('ap_go', 'scert', 'district'), ('ap_go', 'udise', 'district'), ('cse', 'scert', 'district'), ('cse', 'udise', 'district'), ('scert', 'udise', 'district')) t(a, b, fields)")
-def join_schema_compat(spark: SparkSession, sf: str) -> DataFrame:
-    return G.compatible(G.catalogue(spark))
-
-
 COMM = "SELECT r_name AS community, fact_id, district, indicator, year, ord FROM {facts} f JOIN (SELECT n_nationkey, n_regionkey FROM nation) ON n_nationkey = ord // 1000 JOIN region ON r_regionkey = n_regionkey"
 
 

@@ -10,7 +10,7 @@ from ..operators import aggregates as A
 from ..operators import bridges as B
 from ..operators import graph as G
 from ..operators import validation as V
-from ..sources.facts import facts, table
+from ..sources.facts import facts, facts_rows, table
 from ..sources.tables import kept
 from .registry import query
 from .relational import AS_OF, DOC_TYPE, KNOWN, SQL_RANGES
@@ -115,6 +115,36 @@ def agg_overall_score(spark: SparkSession, sf: str) -> DataFrame:
     return checked(spark, sf).agg(F.round(F.avg("confidence"), 6).alias("score"), F.count_if("is_valid").alias("valid"), F.count_if(~F.col("is_valid")).alias("invalid"), F.count_if(F.col("n_warnings") > 0).alias("warned"))
 
 
+@query("SELECT fact_id, district, indicator, category, year, value, unit, source_document, source_page, confidence_score, ord FROM {rows} f")
+def scan_fact_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """One fact for each sale."""
+    return facts_rows(spark, sf)
+
+
+STATS_ROWS = "(WITH f AS MATERIALIZED (SELECT * FROM {rows} r) SELECT d.indicator, d.year, d.district, count(p.value) AS peers, sum(p.value::DECIMAL(28, 2))::DOUBLE / count(p.value) AS mean, stddev_pop(p.value) AS deviation, quantile_cont(p.value, 0.25) AS q1, quantile_cont(p.value, 0.75) AS q3 FROM (SELECT DISTINCT indicator, year, district FROM f) d JOIN f p ON p.indicator = d.indicator AND p.year = d.year AND p.district <> d.district GROUP BY 1, 2, 3 HAVING count(p.value) >= 3)"
+
+
+@query(f"SELECT indicator, year, district, peers, floor(mean * 1000 + 0.5::DOUBLE) / 1000 AS mean, round(deviation, 3) AS deviation, round(q1, 3) AS q1, round(q3, 3) AS q3 FROM {STATS_ROWS}")
+def win_peer_stats_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics over other districts' sales, for each district, indicator and year."""
+    return V.district_statistics(facts_rows(spark, sf)).select("indicator", "year", "district", "peers", (F.floor(F.col("mean") * 1000 + 0.5) / 1000).alias("mean"), *[F.round(c, 3).alias(c) for c in ("deviation", "q1", "q3")])
+
+
+BAD_ROW = f"(district NOT IN ({KNOWN}) OR low IS NULL OR value NOT BETWEEN low AND high OR year NOT BETWEEN 2010 AND {AS_OF + 1})"
+
+
+@query(f"SELECT x.district, count(*) AS facts, count(*) FILTER (WHERE NOT {BAD_ROW}) AS valid, coalesce(sum((x.district IN ({KNOWN}) AND low IS NOT NULL AND (coalesce(deviation > 0 AND abs(value - mean) / deviation > 3, false) OR coalesce(q3 - q1 > 0 AND (value < q1 - 1.5::DOUBLE * (q3 - q1) OR value > q3 + 1.5::DOUBLE * (q3 - q1)), false)))::INT), 0)::BIGINT AS anomalies FROM {{rows}} x LEFT JOIN {SQL_RANGES} USING (indicator) LEFT JOIN {STATS_ROWS} s ON s.indicator = x.indicator AND s.year = x.year AND s.district = x.district GROUP BY 1".replace("value NOT BETWEEN", "x.value NOT BETWEEN").replace("(district NOT IN", "(x.district NOT IN").replace("OR year NOT", "OR x.year NOT"))
+def agg_validation_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All rules of the validator on one fact for each sale, counted by district."""
+    done = V.validated(kept(facts_rows(spark, sf)), AS_OF)
+    return done.groupBy("district").agg(F.count(F.lit(1)).alias("facts"), F.count_if("is_valid").alias("valid"), F.sum("n_anomalies").cast("long").alias("anomalies"))
+
+
+@query("SELECT district, year, (count(*) * (count(*) - 1) / 2)::BIGINT AS edges FROM {rows} f GROUP BY 1, 2")
+def bridge_edge_counts_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return B.edge_counts(facts_rows(spark, sf), ["district", "year"])
+
+
 @query("SELECT a.fact_id AS source, b.fact_id AS target, CASE WHEN a.indicator = b.indicator THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END AS strength FROM {facts} a JOIN {facts} b ON a.district = b.district AND a.year = b.year AND a.ord < b.ord")
 def join_pairs_in_group(spark: SparkSession, sf: str) -> DataFrame:
     return B.edges(facts(spark, sf), "district_year", ["district", "year"], 0.8)

@@ -92,6 +92,51 @@ JOIN nation ON c_nationkey = n_nationkey WHERE m IS NOT NULL
 """
 
 
+#: divisors of a single sale, by measure
+ROW_DIVISORS = [1.0, 2.0, 2.0, 100.0, 2000.0, 1000.0]
+#: what tells sales apart, and so orders them
+SALE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+
+
+def facts_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One fact for each sale, so that facts grow with the tables (values are whole); ``ord`` numbers the sales in their order."""
+    from ..operators.windows import numbered
+
+    sales = numbered(table(spark, sf_dir, "lineitem").select(*SALE), SALE, "ord")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.year("o_orderdate").alias("y"))
+    # orders repeat no key, customers and parts neither, so each sale gives a fact at most
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")
+    sold = sales.join(orders, "l_orderkey").join(customer, "o_custkey").join(part, "l_partkey").join(F.broadcast(nation), "c_nationkey")
+    at = F.create_map(*[x for i, m in enumerate(MEASURES) for x in (F.lit(m[0]), F.lit(i))])
+    sold = sold.withColumn("m", at[F.col("p_type")]).where("m IS NOT NULL")
+    measure = F.element_at(F.array(*[F.struct(F.lit(m[1]).alias("name"), F.lit(d).alias("by"), F.lit(m[3]).alias("unit")) for m, d in zip(MEASURES, ROW_DIVISORS, strict=True)]), F.col("m") + 1)
+    k, year = F.col("c_nationkey"), (F.col("y") + 20).cast("int")
+    return sold.select(
+        F.concat(F.lit("L"), F.col("ord").cast("string")).alias("fact_id"),
+        F.when(k < len(DISTRICTS), F.get(F.array(*map(F.lit, DISTRICTS)), k)).otherwise(F.col("n_name")).alias("district"),
+        measure["name"].alias("indicator"),
+        F.col("c_mktsegment").alias("category"),
+        year.alias("year"),
+        F.floor(F.col("l_extendedprice") / measure["by"]).cast("double").alias("value"),
+        F.when(k % 7 == 3, "count").otherwise(measure["unit"]).alias("unit"),
+        F.concat(F.get(F.array(*map(F.lit, PREFIXES)), F.col("n_regionkey")), F.lit("report_"), year.cast("string"), F.lit(".pdf")).alias("source_document"),
+        F.col("l_linenumber").alias("source_page"),
+        ((5 + k % 5) / F.lit(10.0)).alias("confidence_score"),
+        F.col("ord").cast("long").alias("ord"),
+    )
+
+
+FACT_ROWS_SQL = f"""
+SELECT 'L' || ord AS fact_id, CASE WHEN c_nationkey < {len(DISTRICTS)} THEN ([{_DISTRICTS}])[c_nationkey + 1] ELSE n_name END AS district, ([{_NAMES}])[m + 1] AS indicator, c_mktsegment AS category, (y + 20)::INTEGER AS year,
+  floor(l_extendedprice / ([{", ".join(f"{d}::DOUBLE" for d in ROW_DIVISORS)}])[m + 1]) AS value, CASE WHEN c_nationkey % 7 = 3 THEN 'count' ELSE ([{_UNITS}])[m + 1] END AS unit,
+  ([{_PREFIXES}])[n_regionkey + 1] || 'report_' || (y + 20) || '.pdf' AS source_document, l_linenumber AS source_page, (5 + c_nationkey % 5) / 10.0::DOUBLE AS confidence_score, ord
+FROM (SELECT s.*, c_nationkey, c_mktsegment, CASE p_type {_CASES} END AS m, year(o_orderdate) AS y FROM (SELECT *, row_number() OVER (ORDER BY {", ".join(SALE)}) AS ord FROM lineitem) s
+      JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey) JOIN nation ON c_nationkey = n_nationkey WHERE m IS NOT NULL
+"""
+
+
 def legal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text``: a government order's text for every order, with references, headings, clauses and dates."""
     # patterns cost more than rows weigh, so the small table is dealt to all cores

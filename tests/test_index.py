@@ -65,3 +65,27 @@ def test_arrays_of_odd_objects(spark, tmp_path):
     (tmp_path / "x.json").write_text('[ {} , {"id": 1, "other": {"x": [{}]}}, 5, "{}", {"id": 2, "text": "\\\\\\"}"}]')
     got = files.json_array(spark, str(tmp_path), ITEM).orderBy(F.col("id").asc_nulls_first()).collect()
     assert [(r.id, r.text) for r in got] == [(None, None), (1, None), (2, '\\"}')]
+
+
+def test_profiles_of_mixed_records(spark):
+    from tallyframe.operators import registry
+
+    a = [{"School Code": "12", "n": 1, "m": 1, "d": "date of issue", "x": None, "deep": {"a": 1}}, {"School Code": "x", "n": 2.5, "m": "1", "d": "01/02/2020", "flag": True}, {"n": 3, "m": None}]
+    rows = [("p/a.csv", json.dumps(r)) for r in a] + [("b.pdf", json.dumps({"t": "a Table of teachers"})), ("c", "{}"), ("d.json", None)]
+    df = spark.createDataFrame(rows, "path string, json string")
+    got = {(r.path, r.field): (r.kind, pytest.approx(r.null_share)) for r in registry.field_profiles(df).collect() if r.field}
+    want = {"school_code": ("string", 1 / 3), "n": ("float", 0), "m": ("string", 1 / 3), "d": ("date", 1 / 3), "x": ("unknown", 1), "deep": ("unknown", 2 / 3), "flag": ("integer", 2 / 3)}
+    assert got == {("p/a.csv", f): (k, s) for f, (k, s) in want.items()} | {("b.pdf", "t"): ("string", 0)}
+    found = {r.path: r for r in registry.profiled(df).collect()}
+    assert found["p/a.csv"].name == "a_school" and found["p/a.csv"].bridge_potential == ["school_code"]
+    assert (found["b.pdf"].method, found["b.pdf"].entity_types, found["c"].source_type, found["d.json"].method) == ("table_extraction", ["teacher"], "unknown", "structured")
+
+
+def test_rows_are_numbered_without_gaps(spark):
+    from tallyframe.operators.windows import numbered
+
+    rows = spark.range(5000).select((F.col("id") * 7919 % 1000).alias("x"), F.lit("a").alias("y")).repartition(13)
+    got = [r.x for r in numbered(rows, ["x"], "ord").orderBy("ord").collect()]
+    assert got == sorted(got)
+    assert [r.ord for r in numbered(rows, ["x"], "ord").orderBy("ord").collect()] == list(range(1, 5001))
+    assert numbered(rows.limit(0), ["x"], "ord").count() == 0
