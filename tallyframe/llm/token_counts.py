@@ -86,10 +86,13 @@ def count_tokens(spark: SparkSession, where: str, separator: int, width: int = 2
                 end = (block * block_bytes) // width + len(tokens)
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block]), pa.array([end]), pa.array([end * width == size]), ends], ["file", "block", "end", "final", "ends"])
 
-    found = blocks.mapInArrow(scan, "file string, block long, end long, final boolean, ends array<long>")
+    found = Scratch(spark, "token-scan").put(blocks.mapInArrow(scan, "file string, block long, end long, final boolean, ends array<long>"), "ends")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # the scan carries two numbers for each block: documents closed before it, and where the open one began
-    scanned = found.select("*", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("closed"), F.coalesce(F.max(F.array_max("ends")).over(before) + 1, F.lit(0)).alias("began"))
+    # the prefix scan carries two numbers for each block, documents closed before it and where the open one began; only they
+    # are shuffled by file, and positions stay where they are until then
+    thin = found.select("file", "block", F.size("ends").alias("n"), F.array_max("ends").alias("last"))
+    carried = thin.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("closed"), F.coalesce(F.max("last").over(before) + 1, F.lit(0)).alias("began"))
+    scanned = found.join(carried, ["file", "block"])
     last = F.coalesce(F.array_max("ends") + 1, F.col("began"))
     ends = F.when(F.col("final") & (last < F.col("end")), F.concat("ends", F.array("end"))).otherwise(F.col("ends"))
     starts = F.concat(F.array("began"), F.transform("ends", lambda x: x + 1))
