@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -212,6 +214,28 @@ def ms_intelligent(spark: SparkSession, sf: str) -> DataFrame:
     return asked(spark, sf).select("fact_id", S.intelligent_mode(R.complexity(q), methods).alias("mode"))
 
 
+INTELLIGENT = {
+    "plain": "dropout in guntur",
+    "mixed": "compare the dropout rate of guntur over the years",
+    "complex": "compare and contrast the trends over time of the dropout rate, the pupil teacher ratio and the girls enrollment of guntur with those of krishna between 2015 and 2020 and explain which of the two districts has improved more than the other since then",
+}
+BY_MODE = "(" + " UNION ALL ".join(f"SELECT '{mode}' AS mode, fact_id, score FROM {rows}" for mode, rows in (("vector", TOP_VEC(12)), ("hybrid", hybrid_sql(FV, "fact_id", 12)), ("advanced", voted_sql(12)))) + ")"
+MODE_SQL = f"CASE WHEN {COMPLEXITY} > 0.7::DOUBLE THEN 'advanced' WHEN {METHOD_COUNT} > 2 THEN 'hybrid' ELSE 'vector' END"
+
+
+@query(f"SELECT question, mode, fact_id, round(score, 6) AS score FROM (SELECT question, {MODE_SQL} AS mode FROM (VALUES " + ", ".join(f"('{n}', '{q}')" for n, q in INTELLIGENT.items()) + f") t(question, q)) JOIN {BY_MODE} USING (mode)")
+def ms_intelligent_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The results of the search that fits each question: by votes, by a mixture, or by vectors alone."""
+    q = F.col("q")
+    methods = 1 + any_of(q, V.COMPARISON_WORDS).cast("int") + any_of(q, V.TIME_WORDS).cast("int") + (F.size(R.sought(q)) > 0).cast("int")
+    questions = spark.createDataFrame(list(INTELLIGENT.items()), "question string, q string")
+    modes = questions.select("question", S.intelligent_mode(R.complexity(q), methods).alias("mode"))
+    searches = {"vector": vectors_found, "hybrid": hybrid_found, "advanced": lambda *a: ensemble(*a).select("fact_id", "score")}
+    # a mode is a question's, so only the searches that some question needs are planned
+    each = [searches[r.mode](spark, sf, 12).select(F.lit(r.question).alias("question"), F.lit(r.mode).alias("mode"), "fact_id", F.round("score", 6).alias("score")) for r in modes.collect()]
+    return reduce(DataFrame.union, each)
+
+
 @query(f"SELECT fact_id, round(score, 6) AS score, part FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY part) AS i FROM (SELECT fact_id, score, 0 AS part FROM {TOP_VEC(7)} UNION ALL SELECT fact_id, score, 1 FROM {top_sql(BEST_GRAPH, 'fact_id', 7)} UNION ALL SELECT fact_id, score, 2 FROM {TOP_BM(7)})) WHERE i = 1 ORDER BY part, score DESC, fact_id LIMIT 21")
 def ms_multi_modal(spark: SparkSession, sf: str) -> DataFrame:
     k = 21
