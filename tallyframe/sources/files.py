@@ -33,17 +33,19 @@ def running(rows: DataFrame, value: Column, name: str) -> DataFrame:
     return summed.withColumn(name, F.col("__start") + F.col("__sum")).drop("__v", "__sum", "__start")
 
 
-def json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """The objects of JSON arrays, one array for each file, as rows; numbers, strings and other
-    values among them are passed over, and arrays as long as they hold no objects.
+def json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """``file, keyed, number, block, at, text``: the objects of JSON files that hold one array of objects each, or one object
+    of such arrays (``keyed``). ``text`` begins with what stands between an object and the one before it.
 
     Files are split where Spark splits them, and rows at closing braces. Whether a row begins inside a string follows
-    from the quotes before it, and how deep it is nested from the brackets outside strings, so both are prefix sums;
-    an object of the array ends at a brace that leads back to depth 1, and a third sum numbers the objects. An object
-    may cross ranges. An empty file or array has no rows; an object that doesn't fit the schema has nulls.
+    from the quotes before it, and how deep it is nested from the brackets outside strings, so both are prefix sums; an
+    object ends at a brace that leads back to the depth of its array, and a third sum numbers the objects. An object
+    may cross ranges.
     """
     read = spark.read.option("lineSep", "}").text(path)
     rows = stored(read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")), "json")
+    first = rows.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("value"))
+    kinds = first.select("file", F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("{").alias("keyed"))
     parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)
     side = lambda odd: F.array_join(F.filter(parts, lambda _, i: i % 2 == odd), "")
     count = lambda text, some: F.length(text) - F.length(F.translate(text, some, ""))
@@ -52,22 +54,44 @@ def json_array(spark: SparkSession, path: str, schema: StructType | str) -> Data
     # the brace that ends a row counts unless it stands in a string
     brace = (F.col("odd") + F.size(parts) - 1) % 2 == 0
     change = F.when(F.col("odd") == 0, nested(0)).otherwise(nested(1)) - F.when(brace, 1).otherwise(0)
-    deep = running(begun.withColumn("change", change).withColumn("closes", brace), F.col("change"), "depth")
-    ends = deep.withColumn("ends", (F.col("closes") & (F.col("depth") + F.col("change") == 1)).cast("int"))
+    deep = running(begun.withColumn("change", change).withColumn("closes", brace), F.col("change"), "depth").join(kinds, "file")
+    ends = deep.withColumn("ends", (F.col("closes") & (F.col("depth") + F.col("change") == F.when(F.col("keyed"), 2).otherwise(1))).cast("int"))
     numbered = running(ends, F.col("ends"), "number")
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"])
-    objects = numbered.groupBy("file", "number").agg(F.max("ends").alias("whole"), F.concat(F.array_join(pieces, "}"), F.lit("}")).alias("text")).where("whole = 1")
-    text = F.regexp_replace("text", r'^(?:"(?:[^"\\]++|\\.)*+"|[^{"]++)*+', "")  # what stands before it
-    return objects.select(F.from_json(text, schema).alias("x")).select("x.*")
+    objects = numbered.groupBy("file", "keyed", "number").agg(F.max("ends").alias("whole"), F.min(F.struct("block", "at")).alias("from"), F.concat(F.array_join(pieces, "}"), F.lit("}")).alias("text"))
+    return objects.where("whole = 1").select("file", "keyed", "number", "from.block", "from.at", "text")
+
+
+STRING = r'"(?:[^"\\]++|\\.)*+"'
+#: what may stand before an object of an array, and before one of an object of arrays: ends of arrays, keys, and commas
+BEFORE = rf'^(?:{STRING}|[^{{"]++)*+'
+BEFORE_KEYED = rf"^\s*\{{?(?:\s*\]?\s*,?\s*{STRING}\s*:\s*\[)*[\s,]*"
+LAST_KEY = rf"(?s)({STRING})\s*:\s*\[[\s,]*$"
+
+
+def json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The objects of JSON arrays, one array for each file, as rows (``json_objects``).
+
+    Numbers, strings and other values among them are passed over, and arrays as long as they hold no objects. An empty
+    file or array has no rows; an object that doesn't fit the schema has nulls.
+    """
+    return json_objects(spark, path).select(F.from_json(F.regexp_replace("text", BEFORE, ""), schema).alias("x")).select("x.*")
 
 
 def json_items(spark: SparkSession, path: str, item: str) -> DataFrame:
-    """Items of a JSON object of lists (each tagged with its key as source_document) or of a plain list."""
-    whole = spark.read.text(path, wholetext=True)
-    many = F.from_json("value", f"map<string, array<struct<{item}>>>")
-    flat = F.from_json("value", f"array<struct<{item}>>")
-    tagged = whole.where(F.ltrim("value").startswith("{")).select(F.explode(many).alias("source_document", "items")).select("source_document", F.explode("items").alias("i"))
-    plain = whole.where(F.ltrim("value").startswith("[")).select(F.lit(None).cast("string").alias("source_document"), F.explode(flat).alias("i"))
+    """Items of JSON files: of an object of lists, each tagged with its key as source_document, or of a plain list.
+
+    An item bears its list's key, which stands before the first item of the list: the items with a key before them
+    number the lists, by a prefix sum again.
+    """
+    found = stored(json_objects(spark, path), "items")
+    plain = found.where("not keyed").select(F.lit(None).cast("string").alias("source_document"), F.from_json(F.regexp_replace("text", BEFORE, ""), f"struct<{item}>").alias("i"))
+    rest = F.regexp_replace("text", BEFORE_KEYED, "")
+    key = F.nullif(F.regexp_extract(F.substr(F.col("text"), F.lit(1), F.length("text") - F.length(rest)), LAST_KEY, 1), F.lit(""))
+    lists = running(found.where("keyed").select("file", "block", "at", rest.alias("rest"), key.alias("key")), F.col("key").isNotNull().cast("int"), "before")
+    lists = lists.withColumn("list", F.col("before") + F.col("key").isNotNull().cast("int"))
+    names = lists.where("key is not null").select("file", "list", F.get(F.from_json(F.concat(F.lit("["), "key", F.lit("]")), "array<string>"), F.lit(0)).alias("source_document"))
+    tagged = lists.join(names, ["file", "list"]).select("source_document", F.from_json("rest", f"struct<{item}>").alias("i"))
     return tagged.union(plain).select("source_document", "i.*")
 
 

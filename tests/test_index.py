@@ -67,6 +67,28 @@ def test_arrays_of_odd_objects(spark, tmp_path):
     assert [(r.id, r.text) for r in got] == [(None, None), (1, None), (2, '\\"}')]
 
 
+def test_objects_of_lists_are_read_by_many_tasks(spark, tmp_path):
+    rnd = random.Random(9)
+    pool = ["{", "}", "[", "]", '"', "\\", ",", ":", "é", "\n", '": [', '"}', "plain"]
+    lists = {}
+    for i in range(60):
+        key = f"doc {i}" + "".join(rnd.choices(pool, k=rnd.randint(0, 3)))
+        lists[key] = [{"fact_id": f"f{i}-{j}" + "".join(rnd.choices(pool, k=3)), "value": float(j), "other": [{"x": [{}]}]} for j in range(rnd.choice([0, 0, 1, 5, 80]))]
+    (tmp_path / "a.json").write_text(json.dumps(lists, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps(lists, ensure_ascii=False, separators=(",", ":")))
+    (tmp_path / "c.json").write_text(json.dumps(lists["doc 0" if "doc 0" in lists else next(iter(lists))] + [{"fact_id": "in a list", "value": None}]))
+    (tmp_path / "d.json").write_text("{}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        got = [tuple(r) for r in files.json_items(spark, str(tmp_path), "fact_id string, value double").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = 2 * [(k, x["fact_id"], x["value"]) for k, v in lists.items() for x in v]
+    want += [(None, x["fact_id"], x["value"]) for x in json.loads((tmp_path / "c.json").read_text())]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_profiles_of_mixed_records(spark):
     from tallyframe.operators import registry
 
