@@ -70,29 +70,30 @@ LAST_KEY = rf"(?s)({STRING})\s*:\s*\[[\s,]*$"
 
 
 def json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """The objects of JSON arrays, one array for each file, as rows (``json_objects``).
+    """The objects of JSON arrays, one array for each file, as rows in the order of files and objects (``json_objects``).
 
     Numbers, strings and other values among them are passed over, and arrays as long as they hold no objects. An empty
     file or array has no rows; an object that doesn't fit the schema has nulls.
     """
-    return json_objects(spark, path).select(F.from_json(F.regexp_replace("text", BEFORE, ""), schema).alias("x")).select("x.*")
+    return json_objects(spark, path).orderBy("file", "number").select(F.from_json(F.regexp_replace("text", BEFORE, ""), schema).alias("x")).select("x.*")
 
 
 def json_items(spark: SparkSession, path: str, item: str) -> DataFrame:
     """Items of JSON files: of an object of lists, each tagged with its key as source_document, or of a plain list.
+    Rows have the order of files and items.
 
     An item bears its list's key, which stands before the first item of the list: the items with a key before them
     number the lists, by a prefix sum again.
     """
     found = stored(json_objects(spark, path), "items")
-    plain = found.where("not keyed").select(F.lit(None).cast("string").alias("source_document"), F.from_json(F.regexp_replace("text", BEFORE, ""), f"struct<{item}>").alias("i"))
+    plain = found.where("not keyed").select("file", "number", F.lit(None).cast("string").alias("source_document"), F.from_json(F.regexp_replace("text", BEFORE, ""), f"struct<{item}>").alias("i"))
     rest = F.regexp_replace("text", BEFORE_KEYED, "")
     key = F.nullif(F.regexp_extract(F.substr(F.col("text"), F.lit(1), F.length("text") - F.length(rest)), LAST_KEY, 1), F.lit(""))
-    lists = running(found.where("keyed").select("file", "block", "at", rest.alias("rest"), key.alias("key")), F.col("key").isNotNull().cast("int"), "before")
+    lists = running(found.where("keyed").select("file", "number", "block", "at", rest.alias("rest"), key.alias("key")), F.col("key").isNotNull().cast("int"), "before")
     lists = lists.withColumn("list", F.col("before") + F.col("key").isNotNull().cast("int"))
     names = lists.where("key is not null").select("file", "list", F.get(F.from_json(F.concat(F.lit("["), "key", F.lit("]")), "array<string>"), F.lit(0)).alias("source_document"))
-    tagged = lists.join(names, ["file", "list"]).select("source_document", F.from_json("rest", f"struct<{item}>").alias("i"))
-    return tagged.union(plain).select("source_document", "i.*")
+    tagged = lists.join(names, ["file", "list"]).select("file", "number", "source_document", F.from_json("rest", f"struct<{item}>").alias("i"))
+    return tagged.union(plain).orderBy("file", "number").select("source_document", "i.*")
 
 
 def statistics_csv(spark: SparkSession, path: str) -> DataFrame:
