@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from .windows import first_match
 
 
@@ -85,16 +86,20 @@ def legal_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
     """``child, parent``: the first parent whose title holds the child's reference as a run of words.
 
     Instead of comparing all titles, every run of words of a title becomes a key to join on, as many words long as some
-    reference is: the lengths that occur (a small table) are joined first.
+    reference is: the lengths that occur (a small table) are joined first. A reference's first title is found once,
+    however many children have it and parents hold it; texts that are repeated are split once.
     """
     words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
-    asked = children.select("child", words("reference").alias("r")).where(F.size("r") > 0).select("child", F.size("r").alias("n"), F.array_join("r", " ").alias("k"))
-    lengths = asked.groupBy().agg(F.collect_set("n").alias("lengths"))
-    titled = parents.select("parent", words("title").alias("w")).crossJoin(F.broadcast(lengths))
+    wanted = stored(children.where("reference is not null").select("reference").distinct().select("reference", words("reference").alias("r")).select("reference", F.size("r").alias("n"), F.array_join("r", " ").alias("k")), "references").where("n > 0")
+    lengths = wanted.groupBy().agg(F.collect_set("n").alias("lengths"))
+    titles = first_match(parents.where("title is not null").select("parent", "title"), ["title"], ["parent"])
+    titled = titles.select("parent", words("title").alias("w")).crossJoin(F.broadcast(lengths))
     sized = titled.select("parent", "w", F.explode("lengths").alias("n")).where("n <= size(w)")
     runs = sized.select("parent", "w", "n", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("start"))
-    keys = runs.select("parent", F.array_join(F.slice("w", F.col("start"), F.col("n")), " ").alias("k")).distinct()
-    return first_match(asked.select("child", "k").join(keys, "k"), ["child"], ["parent"]).select("child", "parent")
+    keys = runs.select("parent", F.array_join(F.slice("w", F.col("start"), F.col("n")), " ").alias("k"))
+    first = first_match(keys.join(wanted, "k", "left_semi"), ["k"], ["parent"])
+    found = stored(wanted.join(first, "k").select("reference", "parent"), "parents")
+    return first_match(children.join(found, "reference"), ["child"], ["parent"]).select("child", "parent")
 
 
 def common_results(results: DataFrame, n_queries: int) -> DataFrame:

@@ -120,3 +120,17 @@ def test_ratios_of_the_customer_table(spark):
 
     want = {r.c_custkey: SequenceMatcher(None, r.c_name, r.c_mktsegment).ratio() for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
     assert {r.c_custkey: r.ratio for r in catalog.QUERIES["fn_seq_ratio"](spark, SF).collect()} == want
+
+
+def test_references_and_titles_of_many_rows(spark):
+    """Fifty references and sixty titles of thousands of rows each: pairs of rows would be 24 million."""
+    n = 40000
+    children = spark.range(n).select(F.col("id").alias("child"), F.concat(F.lit("Rule "), (F.col("id") % 50).cast("string")).alias("reference"))
+    parents = spark.range(n).select(F.col("id").alias("parent"), F.concat(F.lit("Act of RULE "), (F.col("id") % 60).cast("string")).alias("title"))
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    before = tracker.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None).size()
+    got = reports.legal_parents(children, parents).groupBy("parent").count().collect()
+    after = tracker.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    seen = [after.apply(i).shuffleReadRecords() for i in range(after.size() - before)]
+    assert {(r.parent, r["count"]) for r in got} == {(i, n // 50) for i in range(50)}
+    assert max(seen) <= 2 * n
