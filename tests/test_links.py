@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from compare import connect
@@ -134,3 +135,21 @@ def test_references_and_titles_of_many_rows(spark):
     seen = [after.apply(i).shuffleReadRecords() for i in range(after.size() - before)]
     assert {(r.parent, r["count"]) for r in got} == {(i, n // 50) for i in range(50)}
     assert max(seen) <= 2 * n
+
+
+def test_rows_of_one_dataset_never_meet(spark):
+    """A hundred thousand entities of one year beside three of another dataset: ten billion pairs would not end in a minute."""
+    n = 100_000
+    of = lambda rows, dataset: rows.select(F.lit(dataset).alias("dataset"), F.lit("school").alias("entity_type"), F.format_string(f"{dataset}_%d", "id").alias("entity_id"), F.lit("N").alias("name"), F.lit(2000).alias("year"))
+    rows = of(spark.range(n), "a").union(of(spark.range(3), "b"))
+    began = time.time()
+    assert entities.timed(rows).count() == 3 * n
+    got = entities.links(rows, fuzzy=False).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source", "target").alias("d")).collect()
+    assert [(r.kind, r.n, r.d) for r in got] == [("exact", 3 * n, 3 * n)]
+    assert time.time() - began < 60
+
+
+def test_repeated_entities_link_once(spark):
+    rows = [("a", "school", "s_10001", "One", 2000), ("a", "school", "s_10001", "Two", 2001), ("a", "school", "s_10001", "One", 2000), ("b", "school", "t_10001", "two", 2001), ("b", "school", "t_2", "one", 2050), ("b", "school", "t_2", "Onex", 1900), ("b", "school", "t_3", "zzz", 2002)]
+    got = sorted((r.source, r.target, r.kind, r.confidence) for r in entities.links(spark.createDataFrame(rows, ENTITY)).collect())
+    assert got == [("a:s_10001", "b:t_10001", "exact", 0.85), ("a:s_10001", "b:t_2", "exact", 0.85), ("a:s_10001", "b:t_3", "temporal", 0.65)]
