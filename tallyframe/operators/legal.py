@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,11 +25,32 @@ STEP = r"(?i)(?:Step|Procedure|Process)\s+(\d+):\s*(.+)"
 DEFINITION = r'(?is)"([^"]+)"\s+means?\s+(.+?)(?=\n\n|\n[A-Z]|$)'
 HEADINGS = [(1, r"(?i)^PART\s+([IVX]+|\d+)[\s\-:]*(.+)$", "Part "), (2, r"(?i)^CHAPTER\s+([IVX]+|\d+)[\s\-:]*(.+)$", "Chapter "), (3, r"^(\d+)\.?\s+(.+)$", "Section "), (4, r"^\((\d+|[a-z])\)\s+(.+)$", "Subsection (")]
 
+# Where a search would try every letter of long runs, what is searched for first: an act's run of letters and blanks, from its
+# start, with its year; a judgment from the starts of words, of four digits, or after the match before. The first holds
+# one match of its pattern at most, the second is the match.
+NARROWED = {
+    ACT: r"(?<![A-Za-z\s])[A-Za-z\s]++,?\s*+\d{4}",
+    JUDGMENT: r"(?i)(?:(?<!\w)|\G|(?=\d{4}\s))(?:\d{4}\s+)?\w++\s+\d+\s+(?:SC|HC|SCC|AIR|WLR)",
+}
+
+
+def occurrences(text: Column, pattern: str, groups: list[int]) -> Column:
+    """An array of a pattern's matches, as structs of the groups asked for (g0 is the whole); absent ones are empty.
+
+    A text is searched once, not once for each group: groups come from the match alone, which is its own first match as
+    long as the pattern looks at nothing beside it. The patterns that look ahead are searched for each group.
+    """
+    if "(?=" in pattern:
+        return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups])
+    whole = F.regexp_extract_all(text, F.lit(NARROWED.get(pattern, pattern)), F.lit(0))
+    if pattern == ACT:
+        whole = F.filter(F.transform(whole, lambda m: F.regexp_extract(m, pattern, 0)), lambda m: m != "")
+    return F.transform(whole, lambda m: F.struct(*[F.regexp_extract(m, pattern, g).alias(f"g{g}") if g else m.alias("g0") for g in groups]))
+
 
 def found(docs: DataFrame, pattern: str, groups: int) -> DataFrame:
     """``doc_id, ordinal, g1..`` of every match of a pattern; absent groups are empty."""
-    parts = [F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(1, groups + 1)]
-    each = F.posexplode(F.arrays_zip(*parts))
+    each = F.posexplode(occurrences(F.col("text"), pattern, list(range(1, groups + 1))))
     return docs.select("doc_id", each.alias("ordinal", "m")).select("doc_id", "ordinal", *[F.col(f"m.g{g}") for g in range(1, groups + 1)])
 
 
@@ -41,8 +63,7 @@ def references(docs: DataFrame) -> DataFrame:
     """All references in one pass: ``doc_id, kind, ref_id, confidence``."""
 
     def matches(pattern: str, groups: int, kind: str, confidence: float, name: Callable[[list[Column]], Column]) -> Column:
-        parts = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(1, groups + 1)])
-        return F.transform(parts, lambda m: F.struct(F.lit(kind).alias("kind"), name([m[f"g{g}"] for g in range(1, groups + 1)]).alias("ref_id"), F.lit(confidence).alias("confidence")))
+        return F.transform(occurrences(F.col("text"), pattern, list(range(1, groups + 1))), lambda m: F.struct(F.lit(kind).alias("kind"), name([m[f"g{g}"] for g in range(1, groups + 1)]).alias("ref_id"), F.lit(confidence).alias("confidence")))
 
     every = F.concat(
         matches(ORDER, 2, "go", 0.9, lambda g: F.concat(F.lit("GO "), g[0], F.when(g[1] != "", F.concat(F.lit("/"), g[1])).otherwise(""))),
@@ -64,7 +85,7 @@ def supersessions(docs: DataFrame) -> DataFrame:
     head = F.array_join(F.slice(F.split("text", "\n"), 1, 10), "\n")
     number, year = F.regexp_extract(head, ORDER, 1), F.regexp_extract(head, ORDER, 2)
     own = F.concat(F.lit("GO "), number, F.when(year != "", F.concat(F.lit("/"), year)).otherwise(""))
-    each = F.explode(F.arrays_zip(*[F.regexp_extract_all("text", F.lit(SUPERSEDES), F.lit(g)).alias(f"g{g}") for g in (0, 1, 2)]))
+    each = F.explode(occurrences(F.col("text"), SUPERSEDES, [0, 1, 2]))
     m = docs.select("doc_id", own.alias("superseding"), number.alias("n"), each.alias("m")).where("n <> ''")
     old = F.concat(F.lit("GO "), "m.g1", F.when(F.col("m.g2") != "", F.concat(F.lit("/"), "m.g2")).otherwise(""))
     return m.select("doc_id", "superseding", old.alias("superseded"), supersession_kind(F.col("m.g0")).alias("kind"))
@@ -111,7 +132,7 @@ def amendment_kind(text: Column) -> Column:
 
 
 def amendments(docs: DataFrame) -> DataFrame:
-    each = F.explode(F.arrays_zip(*[F.regexp_extract_all("text", F.lit(AMENDED), F.lit(g)).alias(f"g{g}") for g in (0, 1)]))
+    each = F.explode(occurrences(F.col("text"), AMENDED, [0, 1]))
     return docs.select("doc_id", each.alias("m")).select("doc_id", F.col("m.g1").cast("int").alias("year"), amendment_kind(F.col("m.g0")).alias("kind"))
 
 
@@ -156,10 +177,17 @@ def title(text: Column) -> Column:
 def analysed(docs: DataFrame) -> DataFrame:
     """Each document of 100 characters or more with its kind, counts of what it holds, and complexity."""
     used = docs.where(F.length("text") >= 100)
-    count = lambda rows, name: rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
-    out = used.select("doc_id", document_kind(F.col("text")).alias("kind"))
-    names = ["n_references", "n_headings", "n_definitions", "n_procedures", "n_supersessions"]
-    for rows, name in zip((references(used), hierarchy(used), definitions(used), procedures(used), supersessions(used)), names, strict=True):
-        out = out.join(count(rows, name), "doc_id", "left")
-    out = out.fillna(0, names)
-    return out.withColumn("complexity", complexity(*[F.col(n) for n in names], F.col("kind")))
+    text = F.col("text")
+    size = lambda pattern: F.size(occurrences(text, pattern, [0]))
+    heading = lambda t: reduce(Column.__or__, [t.rlike(pattern) for _, pattern, _ in HEADINGS])
+    terms = F.array_distinct(F.regexp_extract_all(text, F.lit(DEFINITION), F.lit(1)))
+    own = F.regexp_extract(F.array_join(F.slice(F.split(text, "\n"), 1, 10), "\n"), ORDER, 1) != ""
+    counts = {
+        "n_references": reduce(Column.__add__, [size(p) for p in (ORDER, ACT, JUDGMENT, SECTION, RULE)]),
+        "n_headings": F.size(F.filter(F.split(text, "\n"), lambda t: heading(F.trim(t)))),
+        "n_definitions": F.size(terms),
+        "n_procedures": size(STEP),
+        "n_supersessions": F.when(own, size(SUPERSEDES)).otherwise(0),
+    }
+    each = used.select("doc_id", document_kind(text).alias("kind"), *[c.cast("long").alias(n) for n, c in counts.items()])
+    return each.withColumn("complexity", complexity(*[F.col(n) for n in counts], F.col("kind")))

@@ -103,3 +103,26 @@ def test_classes_of_years_say_all_links(spark):
     classes = entities.timed_classes(df).collect()
     assert sum(r.links for r in classes) == entities.timed(df).count() > 100
     assert all(abs(r.source_year - r.target_year) <= 1 and r.source < r.target for r in classes)
+
+
+def test_groups_of_a_match_are_those_of_the_text(spark):
+    """One search a text; each group as a search for it alone gives it, on texts made of what the patterns look for."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tallyframe.operators import legal
+
+    rnd = random.Random(9)
+    parts = ["G.O. No. ", "GO ", "Government Order No ", "12", "2014", "/", " ", "\n", "The ", "Education Act", ", ", "Rule ", "Section ", "7(a)", "(ii)", "AIR ", "SC", " 45 SCC", "hereby supersedes ", "replaces x\n", "as amended by ", "w.e.f. ", "1/2/2014", "Step 1: ", "Process 2:", "apply\r\n", '"Term" means ', "é", " ", "a thing\n\n", "\nB", "x", "1", "Schools", "hc", "5 SC", "12014 ", "act", "rule,  ", ",", "The  Act 2010"]
+    rows = [(i, "".join(rnd.choices(parts, k=rnd.randint(0, 25)))) for i in range(4000)] + [(4000, None), (4001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = {legal.ORDER: 2, legal.ACT: 2, legal.SECTION: 1, legal.RULE: 1, legal.JUDGMENT: 4, legal.SUPERSEDES: 2, legal.AMENDED: 1, legal.EFFECTIVE: 1, legal.STEP: 2, legal.DEFINITION: 2}
+    for pattern, n in asked.items():
+        groups = list(range(n + 1))
+        each = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups])
+        both = docs.select(legal.occurrences(F.col("text"), pattern, groups).alias("a"), each.alias("b"))
+        assert both.where("not (a <=> b)").count() == 0, pattern
+        assert both.where("size(a) > 0").count() > 0, pattern
+    plan = legal.found(docs, legal.JUDGMENT, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
