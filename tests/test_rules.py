@@ -126,3 +126,26 @@ def test_groups_of_a_match_are_those_of_the_text(spark):
         assert both.where("size(a) > 0").count() > 0, pattern
     plan = legal.found(docs, legal.JUDGMENT, 4)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_claims_in_blocks_are_those_by_pairs(spark, monkeypatch):
+    """Blocks give what the plain comparison gives, also for odd vectors and cosines at the bound."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tallyframe.operators import retrieval as T
+
+    monkeypatch.setattr(T, "FEW", 50)
+    monkeypatch.setattr(T, "CELL", 16)
+    rnd = random.Random(4)
+    vector = lambda: [rnd.choice([0.0, 1.0, -1.0, rnd.gauss(0, 1)]) for _ in range(3)]
+    odd = [None, [], [0.0] * 3, [1.0, None, 0.0], [float("nan"), 0.0, 1.0], [float("inf"), 1.0, 0.0], [1.0, 1.0], [3.0, 4.0, 0.0], [1e-170] * 3, [1e170] * 3]
+    rows = lambda n, k: [(rnd.choice(["a", "b", None]), i, vector()) for i in range(n)] + [("a", n + i, v) for i, v in enumerate(odd)] + [(f"s{i}", 900 + i, vector()) for i in range(k)]
+    claims = spark.createDataFrame(rows(120, 5), "answer string, claim_id long, claim array<double>")
+    cited = spark.createDataFrame(rows(90, 5), "answer string, citation_id long, citation array<double>")
+    for least in (0.6, 0.0, -0.2):
+        want = claims.join(cited, "answer").where(T.cosine(F.col("claim"), F.col("citation")) >= least).select("claim_id", "citation_id")
+        got = T.claims_cited(claims, cited, least)
+        assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), least
