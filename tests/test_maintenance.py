@@ -40,3 +40,12 @@ def test_three_runs_equal_a_full_rebuild(spark):
     again = M.updated(state, listed(third), frame(third), keys(), 4)
     assert rows(again.bridges) == rows(state.bridges) and again.tracker.where("run = 4").count() == 0
     assert sorted(map(tuple, again.facts.collect()), key=str) == sorted(map(tuple, state.facts.collect()), key=str)
+
+
+def test_queries_over_facts_sum_the_sales_once(spark):
+    """Each reading of the facts would shuffle the sales again: the plans left over read what is kept."""
+    from tallyframe.plans import catalog
+
+    for name in ("ms_trend", "ms_intelligent_search", "sink_bridges_incremental"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_extendedprice" not in plan, name
