@@ -149,3 +149,9 @@ def test_claims_in_blocks_are_those_by_pairs(spark, monkeypatch):
         got = T.claims_cited(claims, cited, least)
         assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), least
+
+
+def test_comparisons_search_the_named_rows_too():
+    from tallyframe.plans import catalog
+
+    assert "OR district = 'Guntur' OR year = 2018" in catalog.ORACLES["rt_comparative"]
