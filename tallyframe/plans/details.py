@@ -609,10 +609,13 @@ def dated(spark: SparkSession, sf: str) -> DataFrame:
     return shifted(spark, sf).withColumn("year", F.when(F.col("dataset") == "right", 2000 + number % 60).otherwise(F.col("year")))
 
 
-@query(f"SELECT a.dataset AS source, b.dataset AS target, a.year AS source_year, b.year AS target_year, a.n AS sources, b.n AS targets, a.n * b.n AS links FROM (SELECT dataset, year, count(*) AS n FROM {DATED} GROUP BY 1, 2) a JOIN (SELECT dataset, year, count(*) AS n FROM {DATED} GROUP BY 1, 2) b ON a.dataset < b.dataset AND abs(a.year - b.year) <= 1")
+@query(f"SELECT 'link' AS part, NULL::VARCHAR AS entity_id, a.dataset AS source, b.dataset AS target, a.year AS source_year, b.year AS target_year, a.n AS sources, b.n AS targets, a.n * b.n AS links FROM (SELECT dataset, year, count(*) AS n FROM {DATED} GROUP BY 1, 2) a JOIN (SELECT dataset, year, count(*) AS n FROM {DATED} GROUP BY 1, 2) b ON a.dataset < b.dataset AND abs(a.year - b.year) <= 1 UNION ALL SELECT 'member', entity_id, dataset, NULL, year, NULL, NULL, NULL, NULL FROM {DATED}")
 def er_temporal(spark: SparkSession, sf: str) -> DataFrame:
-    """Links by year of all entities, by classes: every entity of one class is linked with every one of the other."""
-    return E.timed_classes(dated(spark, sf))
+    """Links by year of all entities: linked classes, and each entity's class; every entity of one is linked with every one of the other."""
+    e = dated(spark, sf)
+    links = E.timed_classes(e).select(F.lit("link").alias("part"), F.lit(None).cast("string").alias("entity_id"), "*")
+    members = e.select(F.lit("member").alias("part"), "entity_id", F.col("dataset").alias("source"), F.col("year").alias("source_year"))
+    return links.unionByName(members, allowMissingColumns=True)
 
 
 @query(f"SELECT a.entity_id AS source, b.entity_id AS target FROM {DATED} a JOIN {DATED} b ON a.dataset < b.dataset AND abs(a.year - b.year) <= 1 WHERE a.entity_id = (SELECT min(entity_id) FROM {DATED})")

@@ -155,3 +155,11 @@ def test_comparisons_search_the_named_rows_too():
     from tallyframe.plans import catalog
 
     assert "OR district = 'Guntur' OR year = 2018" in catalog.ORACLES["rt_comparative"]
+
+
+def test_links_by_year_name_their_members(spark):
+    from tallyframe.plans import catalog
+
+    rows = catalog.QUERIES["er_temporal"](spark, "/root/testdata/sf0.001").where("part = 'member'")
+    n = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    assert rows.select("source", "entity_id").distinct().count() == 2 * n
