@@ -163,3 +163,12 @@ def test_links_by_year_name_their_members(spark):
     rows = catalog.QUERIES["er_temporal"](spark, "/root/testdata/sf0.001").where("part = 'member'")
     n = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
     assert rows.select("source", "entity_id").distinct().count() == 2 * n
+
+
+def test_related_nodes_are_dealt_to_many_tasks(spark):
+    from tallyframe.operators import graph
+
+    nodes = spark.range(400).coalesce(1).selectExpr("id", "cast(id % 40 as string) as kind")
+    got = graph.related_within(nodes, "id", "kind")
+    assert got.rdd.getNumPartitions() >= 32
+    assert got.count() == 400 * 9
