@@ -111,3 +111,15 @@ def test_rows_are_numbered_without_gaps(spark):
     assert got == sorted(got)
     assert [r.ord for r in numbered(rows, ["x"], "ord").orderBy("ord").collect()] == list(range(1, 5001))
     assert numbered(rows.limit(0), ["x"], "ord").count() == 0
+
+
+def test_texts_are_split_once_for_an_index(spark):
+    df = spark.createDataFrame([(1, "b a b"), (2, None), (3, ""), (4, "a"), (4, "a a c"), (4, "c a a"), (5, "d")], "doc_id long, text string")
+    plan = keyword_index.counted(df, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1 and "Exchange" not in plan
+    index = keyword_index.build(df, "doc_id", "text")
+    want = [("a", 1, 3, 1), ("b", 1, 3, 2), ("a", 4, 1, 1), ("a", 4, 3, 4), ("c", 4, 3, 2), ("d", 5, 1, 1)]  # rows of one key and length are one
+    assert sorted(tuple(r) for r in index.postings.select("term", "key", "n", "f").collect()) == sorted(want)
+    assert (index.docs, index.mean) == (7, 11 / 6)
+    none = keyword_index.build(df.where("text is null"), "doc_id", "text")
+    assert (none.docs, none.mean, none.postings.count()) == (1, 1.0, 0)
