@@ -38,12 +38,13 @@ def ranked(rows: DataFrame, score: str, tie: str, k: int) -> DataFrame:
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """``name``: the rows' numbers from 1 in the order of columns, without a window over all rows in one task.
 
-    Rows are dealt into ranges of the order, written, and numbered range by range; a range starts after the rows of
-    those before it, of which there is one count for each. Equal rows are numbered in any order.
+    Rows are dealt into ranges of the order, sorted and counted there, and written; a range starts after the rows of those
+    before it, of which there is one count for each. Equal rows are numbered in any order.
     """
-    dealt = stored(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the lower 33 bits of the id count a partition's rows from 0
+    dealt = stored(sorted_.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1}), "ranges")
     starts = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = starts.select("__p", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return dealt.withColumn("__i", inside).join(F.broadcast(starts), "__p").withColumn(name, F.col("__start") + F.col("__i")).drop("__p", "__i", "__start")
+    return dealt.join(F.broadcast(starts), "__p").withColumn(name, F.col("__start") + F.col("__i")).drop("__p", "__i", "__start")

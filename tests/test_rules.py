@@ -172,3 +172,33 @@ def test_related_nodes_are_dealt_to_many_tasks(spark):
     got = graph.related_within(nodes, "id", "kind")
     assert got.rdd.getNumPartitions() >= 32
     assert got.count() == 400 * 9
+
+
+def test_facts_meet_what_they_are_compared_with_in_one_join(spark):
+    from tallyframe.operators.windows import numbered
+    from tallyframe.sources.facts import FACT_SCHEMA
+
+    fact = lambda i, value, year, ord_, district="Guntur": (i, district, "Total Enrollment", None, year, value, "count", "a.pdf", 1, 1.0, ord_)
+    # one id twice, and a group's first fact by its order, not its place; nulls come first, values may be missing
+    rows = [fact("a", 10.0, 2020, 5), fact("b", 1000.0, 2020, 2), fact("c", 20.0, 2021, 3), fact("c", 1100.0, 2021, 4), fact("d", 4.0, 2022, 9), fact("e", None, 2022, None), fact("f", 1.0, 2023, 10)]
+    rows += [fact("g", 1.0, 2020, 1, None), fact("h", 9.0, 2021, 1, None), fact("i", 9.0, None, 1)]
+    done = validation.validated(spark.createDataFrame(rows, FACT_SCHEMA), 2024)
+    got = sorted((r.fact_id, str(r.value), "TEMP_001" in r.warnings) for r in done.collect())
+    assert got == [("a", "10.0", False), ("b", "1000.0", False), ("c", "1100.0", False), ("c", "20.0", True), ("d", "4.0", True), ("e", "None", False), ("f", "1.0", False), ("g", "1.0", False), ("h", "9.0", False), ("i", "9.0", False)]
+    for r in done.collect():
+        assert (r.n_errors, r.n_anomalies, r.is_valid) == (len(r.errors), int("STAT_001" in r.warnings), not r.errors)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan  # the facts stay where they are
+    ordered = numbered(spark.range(100), ["id"], "n")._jdf.queryExecution().executedPlan().toString()
+    assert ordered.count("Exchange hashpartitioning(__p") == 1  # that of the ranges' counts
+
+
+def test_runs_of_equal_values_hold_the_ranks(spark):
+    """Long runs, which span several lookups, beside short ones."""
+    rows = [(f"f{i}", f"d{i % 3}", "x", float(i % 2 if i < 12_000 else i % 50), 2000) for i in range(13_000)] + [("n", "d0", "x", -3.0, 2000), ("m", "d9", "x", 99.5, 2000)]
+    df = spark.createDataFrame(rows, FACT)
+    got = {r.district: tuple(r)[3:] for r in validation.district_statistics(df).collect()}
+    for d in ("d0", "d1", "d2", "d9"):
+        other = [r[3] for r in rows if r[1] != d]
+        want = (len(other), statistics.fmean(other), statistics.pstdev(other), float(np.quantile(other, 0.25)), float(np.quantile(other, 0.75)))
+        assert got[d] == pytest.approx(want), d
