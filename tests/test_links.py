@@ -153,3 +153,17 @@ def test_repeated_entities_link_once(spark):
     rows = [("a", "school", "s_10001", "One", 2000), ("a", "school", "s_10001", "Two", 2001), ("a", "school", "s_10001", "One", 2000), ("b", "school", "t_10001", "two", 2001), ("b", "school", "t_2", "one", 2050), ("b", "school", "t_2", "Onex", 1900), ("b", "school", "t_3", "zzz", 2002)]
     got = sorted((r.source, r.target, r.kind, r.confidence) for r in entities.links(spark.createDataFrame(rows, ENTITY)).collect())
     assert got == [("a:s_10001", "b:t_10001", "exact", 0.85), ("a:s_10001", "b:t_2", "exact", 0.85), ("a:s_10001", "b:t_3", "temporal", 0.65)]
+
+
+def one_name(spark, n):
+    """``n`` entities of one name in each of two datasets."""
+    return spark.range(2 * n).selectExpr("if(id % 2 = 0, 'a', 'b') AS dataset", "'school' AS entity_type", "concat('s_', id) AS entity_id", "'Krishna' AS name", "CAST(2000 + 10 * (id % 2) AS INT) AS year")
+
+
+def test_lists_that_meet_make_few_rows_at_once(spark):
+    """All rows that a row is exploded to are held together: 1,500 times 1,500 names would be two million."""
+    rows = one_name(spark, 3000)
+    cells = entities.dealt(rows.select("name", "dataset", F.struct("entity_id").alias("a")), ["name", "dataset"], "a")
+    sizes = [r.n for r in cells.select(F.size("a").alias("n")).collect()]
+    assert sum(sizes) == 6000 and max(sizes) ** 2 < 200_000
+    assert entities.similar(rows).count() == 3000**2
