@@ -167,3 +167,32 @@ def test_lists_that_meet_make_few_rows_at_once(spark):
     sizes = [r.n for r in cells.select(F.size("a").alias("n")).collect()]
     assert sum(sizes) == 6000 and max(sizes) ** 2 < 200_000
     assert entities.similar(rows).count() == 3000**2
+
+
+def test_plain_entities_are_not_paired_again(spark):
+    """Only pairs with an entity of many rows are ranked by strategy; those of plain ones are made once."""
+    rows = one_name(spark, 500).withColumn("plain", F.col("entity_id") != "s_0")
+    assert entities.named(rows).count() == 500
+    assert entities.timed(rows.withColumn("year", F.lit(2000))).count() == 500
+    assert entities.named(rows.drop("plain")).count() == 500**2
+
+
+def test_repeated_entities_by_six_strategies(spark):
+    """Each pair of entities has the first strategy that links any two of their rows, whether repeated or not."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(70):
+        dataset, kind = rng.choice(["cse", "scert"]), rng.choice(["school", "district", "policy"])
+        name = f"{rng.choice(['order', 'orders', 'scheme'])} {rng.choice(['krishna', 'Guntur'])} {rng.randrange(3)}" if kind != "district" else rng.choice(["Krishna", "guntur", "nellore"])
+        rows.append((dataset, kind, f"{kind}_{10000 + rng.randrange(12) if i % 2 else i}", name, 2000 + rng.randrange(40)))
+    order = ["exact", "fuzzy", "code", "geographic", "temporal", "semantic"]
+    want = {}
+    for a in rows:
+        for b in rows:
+            for ends, (kind, c) in brute_links([a, b]).items():
+                if ends[0] == f"{a[0]}:{a[2]}" and a[0] < b[0]:
+                    want[ends] = min(want.get(ends, (9, 0, "")), (order.index(kind), -c, kind))
+    found = entities.links(spark.createDataFrame(rows, ENTITY)).collect()
+    got = {(r.source, r.target): (r.kind, r.confidence) for r in found}
+    assert len(got) == len(found) and len({(r[0], r[2]) for r in rows}) < len(set(rows))
+    assert got == {k: (kind, -c) for k, (_, c, kind) in want.items()}
